@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import decontam, toxicity
+from loomwork.llm import decontam, pii, secrets, toxicity, urlfilter
+from loomwork.llm._spans import joined
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,5 +59,96 @@ FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.do
 """
 
 
-QUERIES: dict[str, Query] = {"op2_toxicity": op2_toxicity, "op4_decontamination": op4_decontamination}
-SQL: dict[str, str] = {"op4_decontamination": OP4_SQL}
+def _span_digests(found: DataFrame, kinds: list[str]) -> DataFrame:
+    """Counts of the base kinds, the digest of base spans, all spans."""
+    base = found.withColumn("_base", F.expr(f"filter(spans, y -> y.rank < {len(kinds)})"))
+    return base.select(
+        "doc_id",
+        *(F.expr(f"cast(size(filter(_base, y -> y.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in kinds),
+        F.sha2(joined("_base"), 256).alias("base_sha256"),
+        joined("spans").alias("spans"),
+    )
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _span_digests(found, [r.kind for r in secrets.RULES if r.base])
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _span_digests(found, [k.name for k in pii.KINDS if k.base])
+
+
+def _spans_sql(kinds: list[tuple[str, str, str, str]], base: list[str]) -> str:
+    """kinds: name, RE2 pattern, SQL over x (the match) and b (the lower-cased text before), group number or ''."""
+    parts = []
+    for rank, (name, pattern, valid, group) in enumerate(kinds):
+        q = "'" + pattern.replace("'", "''") + "'"
+        g = f"regexp_extract_all(text, {q}, {group})" if group else "m"
+        parts.append(f"""SELECT rid, '{name}' AS kind, {rank} AS rk, s, s + length(x) AS e FROM (
+            SELECT rid, m[i] AS x, g[i] AS g, a + CAST(coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS BIGINT) AS s,
+              lower(substring(text, greatest(a + CAST(coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS BIGINT) - 32, 0) + 1,
+                least(32, a + CAST(coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS BIGINT)))) AS b
+            FROM (SELECT rid, text, m, g, i, CAST(list_sum(list_transform(p[1:i], lambda y: length(y))) AS BIGINT) AS a FROM (
+              SELECT rid, text, regexp_extract_all(text, {q}) AS m, {g} AS g, string_split_regex(text, {q}) AS p FROM d) , unnest(range(1, len(m) + 1)) AS t(i)))
+          WHERE {valid}""")
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in base)
+    zero = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in base)
+    one = "kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT)"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+    f AS ({" UNION ALL ".join(parts)}),
+    g AS (SELECT rid, {counts}, string_agg({one}, ',' ORDER BY s, rk) FILTER (rk < {len(base)}) AS bs, string_agg({one}, ',' ORDER BY s, rk) AS sp FROM f GROUP BY rid)
+    SELECT doc_id, {zero}, sha256(coalesce(bs, '')) AS base_sha256, coalesce(sp, '') AS spans FROM d LEFT JOIN g ON g.rid = d.rid"""
+
+
+OP6_SQL = _spans_sql([(r.kind, r.pattern, r.valid, str(r.group or "")) for r in secrets.RULES], [r.kind for r in secrets.RULES if r.base])
+
+_DIG = "regexp_replace(x, '[^0-9]', '', 'g')"
+_SUMS = f"""list_sum(list_transform(range(1, length({_DIG}) + 1), lambda k: CASE WHEN (length({_DIG}) - k) % 2 = 0
+    THEN CAST(({_DIG})[k] AS INT) ELSE CAST(('0246813579')[CAST(({_DIG})[k] AS INT) + 1] AS INT) END)) % 10 = 0"""
+_LETTERS = "(substring(replace(x, ' ', ''), 5) || substring(replace(x, ' ', ''), 1, 4))"
+_REST = f"""list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split({_LETTERS}, ''), lambda c: CAST(CASE WHEN c <= '9' THEN CAST(c AS INT) ELSE ascii(c) - 55 END AS BIGINT))),
+    lambda a, v: CASE WHEN v < 10 THEN (a * 10 + v) % 97 ELSE (a * 100 + v) % 97 END) = 1"""
+OP7_SQL = _spans_sql(
+    [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", ""),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(x, '.'), lambda p: TRY_CAST(p AS HUGEINT) IS NULL OR CAST(p AS HUGEINT) > 255)) = 0", ""),
+        ("card", r"[0-9]([\x20-]?[0-9])+", f"length({_DIG}) BETWEEN 12 AND 19 AND {_SUMS}", ""),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIG}) BETWEEN 9 AND 15", ""),
+        ("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", _REST, ""),
+        ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "contains(b, 'ssn') OR contains(b, 'social security')", ""),
+    ],
+    ["email", "ip", "card", "phone"],
+)
+
+URL_RULES = tuple(urlfilter.Rule(*r) for r in (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")))
+#: Canonical URLs that are blocked where no rule fits; a bare host lists the whole host.
+URL_LIST = ("spam-farm.example.org", "cheap-pills.example.com", "casino-win.example.com", "blog.tiontion.example.com/en/853", "ththre.example.com/fr/825")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(u,) for u in URL_LIST], "url string")
+    return urlfilter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP8_SQL = rf"""
+WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+x AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+   WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+   WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+   WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
+   regexp_replace(host, '^www\.', '') || regexp_replace(path, '(/index)?(\.html?)?/*$', '') AS canon FROM h)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+   WHEN canon IN ({", ".join(f"'{u}'" for u in URL_LIST)}) OR split_part(canon, '/', 1) IN ({", ".join(f"'{u}'" for u in URL_LIST)}) THEN 'block' ELSE 'allow' END AS verdict FROM x
+"""
+
+QUERIES: dict[str, Query] = {
+    "op2_toxicity": op2_toxicity,
+    "op4_decontamination": op4_decontamination,
+    "op6_secrets": op6_secrets,
+    "op7_pii": op7_pii,
+    "op8_url_filter": op8_url_filter,
+}
+SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op6_secrets": OP6_SQL, "op7_pii": OP7_SQL, "op8_url_filter": OP8_SQL}
