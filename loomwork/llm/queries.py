@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import decontam, pii, secrets, toxicity, urlfilter
+from loomwork.llm import decontam, gif, pii, secrets, toxicity, urlfilter
 from loomwork.llm._spans import joined
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,11 +144,16 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
    WHEN canon IN ({", ".join(f"'{u}'" for u in URL_LIST)}) OR split_part(canon, '/', 1) IN ({", ".join(f"'{u}'" for u in URL_LIST)}) THEN 'block' ELSE 'allow' END AS verdict FROM x
 """
 
+def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.payload_media(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op4_decontamination": op4_decontamination,
     "op6_secrets": op6_secrets,
     "op7_pii": op7_pii,
     "op8_url_filter": op8_url_filter,
+    "op9_gif_media": op9_gif_media,
 }
 SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op6_secrets": OP6_SQL, "op7_pii": OP7_SQL, "op8_url_filter": OP8_SQL}
