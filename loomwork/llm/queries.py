@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import decontam, gif, pii, secrets, toxicity, urlfilter
+from loomwork.llm import decontam, gif, minhash, pii, secrets, toxicity, urlfilter
 from loomwork.llm._spans import joined
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,7 +148,12 @@ def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.payload_media(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2)
+
+
 QUERIES: dict[str, Query] = {
+    "op1_minhash": op1_minhash,
     "op2_toxicity": op2_toxicity,
     "op4_decontamination": op4_decontamination,
     "op6_secrets": op6_secrets,
