@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import decontam, gif, minhash, pii, secrets, toxicity, urlfilter
+from loomwork.llm import decontam, gif, lm, minhash, pii, secrets, toxicity, urlfilter, warc
 from loomwork.llm._spans import joined
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,13 +152,32 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+m AS (SELECT h, max(page_id) AS lead FROM p WHERE strlen(h) >= 1000 GROUP BY h)
+SELECT page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha1(p.h) AS payload_digest,
+  CASE WHEN lead IS NULL OR lead = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN lead <> page_id THEN lead END AS refers_to
+FROM p LEFT JOIN m ON m.h = p.h
+"""
+
+
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), _remainder(10) != 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op2_toxicity": op2_toxicity,
+    "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
     "op6_secrets": op6_secrets,
     "op7_pii": op7_pii,
     "op8_url_filter": op8_url_filter,
     "op9_gif_media": op9_gif_media,
+    "op10_lm_scores": op10_lm_scores,
 }
-SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op6_secrets": OP6_SQL, "op7_pii": OP7_SQL, "op8_url_filter": OP8_SQL}
+SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op4_decontamination": OP4_SQL, "op6_secrets": OP6_SQL, "op7_pii": OP7_SQL, "op8_url_filter": OP8_SQL}
