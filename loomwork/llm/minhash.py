@@ -65,7 +65,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
             continue
         one = _U(c)
         for x in h[first[d] : first[d] + c]:
-            one = mix(np.array([one + x], np.uint64))[0]
+            one = mix(np.array([one], np.uint64) + x)[0]
         out.append(np.array([one] if c else [], np.uint64))
     return out
 
@@ -223,15 +223,9 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pairs(held)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: its id, n_shingles, component_id (least id of its group) and kept.
-
-    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Two documents are linked if
-    100 * intersection >= ``percent`` * union of their sets of ``shingle``-word shingles; ``percent``
-    should be 80 or more, for which the bands are made.
-    """
+def _groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Per row of ``docs`` (id, row, text): id, row, n, and lead, the struct (id, row) of its group's least row; null without words."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id).alias("id"), F.xxhash64(id, text).alias("row"), F.coalesce(text, F.lit("")).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     meta, _ = written(docs.mapInArrow(lambda it: _describe(it, shingle), f"id {kind}, row long, n long, node binary, sketch binary"), "meta")
     classes, _ = written(
@@ -268,16 +262,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id: st
         drop(spark, extra_path)
     drop(spark, more_path, members_path, links_path)
 
-    ids = classes.select("node", F.col("rep.id").alias("own"))
-    grouped = ids.join(labels, "node")
-    least = grouped.groupBy("label").agg(F.min("own").alias("least"))
-    moved = grouped.join(least, "label").select("node", "least")
-    final = ids.join(moved, "node", "left").select("node", F.coalesce("least", "own").alias("component_id"))
-    out = meta.select("id", "n", "node").join(final, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(
-        F.col("id").alias(id),
-        F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(F.when(F.col("node").isNull(), True).otherwise(F.col("id") == F.col("component_id")), F.lit(False)).alias("kept"),
-    )
+    grouped = classes.select("node", "rep").join(labels, "node")
+    least = grouped.groupBy("label").agg(F.min(F.when(F.col("rep.id").isNotNull(), F.col("rep"))).alias("known"), F.min("rep").alias("any"))
+    moved = grouped.join(least, "label").select("node", F.coalesce("known", "any").alias("least"))
+    final = classes.select("node", "rep").join(moved, "node", "left").select("node", F.coalesce("least", "rep").alias("lead"))
+    return meta.select("id", "row", "n", "node").join(final, "node", "left").select("id", "row", "n", "lead")
+
+
+def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
+    return docs.select(F.col(id).alias("id"), F.xxhash64(id, text).alias("row"), F.coalesce(text, F.lit("")).alias("text"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of ``docs``: its id, n_shingles, component_id (least id of its group) and kept.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Two documents are linked if
+    100 * intersection >= ``percent`` * union of their sets of ``shingle``-word shingles; ``percent``
+    should be 80 or more, for which the bands are made.
+    """
+    found = _groups(_keyed(docs, id, text), shingle, percent)
+    component = F.when(F.col("lead").isNull(), F.col("id")).otherwise(F.col("lead.id"))
+    kept = F.when(F.col("lead").isNull(), True).otherwise(F.coalesce(F.col("id") == F.col("lead.id"), F.lit(False)))
+    return found.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near duplicates: the least id's; of rows equal in id and text one. Texts without words all stay."""
+    worded = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    found = _groups(_keyed(docs.where(worded), id, text), shingle, percent)
+    leads = found.where("row = lead.row and id <=> lead.id").select(F.col("row").alias("_row"), F.col("id").alias("_id")).distinct()
+    rows = docs.where(worded).withColumn("_key", F.xxhash64(id, text))
+    lead = rows.join(leads, (F.col("_key") == F.col("_row")) & F.col(id).eqNullSafe(F.col("_id"))).dropDuplicates(["_row", id])
+    return lead.select(*docs.columns).unionByName(docs.where(~worded))

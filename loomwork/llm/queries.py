@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import decontam, gif, lm, minhash, pii, secrets, toxicity, urlfilter, warc
+from loomwork.llm import decontam, gif, lm, minhash, pii, secrets, sentencepiece, toxicity, urlfilter, warc
 from loomwork.llm._spans import joined
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,11 +170,21 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), _remainder(10) != 0)
 
 
+#: The vocabulary file of the SentencePiece queries.
+PIECES = os.environ.get("LOOMWORK_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece.encode_pieces(docs, PIECES).select("doc_id", "n_pieces", "ids", "round_trip")
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_secrets": op6_secrets,
     "op7_pii": op7_pii,
     "op8_url_filter": op8_url_filter,
