@@ -109,7 +109,7 @@ class Budget:
         return max(wait, 0.0)
 
 
-RESPONSE = T.StructType.fromDDL("request string, response string, errors array<string>, attempts int")
+RESPONSE = {"request": "string", "response": "string", "errors": "array<string>", "attempts": "int"}
 
 
 def call_service(requests: DataFrame, client: Client, config: RunnerConfig = RunnerConfig(), column: str = "request", tokens: str | None = None) -> DataFrame:
@@ -157,9 +157,9 @@ def call_service(requests: DataFrame, client: Client, config: RunnerConfig = Run
                     queue = again + queue
                     if limited:
                         time.sleep(config.cool_down_s)
-                yield pd.DataFrame(out, columns=RESPONSE.names)
+                yield pd.DataFrame(out, columns=list(RESPONSE))
 
-    return materialised(rows.repartition(config.partitions).mapInPandas(run, RESPONSE), "responses")
+    return materialised(rows.repartition(config.partitions).mapInPandas(run, ", ".join(f"{k} {v}" for k, v in RESPONSE.items())), "responses")
 
 
 def response_counts(responses: DataFrame) -> DataFrame:
