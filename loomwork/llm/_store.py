@@ -28,6 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK["dir"]
 
 
+#: Texts are long, so Arrow batches of fewer rows than Spark's default of 10,000 bound a worker's memory.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to at most BATCH_ROWS rows; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

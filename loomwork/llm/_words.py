@@ -20,7 +20,7 @@ SPACED[[32, 9, 10, 11, 12, 13]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 _SYMBOL = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 3
 _POW = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -93,14 +93,23 @@ class Words:
 
     def hashes(self, *limits: int) -> np.ndarray | list[np.ndarray]:
         """64-bit hash of each word; with ``limits``, a list that also has those of each word's first bytes."""
-        n = len(self.data)
-        p, inverse = _powers(n + 1)
-        c = np.zeros(n + 1, np.uint64)
-        np.cumsum(_SYMBOL[self.data] * p[:n], out=c[1:])
-        back, out = inverse[self.start], []
-        for limit in (n, *limits):
-            size = np.minimum(self.end - self.start, limit)
-            out.append(mix((c[self.start + size] - c[self.start]) * back + size.astype(np.uint64)))
+        spans = (1 << 62, *limits)
+        parts: list[list[np.ndarray]] = [[] for _ in spans]
+        i, words = 0, len(self.start)
+        while i < words or not parts[0]:  # stretches of CHUNK bytes, as prefix sums take many times the text
+            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + CHUNK, "right"))) if words else 0
+            at = self.start[i] if words else 0
+            data = self.data[at : self.end[j - 1]] if words else self.data[:0]
+            start, whole = self.start[i:j] - at, self.end[i:j] - self.start[i:j]
+            p, inverse = _powers(len(data) + 1)
+            c = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(_SYMBOL[data] * p[: len(data)], out=c[1:])
+            back = inverse[start]
+            for k, limit in enumerate(spans):
+                size = np.minimum(whole, limit)
+                parts[k].append(mix((c[start + size] - c[start]) * back + size.astype(np.uint64)))
+            i = j
+        out = [np.concatenate(x) if len(x) != 1 else x[0] for x in parts]
         return out if limits else out[0]
 
 

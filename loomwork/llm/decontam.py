@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.llm._store import new_path
+from loomwork.llm._store import new_path, small_batches
 from loomwork.llm._words import ALNUM, Words, chunks
 
 ADDED = ("n_words", "n_hit", "items", "longest_words", "longest_at", "longest_item")
@@ -203,6 +203,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep:
     ``keep``: the input columns to return, all by default; columns named as added ones are replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kept = [c for c in (keep or docs.columns) if c not in ADDED]
     tests = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0

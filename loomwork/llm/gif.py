@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from loomwork.llm._store import small_batches
+
 ROW = 192
 MAX_ROWS = 512
 _GREY = bytes(x for v in range(256) for x in (v, v, v))
@@ -317,4 +319,5 @@ def payload_media(df: DataFrame, text: str = "text", keep: list[str] | None = No
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
             yield pa.record_batch([*(batch.column(c) for c in kept), *(pa.array([x[k] for x in found], kinds[k]) for k in range(len(added)))], schema.names)
 
+    small_batches(df.sparkSession)
     return df.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)

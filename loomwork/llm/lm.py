@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm._store import drop, new_path, written
+from loomwork.llm._store import drop, new_path, small_batches, written
 from loomwork.llm._words import SPACED, Words, column, mix
 
 _U = np.uint64
@@ -228,12 +228,13 @@ def _score(batches: Iterator[pa.RecordBatch], folder: str, order: int, tokens: i
         yield block(held)
 
 
-def score_texts(docs: DataFrame, train: Column, order: int = 2, id: str = "doc_id", text: str = "text", prior: float = PRIOR, block_bytes: int = 10_000_000, bucket_bytes: int = 4_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, order: int = 2, id: str = "doc_id", text: str = "text", prior: float = PRIOR, block_bytes: int = 6_000_000, bucket_bytes: int = 4_000_000) -> DataFrame:
     """Per row of ``docs``: its id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     ``train``: which rows the model learns from. ``order``: words of the longest n-gram.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     kind = rows.schema["id"].dataType.simpleString()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm._store import drop, written
+from loomwork.llm._store import drop, small_batches, written
 from loomwork.llm._words import SPACED, Words, chunks, mix
 from loomwork.llm.urlfilter import _passes, build_filter
 
@@ -226,6 +226,7 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 def _groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Per row of ``docs`` (id, row, text): id, row, n, and lead, the struct (id, row) of its group's least row; null without words."""
     spark = docs.sparkSession
+    small_batches(spark)
     kind = docs.schema["id"].dataType.simpleString()
     meta, _ = written(docs.mapInArrow(lambda it: _describe(it, shingle), f"id {kind}, row long, n long, node binary, sketch binary"), "meta")
     classes, _ = written(

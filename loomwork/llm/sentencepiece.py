@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from loomwork.llm._store import small_batches
 from loomwork.llm._words import Words, chunks, mix
 
 MARK = "▁"
@@ -33,7 +34,7 @@ _NOT_SPACE[32] = False
 _U = np.uint64
 _NONE = 1 << 30
 #: Distinct words are matched in parts of about so many bytes.
-PART = 700_000
+PART = 300_000
 _CACHE_BITS = 20
 
 
@@ -285,7 +286,7 @@ class Batch:
     def __init__(self, encoder: Encoder):
         self.e = encoder
 
-    def encode(self, data: np.ndarray, off: np.ndarray, step: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, data: np.ndarray, off: np.ndarray, step: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number by text)."""
         data, off = _texts(data, off)
         pieces = []
@@ -369,6 +370,7 @@ def encode_pieces(df: DataFrame, path: str, text: str = "text", keep: list[str]
     added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("round_trip", T.BooleanType())]
     names = [f.name for f in added]
     kept = [c for c in (keep if keep is not None else [c for c in df.columns if c != text]) if c not in names]
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(load_model(path))
     made: list[Batch] = []
 
@@ -376,7 +378,7 @@ def encode_pieces(df: DataFrame, path: str, text: str = "text", keep: list[str]
         if not made:
             made.append(Batch(Encoder(sent.value)))
         for batch in batches:
-            for a, b, data, off in chunks(batch, text, 12_000_000):
+            for a, b, data, off in chunks(batch, text, 4_000_000):
                 ids, count = made[0].encode(data, off)
                 part = batch.slice(a, b - a)
                 plain, clean = _texts(data, off)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.llm._store import small_batches
 from loomwork.llm._words import ALNUM, Words, chunks, mix
 
 _U = np.uint64
@@ -105,6 +106,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = To
     Labels beyond ``max_train_rows`` aren't used; the sample is the first rows in hash order of the id.
     """
     c = config
+    small_batches(docs.sparkSession)
     sample = (
         labels.where("doc_id is not null and toxic is not null")
         .groupBy("doc_id")

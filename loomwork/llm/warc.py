@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.llm._store import new_path, written
+from loomwork.llm._store import new_path, small_batches, written
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -275,5 +275,6 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 
 def archive(pages: DataFrame, folder: str | None = None, with_payload: bool = False) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) to packages and reads them back."""
+    small_batches(pages.sparkSession)
     planned = plan_records(pages)
     return read_packages(write_packages(planned, folder or new_path(pages.sparkSession, "warc")), with_payload)
