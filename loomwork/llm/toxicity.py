@@ -35,9 +35,9 @@ class ToxicityConfig:
     bits: int = 22
     max_train_rows: int = 20_000
     epochs: int = 2
-    alpha: float = 1.5
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 2.0
+    l1: float = 3.0
     l2: float = 1.0
     threshold: float = 0.7
 
