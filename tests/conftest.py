@@ -19,5 +19,7 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
-    yield s
+    from loomwork.session import prepare
+
+    yield prepare(s)
     s.stop()
