@@ -12,7 +12,7 @@ def clean_text(text: Column, english: bool = True) -> Column:
     """Line breaks and tabs become spaces; with ``english`` all but ASCII letters, digits and spaces go; empty becomes ``emptydoc``."""
     out = F.regexp_replace(text, r"[\n\t]", " ")
     if english:
-        out = F.regexp_replace(out, r"[^A-Za-z0-9 ]+", "")
+        out = F.regexp_replace(out, r"[^ 0-9A-Za-z]+", "")
     return F.when(out == "", "emptydoc").otherwise(out)
 
 
@@ -124,12 +124,20 @@ def structs_to_string(items: Column, sep: str = " ") -> Column:
 
 def endpoint_of(url: Column) -> Column:
     """The API endpoint in a service URL: after the version, or after the deployment."""
-    plain = F.regexp_extract(url, r"^https://[^/]+/v\d+/(.+)$", 1)
-    deployed = F.regexp_extract(url, r"^https://[^/]+/openai/deployments/[^/]+/(.+?)(\?|$)", 1)
+    rest = F.when(F.startswith(url, F.lit("https://")), F.regexp_replace(url, "^https://[^/]*", ""))
+    plain = F.regexp_extract(rest, "^/v[0-9]+/(.+)", 1)
+    deployed = F.regexp_extract(rest, "^/openai/deployments/[^/]*/([^?]+)", 1)
     return F.coalesce(F.nullif(plain, F.lit("")), F.nullif(deployed, F.lit("")))
 
 
+def chat_marks() -> tuple[str, str, str]:
+    """What stands before the system text, between it and the user's, and after that, in the Llama 3 instruction format."""
+    mark = "<|{}|>".format
+    heads = [mark("start_header_id") + role + mark("end_header_id") + "\n\n" for role in ("system", "user", "assistant")]
+    return mark("begin_of_text") + heads[0], mark("eot_id") + heads[1], mark("eot_id") + heads[2]
+
+
 def chat_template(system: Column, user: Column) -> Column:
-    """System and user blocks of the Llama 3 instruction format."""
-    head = lambda role: f"<|start_header_id|>{role}<|end_header_id|>\n\n"
-    return F.concat(F.lit("<|begin_of_text|>" + head("system")), system, F.lit("<|eot_id|>" + head("user")), user, F.lit("<|eot_id|>" + head("assistant")))
+    """System and user blocks, and the head of the answer."""
+    before, between, after = map(F.lit, chat_marks())
+    return F.concat(before, system, between, user, after)

@@ -206,7 +206,7 @@ def fold_labels(folds: DataFrame, key: str, name: Column, values: list[str] | No
     return folds.withColumn("_name", name).groupBy(key).pivot("_name", values).agg(F.first("role"))
 
 
-def kfold_labels(df: DataFrame, c: KFold, key: str = "cv_index", labels: tuple[str, str] = ("train", "test")) -> DataFrame:
+def kfold_labels(df: DataFrame, c: KFold, key: str = "cv_index", labels: tuple = ("train", "test")) -> DataFrame:
     """key and ``fold_0`` ... ``fold_{k-1}`` with the two labels."""
     folds = cv_folds(df, c, key).withColumn("role", F.when(F.col("role") == "test", labels[1]).otherwise(labels[0]))
     return fold_labels(folds, key, F.concat(F.lit("fold_"), F.col("fold_number").cast("string")), [f"fold_{i}" for i in range(len(list(combinations(range(c.k), c.n_test))))])

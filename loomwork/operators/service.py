@@ -27,8 +27,11 @@ from loomwork.functions import text as tx
 from loomwork.operators.folds import with_row_index
 from loomwork.sources.tables import materialised
 
-MAX_INPUT = {"text-embedding-3-small": 8191, "text-embedding-3-large": 8191, "text-embedding-ada-002": 8191, "bge-small-en-v1.5": 512, "bge-large-en-v1.5": 512}
-PRICE = {"text-embedding-3-small": 2e-8, "text-embedding-3-large": 1.3e-7, "text-embedding-ada-002": 1e-7}
+#: Tokens that a model takes at most.
+MAX_INPUT = dict.fromkeys(("text-embedding-ada-002", "text-embedding-3-large", "text-embedding-3-small"), 8191)
+MAX_INPUT |= {"bge-small-en-v1.5": 512, "voyage-code-2": 16_000} | dict.fromkeys(["togethercomputer/m2-bert-80M-32k-retrieval"], 32_000)
+#: US dollars a token.
+PRICE = {"ada v2": 1e-7, "text-embedding-ada-002": 1e-7, "text-embedding-3-large": 1.3e-7, "text-embedding-3-small": 2e-8}
 
 
 class RateLimited(Exception):
@@ -183,15 +186,19 @@ def chat_messages(system: str, user: Column) -> Column:
     return F.array(message("system", F.lit(system)), message("user", user))
 
 
+def function_call(schema: dict) -> dict:
+    """The fields that make an answer follow a JSON schema: one function, to be called."""
+    name = schema.get("title", "answer")
+    function = dict(parameters=schema, description=schema.get("description", ""), name=name)
+    return dict(tool_choice=dict(function=dict(name=name), type="function"), tools=[dict(function=function, type="function")])
+
+
 def chat_request(messages: Column, model: str, schema: dict | None = None) -> Column:
     """A chat request; ``schema``: a JSON schema the answer must follow, as a function to call."""
     fields = [F.lit(model).alias("model"), messages.alias("messages")]
     if schema:
-        name = schema.get("title", "answer")
-        tools = [{"type": "function", "function": {"name": name, "description": schema.get("description", ""), "parameters": schema}}]
         head = F.to_json(F.struct(*fields))
-        extra = json.dumps({"tools": tools, "tool_choice": {"type": "function", "function": {"name": name}}})
-        return F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(", " + extra[1:]))
+        return F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(", " + json.dumps(function_call(schema))[1:]))
     return F.to_json(F.struct(*fields))
 
 

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.functions.text import chat_marks
 from loomwork.operators import service as sv
 from loomwork.sources.tables import materialised, read_chat_results, read_embedding_results, shared_folder, table, write_jsonl
 
@@ -110,10 +111,11 @@ QUERIES = {
 }
 
 _N = r"len(regexp_extract_all({}, '[A-Za-z0-9]+|[^A-Za-z0-9\x09-\x0D\x20]'))"
-_TOOLS = json.dumps({"tools": [{"type": "function", "function": {"name": "Props", "description": "", "parameters": SCHEMA}}], "tool_choice": {"type": "function", "function": {"name": "Props"}}})[1:]
+_TOOLS = json.dumps(sv.function_call(SCHEMA))[1:]
 _PARAMS = json.dumps({"max_new_tokens": 1024, "stop": ["<|eot_id|>"], "grammar": {"type": "json", "value": SCHEMA}})
-_HEAD = r"'<|begin_of_text|><|start_header_id|>system<|end_header_id|>\n\nLabel it.<|eot_id|><|start_header_id|>user<|end_header_id|>\n\n' || event_type || '<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n'"
-_LEN = "(length('<|begin_of_text|><|start_header_id|>system<|end_header_id|>..Label it.<|eot_id|><|start_header_id|>user<|end_header_id|>..') + length(event_type) + length('<|eot_id|><|start_header_id|>assistant<|end_header_id|>..'))"
+_MARKS = chat_marks()
+_HEAD = "'" + json.dumps(_MARKS[0] + "Label it." + _MARKS[1])[1:-1] + "' || event_type || '" + json.dumps(_MARKS[2])[1:-1] + "'"
+_LEN = f"({sum(map(len, _MARKS)) + 9} + length(event_type))"
 _MSG = "[{'role': 'system', 'content': 'SYS'}, {'role': 'user', 'content': COL}]"
 SQL = {
     "embedding_payloads": f"SELECT conv_id, turn, md5(to_json({{'model': '{MODEL}', 'input': text}})::VARCHAR) AS digest FROM conversations",

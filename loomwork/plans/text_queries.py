@@ -79,7 +79,7 @@ QUERIES = {f.__name__: f for f in (class_tfidf_top_terms, class_bm25_top_terms,
 
 def _counts(by: str, source: str = "documents") -> str:
     return rf"""cleaned AS (SELECT {by}, CASE WHEN t = '' THEN 'emptydoc' ELSE t END AS t FROM (
-      SELECT {by}, regexp_replace(regexp_replace(text, '[\n\t]', ' ', 'g'), '[^A-Za-z0-9 ]+', '', 'g') AS t FROM {source})),
+      SELECT {by}, regexp_replace(regexp_replace(text, '[\n\t]', ' ', 'g'), '[^ 0-9A-Za-z]+', '', 'g') AS t FROM {source})),
     counts AS (SELECT {by}, term, count(*) AS n FROM (SELECT {by}, unnest(string_split(lower(t), ' ')) AS term FROM cleaned) WHERE length(term) >= 2 GROUP BY ALL)"""
 
 
@@ -102,7 +102,7 @@ SQL = {
         SELECT doc_id, string_agg(term, ' ' ORDER BY rank) AS tfidf_words, round(max(score) FILTER (rank = 1), 9) AS best_score,
           doc_id || '_' || string_agg(term, '_' ORDER BY rank) FILTER (rank <= 4) AS label FROM ranks WHERE rank <= 5 GROUP BY doc_id""",
     "bigram_counts": r"""WITH c AS (SELECT role, list_filter(string_split(lower(CASE WHEN t = '' THEN 'emptydoc' ELSE t END), ' '), lambda w: length(w) >= 2) AS w FROM (
-          SELECT role, regexp_replace(regexp_replace(text, '[\n\t]', ' ', 'g'), '[^A-Za-z0-9 ]+', '', 'g') AS t FROM conversations)),
+          SELECT role, regexp_replace(regexp_replace(text, '[\n\t]', ' ', 'g'), '[^ 0-9A-Za-z]+', '', 'g') AS t FROM conversations)),
         g AS (SELECT role, unnest(w) AS term FROM c UNION ALL SELECT role, w[i] || ' ' || w[i + 1] FROM c, unnest(range(1, len(w))) AS x(i))
         SELECT role, term, count(*) AS n FROM g GROUP BY ALL""",
     "prompts": """SELECT event_id, 'Event: user ' || user_id || ' did ' || event_type || ' at hour ' || hour(ts) || ' for ' || round(value, 2)::DECIMAL(20, 2) || ' of ' ||
@@ -111,7 +111,6 @@ SQL = {
         FROM (SELECT l_orderkey, l_quantity::BIGINT AS q FROM lineitem) GROUP BY l_orderkey""",
     "parsed_names": """SELECT p_partkey, 'part_' || p_size || '_of_' || replace(p_brand, '_', '-') AS name, p_size::VARCHAR AS size, replace(p_brand, '_', '-') AS brand FROM part""",
     "endpoints": """SELECT page_id, string_split(url, '://')[-1] AS plain, 'chat/completions' AS deployed, CAST(NULL AS VARCHAR) AS "none" FROM pages""",
-    "chat_templates": r"""SELECT conv_id, turn, md5('<|begin_of_text|><|start_header_id|>system<|end_header_id|>' || chr(10) || chr(10) || 'You are ' || role ||
-        '<|eot_id|><|start_header_id|>user<|end_header_id|>' || chr(10) || chr(10) || text || '<|eot_id|><|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10)) AS digest FROM conversations""",
+    "chat_templates": "SELECT conv_id, turn, md5(" + " || ".join(f"replace('{m}', '$', chr(10)){p}" for m, p in zip((m.replace("\n", "$") for m in tx.chat_marks()), (" || 'You are ' || role", " || text", ""))) + ") AS digest FROM conversations",
     "conversation_json": """SELECT conv_id, count(*) AS n, string_agg(to_json({'role': role, 'content': text})::VARCHAR, ' ' ORDER BY turn, role, text) AS str_messages FROM conversations GROUP BY conv_id""",
 }
