@@ -208,7 +208,7 @@ class Encoder:
             piece.append(np.repeat(self.long, hi - lo))
         return np.concatenate(start), np.concatenate(piece)
 
-    def encode(self, text: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, text: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
         """Pieces of the words text[first:end]: (flat, number by word, start of each flat piece in ``text``)."""
         m = self.m
         start, piece = self.edges(text)
