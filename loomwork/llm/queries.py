@@ -179,6 +179,19 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode_pieces(docs, PIECES).select("doc_id", "n_pieces", "ids", "round_trip")
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS x FROM w, unnest(range(1, len(w))) AS t(i) UNION SELECT doc_id, w[1] FROM w WHERE len(w) = 1),
+n AS (SELECT w.doc_id, count(x) AS n FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY w.doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+linked AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT linked.b, r.root FROM r JOIN linked ON linked.a = r.doc_id AND r.root < linked.b),
+m AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT n.doc_id, n AS n_shingles, component_id, n.doc_id = component_id AS kept FROM n JOIN m ON m.doc_id = n.doc_id
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op2_toxicity": op2_toxicity,
@@ -191,4 +204,4 @@ QUERIES: dict[str, Query] = {
     "op9_gif_media": op9_gif_media,
     "op10_lm_scores": op10_lm_scores,
 }
-SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op4_decontamination": OP4_SQL, "op6_secrets": OP6_SQL, "op7_pii": OP7_SQL, "op8_url_filter": OP8_SQL}
+SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op3_warc": OP3_SQL, "op4_decontamination": OP4_SQL, "op6_secrets": OP6_SQL, "op7_pii": OP7_SQL, "op8_url_filter": OP8_SQL}
