@@ -15,7 +15,7 @@ The automaton grows with the corpus and is never held whole. Documents are cut i
 2. A bucket adds the counts up and returns to each block the totals of its entries, in order.
 3. Each block builds the automaton of its n-grams and traverses its documents from left to right.
 
-Block names are digests of their rows, so a recomputed block has the same name; if a source gives
+Block names are made of their rows, partition and number, so a recomputed block has the same name; if a source gives
 other blocks when it is read again, the last step finds totals missing and fails.
 
 Tokens: words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, then one end. Null and empty texts are one
@@ -27,9 +27,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,6 +121,8 @@ class Automaton:
 def _send(batches: Iterator[pa.RecordBatch], folder: str, order: int, buckets: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     size = 0
+    task = TaskContext.get()
+    numbers = count()
 
     def flush() -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
@@ -128,7 +132,7 @@ def _send(batches: Iterator[pa.RecordBatch], folder: str, order: int, buckets: i
         name.update(data)
         name.update(off)
         name.update(repr(batch.column("id").to_pylist()).encode())
-        name = name.hexdigest()
+        name = f"{name.hexdigest()}-{task.partitionId() if task else 0}-{next(numbers)}"  # equal blocks are two
         from pyarrow import fs
 
         where, path = fs.FileSystem.from_uri(folder)

@@ -75,3 +75,9 @@ def test_odd_rows(odd, none):
     untrained = lm.score_texts(odd, F.lit(None).cast("boolean")).collect()
     assert {(r.score, r.n_known, r.train_tokens) for r in untrained} == {(0.0, 0, 0)}
     assert lm.score_texts(none, F.lit(True)).count() == 0
+
+
+def test_equal_blocks(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b")], "doc_id long, text string").coalesce(1)
+    rows = lm.score_texts(docs.union(docs), F.lit(True)).collect()
+    assert sorted(r.doc_id for r in rows) == [1, 1, 2, 2] and {r.train_tokens for r in rows} == {14}
