@@ -11,6 +11,9 @@ from dataclasses import asdict, dataclass
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
@@ -18,7 +21,6 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.functions.vectors import cosine
 from loomwork.operators.features import Categorical, FeatureSet, InputConfig, Scaler, dictionary, one_hot
 from loomwork.operators.folds import NestedCV, nested_folds
 from loomwork.operators.metrics import accuracy_and_mcc
@@ -150,18 +152,80 @@ def fit_and_score(rows: DataFrame, s: FeatureSet, c: Classifier, target: str, ke
     return model.transform(rows.select(key, "role", F.col(target).alias("target"), vector.alias("features"))).select(key, "role", "target", F.col("prediction").cast("long").alias("prediction"))
 
 
-def knn_predict(train: DataFrame, test: DataFrame, vector: str, target: str, key: str, k: int = 5, max_train: int = 20_000) -> DataFrame:
-    """(key, prediction) by the mode of the k most similar training rows. The training side is broadcast and so must
-    have at most ``max_train`` rows."""
-    if train.limit(max_train + 1).count() > max_train:
-        raise ValueError(f"more than {max_train} training rows")
-    side = train.select(F.col(vector).alias("_v"), F.col(target).alias("_t"), F.col(key).alias("_k")).groupBy().agg(F.collect_list(F.struct("_v", "_t", "_k")).alias("_all"))
-    scored = test.select(key, vector).join(F.broadcast(side)).select(key, F.transform("_all", lambda r: F.struct((-F.round(cosine(F.col(vector), r["_v"]), 12)).alias("s"), r["_k"].alias("i"), r["_t"].alias("t"))).alias("x"))
-    near = scored.select(key, F.explode(F.slice(F.array_sort("x"), 1, k)).alias("n")).groupBy(key, F.col("n.t").alias("prediction")).agg(F.count("*").alias("c"))
+#: Rows of a block of either side, and of the test rows whose similarities are held at a time.
+KNN_BLOCK, KNN_ROWS = 8192, 256
+
+
+def knn_predict(train: DataFrame, test: DataFrame, vector: str, target: str, key: str, k: int = 5, apart: str | None = None) -> DataFrame:
+    """(key, prediction) by the mode of the k most similar training rows; ties go to the least key, undefined
+    similarities (null or zero vectors) come last. Exact for any number of rows: blocks of both sides meet pairwise,
+    each pair gives a test row's top k of it, and these are merged. With ``apart``, training rows that have the test
+    row's value of this column don't count."""
+    fold = (F.col(apart) if apart else F.lit(0)).alias("_f")
+    n_test, n_train = (max(-(-df.count() // KNN_BLOCK), 1) for df in (test, train))
+
+    def block(n: int) -> Column:
+        return F.pmod(F.xxhash64(key, vector), F.lit(n))
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    rows = test.select(F.col(key).alias("_key"), F.col(vector).alias("_v"), fold, F.xxhash64(vector).alias("_h"), block(n_test).alias("_a")).dropDuplicates(["_key", "_h", "_f"])
+    side = train.select(F.col(key).alias("_i"), F.col(vector).alias("_v"), fold, F.col(target).alias("_t"), block(n_train).alias("_b"))
+    kinds = {x: side.schema[x].dataType.simpleString() for x in ("_i", "_t")}
+    scored = (
+        rows.withColumn("_b", every(n_train))
+        .groupBy("_a", "_b")
+        .cogroup(side.withColumn("_a", every(n_test)).groupBy("_a", "_b"))
+        .applyInArrow(lambda x, y: _nearest(x, y, k, apart is not None), f"_key {rows.schema['_key'].dataType.simpleString()}, _h long, _s double, _i {kinds['_i']}, _t {kinds['_t']}")
+    )
+    top = scored.groupBy("_key", "_h").agg(F.slice(F.array_sort(F.collect_list(F.struct("_s", "_i", "_t"))), 1, k).alias("n"))
+    near = top.select(F.col("_key").alias(key), F.explode("n").alias("n")).groupBy(key, F.col("n._t").alias("prediction")).agg(F.count("*").alias("c"))
     best = Window.partitionBy(key).orderBy(F.desc("c"), "prediction")
     return near.withColumn("_r", F.row_number().over(best)).where("_r = 1").select(key, "prediction")
 
 
+def _matrix(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows, padded with zeros, and their lengths; length -1: no direction."""
+    flat, n = pc.list_flatten(vectors), pc.list_value_length(vectors).to_numpy()
+    if not vectors.null_count and not flat.null_count and len(n) and (n == n[0]).all():
+        size, out = n.astype(int), flat.to_numpy().astype(float).reshape(len(n), -1)
+    else:
+        lists = [None if v is None or None in v else v for v in vectors.to_pylist()]
+        size = np.array([-1 if v is None else len(v) for v in lists], int)
+        out = np.zeros((len(lists), max(size.max(initial=0), 0)))
+        for i, v in enumerate(lists):
+            out[i, : len(v or ())] = v or ()
+    with np.errstate(all="ignore"):
+        norm = np.sqrt((out * out).sum(axis=1))
+        good = np.isfinite(norm) & (norm > 0)
+        return np.where(good[:, None], out / norm[:, None], 0.0), np.where(good, size, -1)
+
+
+def _nearest(test: pa.Table, train: pa.Table, k: int, apart: bool) -> pa.Table:
+    """The k nearest rows of a training block for each row of a test block."""
+    train = train.take(pc.sort_indices(train, sort_keys=[("_i", "ascending"), ("_t", "ascending")], null_placement="at_start"))
+    (a, la), (b, lb) = _matrix(test["_v"]), _matrix(train["_v"])
+    width = min(a.shape[1], b.shape[1])  # rows of unequal length don't compare
+    fa, fb = (np.array(t["_f"].to_pylist(), object) for t in (test, train))
+    codes = {v: c for c, v in enumerate(dict.fromkeys([*fa, *fb]))}
+    fa, fb = (np.array([codes[v] for v in f], int) for f in (fa, fb))
+    at, of, by = [], [], []
+    for i in range(0, len(a) if len(b) else 0, KNN_ROWS):
+        s = 0.0 - np.round(a[i : i + KNN_ROWS, :width] @ b[:, :width].T, 12)
+        s[(la[i : i + KNN_ROWS, None] != lb) | (lb < 0)] = np.inf
+        if apart:
+            s[fa[i : i + KNN_ROWS, None] == fb] = np.nan
+        bound = np.partition(s, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1 : min(k, len(b))]  # NaN sorts last
+        r, c = np.nonzero(s <= np.where(np.isnan(bound), np.inf, bound))
+        order = np.lexsort((c, s[r, c], r))
+        r, c = r[order], c[order]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < k
+        at, of, by = [*at, r[first] + i], [*of, c[first]], [*by, s[r[first], c[first]]]
+    at, of, by = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((at, int), (of, int), (by, float)))
+    return pa.table({"_key": test["_key"].take(pa.array(at)), "_h": test["_h"].take(pa.array(at)), "_s": pa.array(by), "_i": train["_i"].take(pa.array(of)), "_t": train["_t"].take(pa.array(of))})
+
+
 TASK = ["feature_set_name", "classifier_name", "classifier_id", "r_outer", "k_outer", "r_inner", "k_inner"]
 
 

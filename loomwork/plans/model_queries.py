@@ -51,9 +51,10 @@ def nested_cv_training(spark: SparkSession, d: str) -> DataFrame:
 
 
 def neighbour_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Each row as a test row of its fold, by the training rows of the same split: those of all other folds."""
     e = table(spark, d, "embeddings")
-    placed = fd.cv_folds(e, fd.KFold(k=5, seed=4), "vec_id").where("fold_number = 0").join(e, "vec_id")
-    return tr.knn_predict(placed.where("role = 'train'"), placed.where("role = 'test'"), "embedding", "label", "vec_id", 5)
+    tests = fd.cv_folds(e, fd.KFold(k=5, seed=4), "vec_id").where("role = 'test'").select("vec_id", "fold_number").join(e, "vec_id")
+    return tr.knn_predict(tests, tests, "embedding", "label", "vec_id", 5, apart="fold_number")
 
 
 def clustered_topics(spark: SparkSession, d: str) -> DataFrame:

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from loomwork.operators import features as ft
 from loomwork.operators import folds as fd
 from loomwork.operators import topics as tp
 from loomwork.operators import train as tr
+from loomwork.plans import model_queries as mq
 from loomwork.sources import tables as tb
 from loomwork.streaming import events as ev
 
@@ -91,3 +94,37 @@ def test_sinks_and_streams(spark, tmp_path):
     out = ev.run_available(ev.tumbling(stream), "windows").collect()
     assert sorted(r.n for r in out) == [2] * len(out) and len(out) == 4  # the last window stays open
     assert ev.run_available(ev.unique_requests(ev.read_stream(spark, str(tmp_path / "s"), rows.schema), "user_id", late="1 day"), "unique").count() == 2
+
+
+def _brute_knn(train, test, k):
+    """Of (key, vector, label): votes of the k most similar by rounded cosine, then key."""
+    unit = lambda v: np.array(v, float) / (np.linalg.norm(v) or 1)
+    near = lambda v: sorted((-round(float(unit(v) @ unit(w)), 12) if np.any(w) and np.any(v) else np.inf, i, t) for i, w, t in train)[:k]
+    return {i: min((-c, t) for t, c in Counter(x[2] for x in near(v)).items())[1] for i, v, _ in test}
+
+
+def test_neighbours_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(tr, "KNN_BLOCK", 40)  # several blocks a side
+    g = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in g.integers(-2, 3, 3)], int(g.integers(0, 4))) for i in range(300)]  # ties and zero vectors
+    df = spark.createDataFrame(rows, "id long, v array<float>, label int")
+    train, test = rows[:200], rows[200:]
+    got = {r.id: r.prediction for r in tr.knn_predict(df.where("id < 200"), df.where("id >= 200"), "v", "label", "id", 3).collect()}
+    assert got == _brute_knn(train, test, 3)
+    bad = spark.createDataFrame([(0, None, 9), (1, [1.0, None, 0.0], 9), (2, [1.0], 9), (3, [1.0, 0.0, 0.0], 5)], "id long, v array<float>, label int")
+    assert [tuple(r) for r in tr.knn_predict(bad, df.where("id = 200"), "v", "label", "id", 1).collect()] == [(200, 5 if np.any(rows[200][1]) else 9)]
+    many = spark.range(20_001).selectExpr("id", "array(float(id % 7), 1f) as v", "int(id % 7) as label")
+    monkeypatch.setattr(tr, "KNN_BLOCK", 8192)
+    assert tr.knn_predict(many, many.where("id < 7"), "v", "label", "id", 5).where("id != prediction").count() == 0
+
+
+def test_neighbours_of_all_folds(spark):
+    d = "/root/testdata/sf0.001"
+    e = [(r.vec_id, r.embedding, r.label) for r in tb.table(spark, d, "embeddings").collect()]
+    folds = fd.cv_folds(tb.table(spark, d, "embeddings"), fd.KFold(k=5, seed=4), "vec_id").collect()
+    want = {}
+    for f in range(5):
+        role = {r.vec_id: r.role for r in folds if r.fold_number == f}
+        want |= _brute_knn([x for x in e if role[x[0]] == "train"], [x for x in e if role[x[0]] == "test"], 5)
+    got = [tuple(r) for r in mq.neighbour_predictions(spark, d).collect()]
+    assert len(got) == len(e) and dict(got) == want
