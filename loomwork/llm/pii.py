@@ -34,6 +34,23 @@ _MOD97 = (
 _PART = "forall(split(x, '[.]'), p -> length(regexp_replace(p, '^0+', '')) <= 3 and cast(concat('0', substring(regexp_replace(p, '^0+', ''), 1, 3)) as int) <= 255)"
 
 
+#: Characters of an IBAN by country, of the IBAN registry. A proposal ends there, not in the word that follows.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """Countries by their length, where no further capital or digit follows; others with any length, up to a word's end if there is one."""
+    codes = {n: "|".join(c.split()) for n, c in IBAN_LENGTHS.items()}
+    rest = {n: rf"(?:\x20?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n in codes}
+    known = "|".join(f"(?:{c})[0-9]{{2}}{rest[n]}(?![A-Z0-9])" for n, c in codes.items())
+    free = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?"
+    return rf"(?=[A-Z]{{2}}[0-9]{{2}})(?:{known}|(?!{'|'.join(codes.values())})(?:{free}(?![A-Za-z0-9])|{free}))"
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -49,7 +66,7 @@ KINDS = (
     Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}", _PART, 0.7, ("ip ", "address", "host")),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", f"length({_DIGITS}) between 12 and 19 and {_LUHN}", 0.9, ("card", "visa", "credit")),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) between 9 and 15", 0.6, ("tel", "phone", "call")),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", _MOD97, 0.8, ("iban", "account", "bank"), False),
+    Kind("iban", _iban(), _MOD97, 0.8, ("iban", "account", "bank"), False),
     Kind("ssn", r"(?:(?<![0-9-])|\G)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "true", 0.4, ("ssn", "social security"), False),
 )
 

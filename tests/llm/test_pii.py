@@ -51,3 +51,17 @@ def test_odd_rows(odd, none):
     assert out.columns == [*(c for c in odd.columns if c != "spans"), "spans"] and out.count() == 12
     assert {r.doc_id: [s.kind for s in r.spans] for r in out.collect() if r.spans} == {11: ["email"]}
     assert pii.find_pii(none).count() == 0
+
+
+def test_ibans_of_all_lengths_before_words(spark):
+    numbers = (
+        "NO9386011117947 BE68539007547034 NL91ABNA0417164300 AT611904300234573201 CH9300762011623852957 DE89370400440532013000 GI75NWBK000000007099453"
+        " ES9121000418450200051332 SE4550000000058398257466 CZ6508000000192000145399 FR1420041010050500013M02606 PL61109010140000071219812874 MT84MALT011000012345MTLCAST001S"
+    ).split()
+    forms = [n for x in numbers for n in (x, " ".join(x[i : i + 4] for i in range(0, len(x), 4)))]
+    want = {f"to {n}{after}": [n] for n in forms for after in (" Please", " PLEASE NOW", " 12 Main", " 2024", " A", "and", ".", "")}
+    want |= {f"{a} {b}": [a, b] for a in numbers for b in numbers}
+    rows = pii.find_pii(spark.createDataFrame([(t,) for t in want], "text string")).collect()
+    assert {r.text: [r.text[s.start : s.end] for s in r.spans if s.kind == "iban"] for r in rows} == want
+    other = pii.find_pii(spark.createDataFrame([("iban DZ580002100001113000000570 Please",), ("AT611904300234573202 Please",), ("AT611904300234573201P",)], "text string")).collect()
+    assert [[r.text[s.start : s.end] for s in r.spans if s.kind == "iban"] for r in other] == [["DZ580002100001113000000570"], [], []]
