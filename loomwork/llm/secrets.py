@@ -43,12 +43,12 @@ RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "length(g) >= 12", 2, True),
     Rule("access", r"AKIA[A-Z0-9]{14,}", base=True),
     Rule("hex", r"[0-9a-f]{16,}", base=True),
-    Rule("forge", r"gh[pousr]_[A-Za-z0-9]{30,}"),
+    Rule("forge", r"(?:gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,})"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("cloud", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("login", r"[a-z][a-z0-9+]{1,9}://[^\x09-\x0D\x20:/@]{1,64}:[^\x09-\x0D\x20:/@]{3,64}@"),
+    Rule("login", r"[a-z][a-z0-9+]{1,9}://[^\x09-\x0D\x20:/@]*+:[^\x09-\x0D\x20:/@]{3,}+@"),
     Rule("bearer", r"(?i)bearer\x20+[A-Za-z0-9._~+/-]{20,}"),
 )
 

@@ -78,3 +78,26 @@ def test_digest(spark):
     r = _span_digests(sc.find_secrets(docs), ["assign", "access", "hex"]).first()
     assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base(TEXTS[4])).encode()).hexdigest()
     assert (r.n_assign, r.n_hex) == (1, 1) and op6_secrets.__name__ == "op6_secrets"
+
+
+LONG = [
+    "https://bot:github_pat_" + "a1B2c3D4e5F" * 2 + "_" + "x9" * 29 + "z@github.com",
+    "see github_pat_" + "A" * 22 + "_" + "b" * 59 + ".",
+    "redis://:hunter22@host/0",
+    "https://" + "u" * 500 + ":" + "p" * 90_000 + "@host",
+    "ghs_" + "a1B2" * 9 + " ftp://a:bc@h ab://" + "c" * 90_000 + " http://x:80/ y@z",
+]
+
+
+def test_long_logins_and_forge_tokens(spark):
+    docs = spark.createDataFrame(list(enumerate(LONG)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans if s.kind in ("login", "forge")] for r in sc.find_secrets(docs).collect()}
+    want = {i: sorted(((r.kind, *m.span()) for r in sc.RULES if r.kind in ("login", "forge") for m in re.finditer(r.pattern, t)), key=lambda s: s[1]) for i, t in enumerate(LONG)}
+    assert got == want
+    assert [[k for k, *_ in got[i]] for i in range(5)] == [["login", "forge"], ["forge"], ["login"], ["login"], ["forge"]]
+    assert len(LONG[0][12:-11]) == 93
+    masked = {r.doc_id: r.text for r in sc.redact(docs).collect()}
+    assert [masked[i] for i in range(4)] == ["[SECRET]github.com", "see [SECRET].", "[SECRET]host/0", "[SECRET]host"]
+    for rule in sc.RULES:
+        q = sc.trigram_query(rule.pattern)
+        assert all(any(all(g in t.lower() for g in part) for part in q) for t in LONG if q is not None and re.search(rule.pattern, t))
