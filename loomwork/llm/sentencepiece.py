@@ -381,13 +381,12 @@ def encode_pieces(df: DataFrame, path: str, text: str = "text", keep: list[str]
             for a, b, data, off in chunks(batch, text, 4_000_000):
                 ids, count = made[0].encode(data, off)
                 part = batch.slice(a, b - a)
-                plain, clean = _texts(data, off)
                 back, ends = decode_ids(ids, count, sent.value.text_of)
-                if back == plain.tobytes() and np.array_equal(ends, clean):
+                raw = data.tobytes()  # with space marks as they came
+                if back == raw and np.array_equal(ends, off):
                     same = np.ones(b - a, bool)
                 else:
-                    raw = plain.tobytes()
-                    same = np.array([back[ends[i] : ends[i + 1]] == raw[clean[i] : clean[i + 1]] for i in range(b - a)])
+                    same = np.array([back[ends[i] : ends[i + 1]] == raw[off[i] : off[i + 1]] for i in range(b - a)])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(ids, pa.int32()))
                 for c in range(0, b - a, 1000):  # smaller batches for the JVM
                     cut = slice(c, min(c + 1000, b - a))

@@ -53,3 +53,9 @@ def test_odd_rows_and_decoding(spark, odd, none, library):
     assert sorted(r.text for r in back) == sorted(r.text or "" for r in rows)
     assert sp.encode_pieces(none, PIECES).count() == 0
     assert sp.decode_pieces(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), PIECES).first().text is None
+
+
+def test_round_trip_of_space_marks(spark):
+    texts = ["plain text", "a▁b", "▁", "  two  ", ""]
+    rows = sp.encode_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PIECES).collect()
+    assert {r.doc_id: r.round_trip for r in rows} == {0: True, 1: False, 2: False, 3: True, 4: True}
