@@ -28,16 +28,47 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK["dir"]
 
 
-#: Texts are long, so Arrow batches of fewer rows than Spark's default of 10,000 bound a worker's memory.
-BATCH_ROWS = 2000
+#: Texts are long, so Arrow batches smaller than Spark's default of 10,000 rows bound a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to at most BATCH_ROWS rows; a smaller setting stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    rows = int(spark.conf.get(name))
-    if rows <= 0 or rows > BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Sets the session's Arrow batches to at most BATCH_ROWS rows and BATCH_BYTES (or one row); smaller settings stay."""
+    for name, most in ((_ROWS, BATCH_ROWS), (_BYTES, BATCH_BYTES)):
+        now = spark.conf.get(name).lower().rstrip("b")
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
+#: Schemes that Arrow's file systems read and write. Files that aren't Parquet go through them.
+DIRECT = {"file", "hdfs", "viewfs", "s3", "gs", "gcs", "abfs", "abfss"}
+
+
+def direct(spark: SparkSession) -> None:
+    """ValueError at once if the shared folder is on a file system that tasks can't write files to."""
+    scheme, colon, _ = shared_dir(spark).partition("://")
+    if colon and scheme not in DIRECT:
+        raise ValueError(f"spark.checkpoint.dir is on {scheme}; this operator writes files of its own and needs one of {', '.join(sorted(DIRECT))}")
+
+
+def opened(path: str):
+    """Arrow's file system of a path, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+
+
+def put(folder: str, name: str, write) -> None:
+    """Has ``write`` fill a file of this attempt's own, which then gets its name: attempts of one task don't
+    mix, and a file under its name is whole."""
+    where, path = opened(folder)
+    where.create_dir(path, recursive=True)
+    mine = f"{path}/{name}.{uuid.uuid4().hex}"
+    with where.open_output_stream(mine) as f:
+        write(f)
+    where.move(mine, f"{path}/{name}")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -45,10 +76,15 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` written as Parquet and read again, with its path."""
+    """``df`` written as Parquet and read again, with its path. Its shuffle files go when it is written."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -5,10 +5,15 @@ transparent indices, disposal to background or previous, delays, comments and ot
 ``encode`` stores 8-bit samples losslessly as frames of a grey palette. ``payload_media`` is the
 column operator: every text becomes a GIF, which is then read back from its bytes.
 
+Every displayed frame is composed on the canvas by the rules of disposal and transparency. ``frames_table``
+stores its pixels, its time and the histograms of its red, green and blue.
+
 Writing LZW is sequential, so this is Python; an image is one row, so memory is that of one batch and one image.
-Null and empty texts give one block of padding. Broken images give an error text instead of frames;
-a stream that ends early leaves the missing samples at the background. Repeated rows are each
-returned; equal texts have equal values.
+Null and empty texts give one block of padding. Broken images give an error text instead of frames, never a
+failed task: code sizes other than 2 to 8, and frames or canvases of more than MAX_SAMPLES samples or more than
+their streams could fill, are errors before anything is allocated. A stream that ends early leaves the missing
+samples at the background. Repeated rows are each returned; equal texts have equal values. Columns that are
+named as added ones are replaced.
 """
 
 from __future__ import annotations
@@ -23,10 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from loomwork.llm._columns import others
 from loomwork.llm._store import small_batches
 
 ROW = 192
 MAX_ROWS = 512
+#: Samples of a frame, and of the canvas, at most; 64 million are 256 MB of composed pixels.
+MAX_SAMPLES = 1 << 26
+BINS = 8
 _GREY = bytes(x for v in range(256) for x in (v, v, v))
 
 
@@ -87,6 +96,8 @@ def lzw_decode(stream: bytes, bits: int, size: int) -> bytes:
     table is what code k wrote and the sample after it, so each sample of a code above the literals
     points to an earlier sample; pointer doubling resolves them all.
     """
+    if not 2 <= bits <= 8:
+        raise ValueError(f"LZW codes of {bits} bits")
     clear, room = 1 << bits, 4096 - (1 << bits) - 2
     packed = np.concatenate([np.frombuffer(stream, np.uint8), np.zeros(4, np.uint8)])
     parts, got, at, end = [], 0, 0, 8 * len(stream)
@@ -122,6 +133,8 @@ def lzw_decode(stream: bytes, bits: int, size: int) -> bytes:
             p = p[p]
         length = length + length[p] + 1
         start = np.cumsum(length) - length
+        m = int(np.searchsorted(start, size - got))  # codes beyond the last sample wanted aren't written
+        back, plain, length, start, code = back[:m], plain[:m], length[:m], start[:m], code[:m]
         owner = np.repeat(np.arange(m), length)
         place = np.arange(len(owner))
         source = place + (start[back] - start)[owner]
@@ -172,6 +185,8 @@ def decode(b: bytes, render: bool = True) -> list[Frame]:
         common = np.frombuffer(b[at : at + 3 * n], np.uint8).reshape(-1, 3)
         at += 3 * n
     frames: list[Frame] = []
+    if w * h > MAX_SAMPLES:
+        raise ValueError(f"a canvas of {w} x {h}")
     canvas = np.zeros((h, w, 4), np.uint8) if render else None
     delay = disposal = 0
     clear: int | None = None
@@ -198,6 +213,8 @@ def decode(b: bytes, render: bool = True) -> list[Frame]:
             at += 3 * n
         bits = b[at]
         stream, at = _blocks(b, at + 1)
+        if fw * fh > min(MAX_SAMPLES, 4096 * (8 * len(stream) // 3 + 1)):  # a code writes 4096 samples at most
+            raise ValueError(f"a frame of {fw} x {fh} from {len(stream)} bytes")
         flat = np.zeros(fw * fh, np.uint8)
         got = np.frombuffer(lzw_decode(stream, bits, fw * fh), np.uint8)
         flat[: len(got)] = got
@@ -248,42 +265,45 @@ def encode(samples: bytes, row: int = ROW, max_rows: int = MAX_ROWS, delay_cs: i
     return b"".join(parts) + b"\x3b"
 
 
-def histogram(frames: list[Frame], bins: int = 8) -> np.ndarray:
-    """Samples of all frames by luminance of their palette colour, in ``bins`` equal bins; transparent ones are left out."""
-    total = np.zeros(bins, np.int64)
-    for f in frames:
-        luma = f.palette.astype(np.int64) @ np.array([299, 587, 114]) // 1000
-        n = np.bincount(f.samples.ravel(), minlength=256)[: len(luma)]
-        if f.transparent is not None and f.transparent < len(n):
-            n[f.transparent] = 0
-        np.add.at(total, luma * bins // 256, n)
-    return total
+def histograms(rgba: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """(3, bins): pixels of a composed frame by their red, green and blue, in equal bins; transparent ones are left out."""
+    pixels = rgba.reshape(-1, 4)
+    shown = pixels[:, 3] > 0
+    if not shown.all():
+        pixels = pixels[shown]
+    n = [np.bincount(pixels[:, c], minlength=256) for c in range(3)]
+    return np.stack([np.bincount(np.arange(256) * bins // 256, x, bins) for x in n]).astype(np.int64)
+
 
+FRAME = "frame int, start_cs long, delay_cs int, width int, height int, disposal int, transparent int, red array<long>, green array<long>, blue array<long>, pixels binary, error string"
 
-def frames_table(df: DataFrame, media: str = "media", bins: int = 8) -> DataFrame:
-    """A row per frame of the binary column ``media``: the other columns, then frame, start_cs, delay_cs, width,
-    height, disposal, transparent, histogram and error (set, with null frame, for what isn't a GIF)."""
-    added = T.StructType.fromDDL("frame int, start_cs long, delay_cs int, width int, height int, disposal int, transparent int, histogram array<long>, error string")
-    kept = [c for c in df.columns if c != media and c not in added.names]
+
+def frames_table(df: DataFrame, media: str = "media", bins: int = BINS, with_pixels: bool = True) -> DataFrame:
+    """A row per frame of the binary column ``media``: the other columns, then frame, start_cs, delay_cs, width and height
+    (of the canvas), disposal, transparent, the histograms red, green and blue of the displayed frame, its pixels (RGBA,
+    row by row; null without ``with_pixels``), and error (set, with null frame, for what can't be read)."""
+    added = T.StructType.fromDDL(FRAME)
+    kept = others([c for c in df.columns if c != media], *added.names)
     schema = T.StructType([*(df.schema[c] for c in kept), *added.fields])
+    kinds = (*(pa.int32() if t in (0, 2, 3, 4, 5, 6) else pa.int64() for t in range(7)), *[pa.list_(pa.int64())] * 3, pa.binary(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, found = [], []
-            for i, b in enumerate(batch.column(media).to_pylist()):
+            for i, b in enumerate(batch.column(media)):  # an image at a time, as its frames may be large
+                found = []
                 try:
                     start = 0
-                    for k, f in enumerate(decode(b or b"", False)):
-                        found.append((k, start, f.delay_cs, f.samples.shape[1], f.samples.shape[0], f.disposal, f.transparent, histogram([f], bins).tolist(), None))
-                        rows.append(i)
+                    for k, f in enumerate(decode(b.as_py() or b"")):
+                        colours = histograms(f.rgba, bins).tolist()
+                        h, w = f.rgba.shape[:2]
+                        found.append((k, start, f.delay_cs, w, h, f.disposal, f.transparent, *colours, f.rgba.tobytes() if with_pixels else None, None))
                         start += f.delay_cs
-                except (ValueError, IndexError) as e:
-                    found.append((None,) * 8 + (str(e),))
-                    rows.append(i)
-            part = batch.take(pa.array(rows, pa.int64()))
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.string())
-            yield pa.record_batch([*(part.column(c) for c in kept), *(pa.array([x[k] for x in found], t) for k, t in enumerate(kinds))], schema.names)
+                except (ArithmeticError, LookupError, MemoryError, TypeError, ValueError) as e:
+                    found = [(None,) * 11 + (f"{type(e).__name__}: {e}",)]
+                part = batch.take(pa.array([i] * len(found), pa.int64()))
+                yield pa.record_batch([*(part.column(c) for c in kept), *(pa.array([x[k] for x in found], t) for k, t in enumerate(kinds))], schema.names)
 
+    small_batches(df.sparkSession)
     return df.select(*kept, media).mapInArrow(run, schema)
 
 
@@ -293,18 +313,19 @@ MEDIA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 lon
 def payload_media(df: DataFrame, text: str = "text", keep: list[str] | None = None, with_media: bool = False) -> DataFrame:
     """Stores each text's padded bytes as a GIF, reads it back and describes what was read.
 
-    ``feature``: frames, duration in 1/100 s, and the histogram of grey levels. ``with_media`` also
-    returns the stored bytes as ``media``.
+    ``feature``: frames, duration in 1/100 s, and the red, green and blue histograms summed over the displayed
+    frames. ``with_media`` also returns the stored bytes as ``media``.
     """
     added = T.StructType.fromDDL(MEDIA + (", media binary" if with_media else ""))
-    kept = [c for c in (keep or df.columns) if c not in added.names]
+    kept = others(keep or df.columns, *added.names)
     schema = T.StructType([*(df.schema[c] for c in kept), *added.fields])
 
     def one(raw: bytes) -> tuple:
         media = encode(raw + b" " * (-len(raw) % ROW if raw else ROW))
-        frames = decode(media, False)
+        frames = decode(media)
         back = b"".join(f.samples.tobytes() for f in frames)
-        feature = f"{len(frames)};{sum(f.delay_cs for f in frames)};{','.join(map(str, histogram(frames).tolist()))}"
+        colours = sum(histograms(f.rgba) for f in frames)
+        feature = ";".join([str(len(frames)), str(sum(f.delay_cs for f in frames)), *(",".join(map(str, x)) for x in colours.tolist())])
         return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, media
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
