@@ -13,10 +13,14 @@ The automaton grows with the corpus and is never held whole. Documents are cut i
    packed, with their training counts, to buckets by ranges of the hash. A frequent n-gram is one
    entry a block, so no key is hot.
 2. A bucket adds the counts up and returns to each block the totals of its entries, in order.
-3. Each block builds the automaton of its n-grams and traverses its documents from left to right.
+3. Each block builds the automaton of its n-grams (states, arcs, failure arcs) and walks it over its documents
+   from left to right. All texts walk side by side, a token a step, and a long text walks in stretches of
+   STRETCH tokens: each starts at the root ``order - 1`` tokens early, which leads to the same state as
+   the whole text before it, as a state is the longest seen history of at most ``order - 1`` words.
 
 Block names are made of their rows, partition and number, so a recomputed block has the same name; if a source gives
-other blocks when it is read again, the last step finds totals missing and fails.
+other blocks when it is read again, the last step finds totals missing and fails. A block's file is written under a
+name of its attempt and then renamed, so attempts that run side by side, or are killed, leave no torn file.
 
 Tokens: words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, then one end. Null and empty texts are one
 end. Equal 64-bit hashes count as equal n-grams. Repeated rows are each counted and returned. Without
@@ -35,12 +39,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm._store import drop, new_path, small_batches, written
+from loomwork.llm._store import direct, drop, new_path, opened, put, small_batches, written
 from loomwork.llm._words import SPACED, Words, column, mix
 
 _U = np.uint64
 START, END = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
 PRIOR = 2.0
+STRETCH = 512
+TASK_BYTES = 16_000_000
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -88,34 +94,105 @@ class Grams:
 
 
 class Automaton:
-    """Arcs and failure weights of one block's n-grams. ``counts[n]``: training counts of ``grams.keys[n]``."""
+    """States, arcs and failure arcs of one block's n-grams. ``counts[n]``: training counts of ``grams.keys[n]``.
+
+    State 0 is the root, 1 the start of a text, then come the seen histories by length. Arc a is the n-gram
+    history + word: ``arc_weight[a]``, ``arc_target[a]``. ``arc_at[m, t]`` is the arc of token t from the state of the
+    m words before it, -1 if there is none; the root has one for every word. State s fails to ``fail_state[s]`` with
+    ``fail_weight[s]``; ``level[s]`` is its number of words.
+    """
 
     def __init__(self, grams: Grams, counts: dict[int, np.ndarray], tokens: int, words: int, prior: float = PRIOR):
-        self.grams, self.counts, self.prior = grams, counts, prior
-        self.base = np.log10((counts[1] + 0.1) / (tokens + 0.1 * (words + 1)))
+        self.grams, order = grams, max(grams.keys)
         end = np.flatnonzero(grams.keys[1] == END)
-        self.texts = float(counts[1][end[0]]) if len(end) else 0.0
-
-    def traverse(self) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of each token by the base model and by the automaton.
-
-        All texts move at once: level n holds, for each token, the weight from the state of its last
-        n - 1 words: the arc if there is one, else the failure arc and the weight from the state below.
-        """
+        texts = float(counts[1][end[0]]) if len(end) else 0.0
+        self.unknown = 0.1 / (tokens + 0.1 * (words + 1))
+        # state of each history: seen ones only, ends are none
+        state, n_states = {}, 2
+        token = {n: self._token(n) for n in grams.keys}
+        for n in range(1, order):
+            seen = (counts[n] > 0) & ~np.isin(grams.at[1][token[n]], end)
+            state[n] = np.where(seen, np.cumsum(seen) - 1 + n_states, -1)
+            n_states += int(seen.sum())
+        self.level = np.zeros(n_states, np.int32)
+        self.fail_state, self.fail_weight = np.zeros(n_states, np.int64), np.zeros(n_states)
+        self.total = np.zeros(n_states)
+        self.level[1], self.total[1] = (1, texts) if order > 1 else (0, 0.0)
+        for n in range(1, order):
+            k = np.flatnonzero(state[n] >= 0)
+            s = state[n][k]
+            self.level[s], self.total[s] = n, counts[n][k]
+            self.fail_state[s] = state[n - 1][grams.at[n - 1][token[n][k]]] if n > 1 else 0
+        self.fail_weight[1:] = np.log10(prior / (self.total[1:] + prior))
+        # arcs: those of the root for all words, then the seen longer n-grams
+        self.arc_at = np.full((order, len(grams.doc)), -1, np.int64)
+        weight, target, source = [], [], []
+        below, n_arcs = np.zeros(0), 0
+        for n in range(1, order + 1):
+            seen = counts[n] > 0 if n > 1 else np.ones(len(counts[1]), bool)
+            k = np.flatnonzero(seen)
+            t = token[n][k]
+            number = np.where(seen, np.cumsum(seen) - 1 + n_arcs, -1)
+            if n == 1:
+                history, p = np.zeros(len(k), np.int64), (counts[1] + 0.1) / (tokens + 0.1 * (words + 1))
+            else:
+                history = np.where(grams.first[t], 1, state[n - 1][grams.at[n - 1][t - 1]]) if n == 2 else state[n - 1][grams.at[n - 1][t - 1]]
+                p = (counts[n][k] + prior * below[grams.at[n - 1][t]]) / (self.total[history] + prior)
+            if n < order:
+                to = np.maximum(state[n][k], 0)  # unknown words and ends lead to the root
+            else:
+                to = np.maximum(state[n - 1][grams.at[n - 1][t]], 0) if n > 1 else np.zeros(len(k), np.int64)
+            weight.append(np.log10(p))
+            target.append(to)
+            source.append(history)
+            below = np.zeros(len(counts[n]))
+            below[k] = p
+            there = grams.at[n] >= 0
+            self.arc_at[n - 1, there] = number[grams.at[n][there]]
+            n_arcs += len(k)
+        self.arc_weight, self.arc_target, self.arc_source = np.concatenate(weight), np.concatenate(target), np.concatenate(source)
+        self.base = self.arc_weight[: len(counts[1])]
+
+    def _token(self, n: int) -> np.ndarray:
+        """A token of the block that ends each n-gram."""
+        at = self.grams.at[n]
+        out = np.zeros(len(self.grams.keys[n]), np.int64)
+        there = np.flatnonzero(at >= 0)
+        out[at[there]] = there
+        return out
+
+    def traverse(self, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of each token by the base model and by the automaton: a walk from left to right."""
         g = self.grams
-        base = self.base[g.at[1]]
-        weight = base
-        for n in range(2, max(g.keys) + 1):
-            # the history of a token is the gram of order n - 1 at the token before
-            history = np.zeros(len(weight))
-            before = self.counts[n - 1][g.at[n - 1][:-1]] if len(weight) > 1 else np.zeros(0)
-            history[1:] = np.where(g.at[n - 1][:-1] >= 0, before, 0)
-            history[g.first] = self.texts if n == 2 else 0
-            seen = np.where(g.at[n] >= 0, self.counts[n][g.at[n]], 0) if len(self.counts[n]) else np.zeros(len(weight))
-            fail = np.log10(self.prior / (history + self.prior))
-            arc = np.log10((seen + self.prior * 10.0**weight) / (history + self.prior))
-            weight = np.where(seen > 0, arc, fail + weight)
-        return base, weight
+        early = len(self.arc_at) - 1
+        out = np.zeros(len(g.doc))
+        first = np.flatnonzero(g.first)
+        n = -(-g.tokens // stretch)
+        text = np.repeat(np.arange(len(n)), n)
+        skip = (np.arange(len(text)) - (np.cumsum(n) - n)[text]) * stretch
+        begin = first[text] + skip
+        stop = np.minimum(begin + stretch, (first + g.tokens)[text])
+        place = np.maximum(begin - early, first[text])
+        state = np.where(place > first[text], 0, 1)
+        order = np.argsort(place - stop, kind="stable")  # the longest first, so that those still walking are a prefix
+        place, stop, begin, state = place[order], stop[order], begin[order], state[order]
+        steps = stop - place
+        for step in range(int(steps[0]) if len(steps) else 0):
+            live = int(np.searchsorted(-steps, -step, "left"))
+            t, s = place[:live] + step, state[:live]
+            lost = np.zeros(live)
+            arc = self.arc_at[self.level[s], t]
+            fails = np.flatnonzero(arc < 0)
+            while len(fails):
+                at = s[fails]
+                lost[fails] += self.fail_weight[at]
+                s[fails] = self.fail_state[at]
+                arc[fails] = self.arc_at[self.level[s[fails]], t[fails]]
+                fails = fails[arc[fails] < 0]
+            real = t >= begin[:live]
+            out[t[real]] = (lost + self.arc_weight[arc])[real]
+            state[:live] = self.arc_target[arc]
+        return self.base[g.at[1]], out
 
 
 def _send(batches: Iterator[pa.RecordBatch], folder: str, order: int, buckets: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -133,12 +210,12 @@ def _send(batches: Iterator[pa.RecordBatch], folder: str, order: int, buckets: i
         name.update(off)
         name.update(repr(batch.column("id").to_pylist()).encode())
         name = f"{name.hexdigest()}-{task.partitionId() if task else 0}-{next(numbers)}"  # equal blocks are two
-        from pyarrow import fs
 
-        where, path = fs.FileSystem.from_uri(folder)
-        where.create_dir(path, recursive=True)
-        with where.open_output_stream(f"{path}/{name}") as f, pa.ipc.new_file(f, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            w.write_table(t)
+        def write(f) -> None:
+            with pa.ipc.new_file(f, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(t)
+
+        put(folder, name, write)
         g = Grams(data, off, order)
         train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)[g.doc]
         rows = []
@@ -197,9 +274,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _score(batches: Iterator[pa.RecordBatch], folder: str, order: int, tokens: int, words: int, prior: float) -> Iterator[pa.RecordBatch]:
     def block(rows: list[tuple]) -> pa.RecordBatch:
-        from pyarrow import fs
-
-        where, path = fs.FileSystem.from_uri(folder)
+        where, path = opened(folder)
         with where.open_input_file(f"{path}/{rows[0][0]}") as f:
             batch = pa.ipc.open_file(f).read_all().combine_chunks().to_batches()[0]
         g = Grams(*column(batch, "text"), order)
@@ -232,24 +307,26 @@ def _score(batches: Iterator[pa.RecordBatch], folder: str, order: int, tokens: i
         yield block(held)
 
 
-def score_texts(docs: DataFrame, train: Column, order: int = 2, id: str = "doc_id", text: str = "text", prior: float = PRIOR, block_bytes: int = 6_000_000, bucket_bytes: int = 4_000_000) -> DataFrame:
-    """Per row of ``docs``: its id, held_out, n_tokens, n_known, train_tokens, base_score and score.
+def score_texts(docs: DataFrame, train: Column, order: int = 3, id: str = "doc_id", text: str = "text", prior: float = PRIOR, block_bytes: int = 6_000_000, bucket_bytes: int = 4_000_000) -> DataFrame:
+    """Per row of ``docs``: its id, held_out, n_tokens, n_known, train_tokens, base_score and score; no other columns.
 
     ``train``: which rows the model learns from. ``order``: words of the longest n-gram.
     """
     spark = docs.sparkSession
+    direct(spark)
     small_batches(spark)
     rows = docs.select(F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     kind = rows.schema["id"].dataType.simpleString()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = -(-size // bucket_bytes) or 1
     folder = new_path(spark, "blocks")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))  # these numbers are kept by adaptive execution
     sent = rows.mapInArrow(lambda it: _send(it, folder, order, buckets, block_bytes), "block string, n int, bucket int, keys binary, counts binary")
-    sums = sent.repartition("n", "bucket").sortWithinPartitions("n", "bucket").mapInArrow(_add, "block string, n int, bucket int, totals binary, tokens long, words long")
+    sums = sent.repartition(tasks, "n", "bucket").sortWithinPartitions("n", "bucket").mapInArrow(_add, "block string, n int, bucket int, totals binary, tokens long, words long")
     sums, sums_path = written(sums, "totals")
     known = sums.where("block is null").agg(F.sum("tokens"), F.sum("words")).first()
     tokens, words = known[0] or 0, known[1] or 0
-    runs = sums.where("block is not null").select("block", "n", "bucket", "totals").repartition("block").sortWithinPartitions("block", "n", "bucket")
+    runs = sums.where("block is not null").select("block", "n", "bucket", "totals").repartition(tasks, "block").sortWithinPartitions("block", "n", "bucket")
     schema = f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out, _ = written(runs.mapInArrow(lambda it: _score(it, folder, order, tokens, words, prior), schema), "scores")
     drop(spark, folder, sums_path)

@@ -1,7 +1,9 @@
 import math
+import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ def brute(rows, train, order):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_equals_brute_force(spark, order):
     rows = [(i, " ".join(["The", "cat", "sat", "on", "a", "mat."][(i * k) % 6] for k in range(i % 13))) for i in range(80)] + [(900, "Ünseen words, 日本")]
     train = lambda i: zlib.crc32(str(i).encode()) % 10 != 0
@@ -51,21 +53,46 @@ def test_equals_brute_force(spark, order):
         assert r.base_score == pytest.approx(want[r.doc_id][3]) and r.score == pytest.approx(want[r.doc_id][4])
 
 
-def test_probabilities_of_a_state_sum_to_one():
-    import numpy as np
-
-    texts = [b"a b a", b"a c", b"b a"]
+def block(texts, order, train=None):
     off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    g = lm.Grams(np.frombuffer(b"".join(texts), np.uint8), off, 2)
-    counts = {n: np.bincount(g.at[n], minlength=len(k)).astype(float) for n, k in g.keys.items()}
-    n, v = int(counts[1].sum()), len(g.keys[1])
-    base = (counts[1] + 0.1) / (n + 0.1 * (v + 1))
-    assert base.sum() + 0.1 / (n + 0.1 * (v + 1)) == pytest.approx(1)
-    history = 3.0  # a occurs three times before something: b, its end and c... each counted once
-    arcs = {"b": 1, "end": 2, "c": 1}
-    after_a = sum(arcs.values())
-    total = sum((c + lm.PRIOR * 0) / (after_a + lm.PRIOR) for c in arcs.values()) + lm.PRIOR / (after_a + lm.PRIOR)
-    assert total == pytest.approx(1) and history > 0
+    g = lm.Grams(np.frombuffer(b"".join(texts), np.uint8), off, order)
+    learn = np.isin(g.doc, train if train is not None else np.arange(len(texts)))
+    counts = {}
+    for n, k in g.keys.items():
+        at = g.at[n][learn]
+        counts[n] = np.bincount(at[at >= 0], minlength=len(k)).astype(float)
+    return g, counts, lm.Automaton(g, counts, int(counts[1].sum()), int((counts[1] > 0).sum()))
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_arcs_and_failures_of_every_state_sum_to_one(order):
+    g, counts, a = block([b"a b a b c", b"a c a b d", b"b a", b"", b"e f zz a b"], order, [0, 1, 2, 3])
+    p = 10**a.arc_weight
+    word = np.concatenate([g.at[1][a._token(n)[counts[n] > 0 if n > 1 else slice(None)]] for n in g.keys])
+    root = {w: p[i] for i, w in enumerate(word) if a.arc_source[i] == 0}
+    known = counts[1] > 0
+    assert sum(x for w, x in root.items() if known[w]) + a.unknown == pytest.approx(1)
+    assert all(x == pytest.approx(a.unknown) for w, x in root.items() if not known[w])
+
+    def prob(s, w):
+        i = np.flatnonzero((a.arc_source == s) & (word == w))
+        return p[i[0]] if len(i) else 10 ** a.fail_weight[s] * prob(a.fail_state[s], w)
+
+    for s in range(1, len(a.level)):
+        if a.total[s]:
+            every = sum(prob(s, w) for w in np.flatnonzero(known))
+            assert every + prob(s, np.flatnonzero(~known)[0]) == pytest.approx(1), s
+            assert a.level[a.fail_state[s]] == a.level[s] - 1
+
+
+def test_stretches_walk_like_whole_texts():
+    r = random.Random(4)
+    texts = [" ".join(r.choice("abcdefg") for _ in range(r.choice([0, 3, 50, 400]))).encode() for _ in range(30)]
+    for order in (1, 2, 3, 4):
+        g, _, a = block(texts, order, range(20))
+        whole = a.traverse(10**6)
+        for stretch in (1, 2, 7, 50):
+            assert np.allclose(whole, a.traverse(stretch))
 
 
 def test_odd_rows(odd, none):
@@ -81,3 +108,14 @@ def test_equal_blocks(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, "a b")], "doc_id long, text string").coalesce(1)
     rows = lm.score_texts(docs.union(docs), F.lit(True)).collect()
     assert sorted(r.doc_id for r in rows) == [1, 1, 2, 2] and {r.train_tokens for r in rows} == {14}
+
+
+def test_clashing_names_and_files_of_attempts(spark, odd):
+    named = odd.withColumn("id", F.lit(5)).withColumn("train", F.lit("x")).withColumn("held_out", F.lit("x")).withColumn("block", F.lit("x"))
+    assert lm.score_texts(named, F.col("train") == "x").count() == 12
+    spark.conf.set("spark.checkpoint.dir", "dbfs:///x")
+    try:
+        with pytest.raises(ValueError, match="dbfs"):
+            lm.score_texts(odd, F.lit(True))
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
