@@ -3,16 +3,21 @@
 A package is a ZIP file with two stored members, ``archive/data.warc.gz`` (a gzip member per record)
 and ``indexes/index.cdx`` (offset and length of each record in it). The reader takes the end record,
 the ZIP64 locator and directory if present, and the central directory; it finds the stored members
-through their local headers, reads the index, cuts it into ranges of about ``split_bytes`` and reads
-each range in a task of its own. A package without an index is walked record by record.
+through their local headers, reads the index and cuts it into ranges of about ``split_bytes``, which are
+spread over as many tasks as the packages hold such ranges. A package without an index is walked record
+by record.
 
 A task writes its packages under names of its own attempt, and only packages in the manifest that it
 returns are read, so a lost or repeated task leaves no wrong record. Memory: one package of about
 ``package_bytes`` while writing, one range while reading, and the longest record.
 
+A package or record that can't be read gives a row with ``error`` and ``path`` set, and what else is known of it; the
+records around it are read. Records of other types than response and revisit come with what they state.
+
 Null payloads are empty. Equal payloads of ``least`` bytes or more are stored once: the record with
 the largest id is the response (repeated rows of that id all are), others are revisits of it. Null
-ids count as smaller than any other. No rows: no package, and an empty result.
+ids count as smaller than any other. No rows: no package, and an empty result. Other columns of the pages aren't
+stored. A url comes back as it was given: if its standard form differs, a further header field holds it.
 """
 
 from __future__ import annotations
@@ -32,10 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.llm._store import new_path, small_batches, written
+from loomwork.llm._store import direct, new_path, opened, small_batches, written
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+SOURCE = "X-Source-URI-Base64"
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 
 
@@ -45,7 +51,10 @@ def record(page: int | None, url: str | None, payload: bytes, digest: str, refer
     block = http if refers is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'null' if page is None else page}>", f"WARC-Date: {date}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + urllib.parse.quote(url, safe=":/?#[]@!$&'()*+,;=%-._~"))
+        standard = urllib.parse.quote(url, safe=":/?#[]@!$&'()*+,;=%-._~")
+        head.append("WARC-Target-URI: " + standard)
+        if standard != url:
+            head.append(f"{SOURCE}: " + base64.b64encode(url.encode()).decode())
     head.append("WARC-Payload-Digest: sha1:" + base64.b32encode(bytes.fromhex(digest)).decode())
     if refers is not None:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers}>"]
@@ -53,8 +62,15 @@ def record(page: int | None, url: str | None, payload: bytes, digest: str, refer
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+RECORD = "page_id long, url string, record_type string, date string, refers_to long, payload_bytes long, payload_digest string, path string, error string"
+FIELDS = [x.split()[0] for x in RECORD.split(", ")] + ["payload"]
+#: What unreadable packages and records raise.
+BROKEN = (ArithmeticError, LookupError, MemoryError, OSError, StopIteration, TypeError, ValueError, struct.error, zlib.error)
+
+
 def parse(raw: bytes) -> dict:
-    """Fields of one uncompressed record. A response's digest and length are those of its actual payload."""
+    """Fields of one uncompressed record. A response's digest and length are those of its actual payload; other types'
+    are those of the block."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -68,13 +84,17 @@ def parse(raw: bytes) -> dict:
         return int(x) if x.lstrip("-").isdigit() else None
 
     kind = named["warc-type"]
-    out = {"page_id": page("warc-record-id"), "url": named.get("warc-target-uri"), "record_type": kind, "date": named["warc-date"], "refers_to": page("warc-refers-to"), "payload": None}
-    stated = base64.b32decode(named["warc-payload-digest"].rpartition(":")[2]).hex()
+    url = base64.b64decode(named[SOURCE.lower()]).decode() if SOURCE.lower() in named else named.get("warc-target-uri")
+    out = dict.fromkeys(FIELDS) | {"page_id": page("warc-record-id"), "url": url, "record_type": kind, "date": named.get("warc-date"), "refers_to": page("warc-refers-to")}
+    said = named.get("warc-payload-digest")
+    stated = base64.b32decode(said.rpartition(":")[2]).hex() if said else None
     if kind == "revisit":
-        length = next(int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+        length = next((int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
         return out | {"payload_bytes": length, "payload_digest": stated}
+    if kind != "response":
+        payload = block
     digest = hashlib.sha1(payload).hexdigest()
-    if digest != stated:
+    if stated is not None and digest != stated:
         raise ValueError(f"record {out['page_id']}: payload digest {digest}, not {stated}")
     return out | {"payload_bytes": len(payload), "payload_digest": digest, "payload": payload}
 
@@ -94,13 +114,6 @@ def package(records: list[tuple[str, bytes]]) -> bytes:
     return out.getvalue()
 
 
-def _open(path: str):
-    from pyarrow import fs
-
-    where, name = fs.FileSystem.from_uri(path)
-    return where, name
-
-
 def members(f, size: int) -> dict[str, tuple[int, int]]:
     """Name: (data offset, size) of the stored members of a ZIP file, from its central directory.
 
@@ -187,12 +200,18 @@ def locate(f, size: int) -> list[tuple[int, int]]:
 
 
 def plan_records(pages: DataFrame, id: str = "page_id", url: str = "url", payload: str = "html", least: int = 1000) -> DataFrame:
-    """id, url, payload, digest, refers_to of each page; the payload is null for revisits."""
+    """id, url, payload, digest, refers_to of each page; the payload of a revisit is there, for its length.
+
+    Who refers to whom is decided on (id, digest) alone, and the payloads then meet that by id and digest: a
+    payload that a third of the pages share is never gathered in one task.
+    """
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    base = pages.select(F.col(id).cast("long").alias("id"), F.col(url).alias("url"), body.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    lead = base.where(F.col("size") >= least).groupBy("digest").agg(F.max("id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("digest", "lead")
-    joined = base.join(lead, "digest", "left")
-    return joined.withColumn("refers_to", F.expr(f"case when size >= {least} and not id <=> lead then lead end")).select("id", "url", "payload", "digest", "refers_to")
+    base = pages.select(F.col(id).cast("long").alias("id"), F.col(url).alias("url"), body.alias("payload")).withColumn("digest", F.unhex(F.sha1("payload")))
+    narrow, _ = written(base.where(F.octet_length("payload") >= least).groupBy("id", "digest").agg(F.count("*").alias("n")), "digests")
+    lead = narrow.groupBy("digest").agg(F.max("id").alias("refers_to"), F.sum("n").alias("n")).where("n > 1 and refers_to is not null").select("digest", "refers_to")
+    revisits = narrow.join(lead, "digest").where("not id <=> refers_to").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "refers_to")
+    joined = base.join(revisits.hint("shuffle_hash"), base["id"].eqNullSafe(revisits["_id"]) & (base["digest"] == revisits["_digest"]), "left")
+    return joined.select("id", "url", "payload", F.lower(F.hex("digest")).alias("digest"), "refers_to")
 
 
 def write_packages(planned: DataFrame, folder: str, package_bytes: int = 16 << 20) -> DataFrame:
@@ -203,8 +222,8 @@ def write_packages(planned: DataFrame, folder: str, package_bytes: int = 16 << 2
         size = 0
 
         def flush() -> pa.RecordBatch:
-            path = f"{folder}/{uuid.uuid4().hex}.wacz"
-            where, name = _open(path)
+            path = f"{folder}/{uuid.uuid4().hex}.wacz"  # a name of this attempt
+            where, name = opened(path)
             where.create_dir(name.rpartition("/")[0], recursive=True)
             b = package(held)
             with where.open_output_stream(name) as f:
@@ -226,46 +245,59 @@ def write_packages(planned: DataFrame, folder: str, package_bytes: int = 16 << 2
     return written(planned.mapInArrow(run, "path string, size long, records long"), "manifest")[0]
 
 
-RECORD = "page_id long, url string, record_type string, date string, refers_to long, payload_bytes long, payload_digest string"
-
-
 def read_packages(manifest: DataFrame, with_payload: bool = True, split_bytes: int = 4 << 20) -> DataFrame:
-    """The records of the packages named in ``manifest`` (path)."""
+    """The records of the packages named in ``manifest``: path and, if known, size (bytes)."""
     schema = T.StructType.fromDDL(RECORD + (", payload binary" if with_payload else ""))
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                where, name = _open(path)
-                with where.open_input_file(name) as f:
-                    found = sorted(locate(f, f.size()))
                 cuts: list[list] = []
-                for offset, n in found:
-                    last = cuts[-1] if cuts else None
-                    if last and last[2] == offset and offset - last[0] < split_bytes:
-                        last[1].append(n)
-                        last[2] += n
-                    else:
-                        cuts.append([offset, [n], offset + n])
-                yield pa.record_batch([pa.array([path] * len(cuts), pa.string()), pa.array([c[0] for c in cuts], pa.int64()), pa.array([c[1] for c in cuts], pa.list_(pa.int64()))], ["path", "offset", "lengths"])
+                try:
+                    where, name = opened(path)
+                    with where.open_input_file(name) as f:
+                        found = sorted(locate(f, f.size()))
+                    for offset, n in found:
+                        last = cuts[-1] if cuts else None
+                        if last and last[2] == offset and offset - last[0] < split_bytes:
+                            last[1].append(n)
+                            last[2] += n
+                        else:
+                            cuts.append([offset, [n], offset + n])
+                    error = None
+                except BROKEN as e:
+                    cuts, error = [[None, [], None]], f"{type(e).__name__}: {e}"
+                yield pa.record_batch(
+                    [pa.array([path] * len(cuts), pa.string()), pa.array([c[0] for c in cuts], pa.int64()), pa.array([c[1] for c in cuts], pa.list_(pa.int64())), pa.array([error] * len(cuts), pa.string())],
+                    ["path", "offset", "lengths", "error"],
+                )
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, offset, lengths in zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "lengths"))):
-                where, name = _open(path)
-                with where.open_input_file(name) as f:
-                    f.seek(offset)
-                    b = memoryview(f.read(sum(lengths)))
+            for path, offset, lengths, error in zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "lengths", "error"))):
                 rows, at = [], 0
-                for n in lengths:
-                    rows.append(parse(zlib.decompress(b[at : at + n], 31)))
-                    at += n
-                    if not with_payload:
-                        rows[-1]["payload"] = None
-                yield pa.RecordBatch.from_pylist([{c: r[c] for c in schema.names} for r in rows], schema=_arrow(schema))
-
-    cut = manifest.select("path").mapInArrow(ranges, "path string, offset long, lengths array<long>")
-    return cut.repartition("path", "offset").mapInArrow(records, schema)
+                if error is not None:
+                    rows.append(dict.fromkeys(FIELDS) | {"error": error})
+                else:
+                    where, name = opened(path)
+                    with where.open_input_file(name) as f:
+                        f.seek(offset)
+                        b = memoryview(f.read(sum(lengths)))
+                    for n in lengths:
+                        try:
+                            rows.append(parse(zlib.decompress(b[at : at + n], 31)))
+                        except BROKEN as e:
+                            rows.append(dict.fromkeys(FIELDS) | {"error": f"at {offset + at}: {type(e).__name__}: {e}"})
+                        at += n
+                        if not with_payload:
+                            rows[-1]["payload"] = None
+                yield pa.RecordBatch.from_pylist([{c: r[c] for c in schema.names} | {"path": path} for r in rows], schema=_arrow(schema))
+
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if "size" in manifest.columns:
+        tasks = max(1, -(-(manifest.agg(F.sum("size")).first()[0] or 0) // split_bytes))
+    cut = manifest.select("path").mapInArrow(ranges, "path string, offset long, lengths array<long>, error string")
+    return cut.repartition(tasks, "path", "offset").mapInArrow(records, schema)  # adaptive execution keeps an explicit number
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
@@ -274,7 +306,8 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 
 
 def archive(pages: DataFrame, folder: str | None = None, with_payload: bool = False) -> DataFrame:
-    """Writes ``pages`` (page_id, url, html) to packages and reads them back."""
+    """Writes ``pages`` (page_id, url, html) to packages and reads them back. The packages stay in ``folder``."""
+    direct(pages.sparkSession)
     small_batches(pages.sparkSession)
     planned = plan_records(pages)
     return read_packages(write_packages(planned, folder or new_path(pages.sparkSession, "warc")), with_payload)
