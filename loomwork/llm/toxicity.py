@@ -1,8 +1,9 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Map tasks turn the training texts into sorted feature indices; one task then runs the
-sequential FTRL updates over a bounded sample. L1 leaves few weights, so what is
-broadcast is at most ``2**bits`` floats. Scoring is one Arrow pass, without a shuffle.
+Map tasks turn the training texts into sorted feature indices and write them; one task then reads
+them once an epoch, in order, and runs the sequential FTRL updates over the bounded sample. It streams:
+its memory is the two arrays of ``2**bits`` numbers and an Arrow batch, however long the texts are. L1 leaves
+few weights, so what is broadcast is at most ``2**bits`` floats. Scoring is one Arrow pass, without a shuffle.
 
 Nulls and empty texts have no features and score the bias. A null label is no label; of
 repeated label rows of an id the larger counts; of repeated documents with one id in the
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.llm._store import small_batches
+from loomwork.llm._columns import others
+from loomwork.llm._store import drop, small_batches, written
 from loomwork.llm._words import ALNUM, Words, chunks, mix
 
 _U = np.uint64
@@ -68,12 +70,7 @@ def _sets(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
 
 
 def _fit(batches: Iterator[pa.RecordBatch], c: ToxicityConfig) -> Iterator[pa.RecordBatch]:
-    rows = []
-    for batch in batches:
-        x = batch.column("features")
-        flat, off = x.values.to_numpy(), x.offsets.to_numpy()
-        rows += [(o, y, flat[off[i] : off[i + 1]].copy()) for i, (o, y) in enumerate(zip(batch.column("order").to_pylist(), batch.column("label").to_pylist()))]
-    rows.sort(key=lambda r: r[0])
+    """Updates by the rows in the order in which they come."""
     d = 1 << c.bits
     z, n = np.zeros(d + 1), np.zeros(d + 1)
 
@@ -81,8 +78,12 @@ def _fit(batches: Iterator[pa.RecordBatch], c: ToxicityConfig) -> Iterator[pa.Re
         w = (np.sign(z) * l1 - z) / ((c.beta + np.sqrt(n)) / c.alpha + c.l2)
         return np.where(np.abs(z) <= l1, 0.0, w)
 
-    for _ in range(c.epochs):
-        for _, y, x in rows:
+    seen = False
+    for batch in batches:
+        lists = batch.column("features")
+        flat, off = lists.values.to_numpy(), lists.offsets.to_numpy()
+        for i, y in enumerate(batch.column("label").to_pylist()):
+            seen, x = True, flat[off[i] : off[i + 1]]
             zi, ni = z[x], n[x]
             w = weights(zi, ni, c.l1)
             wb = float(weights(z[d:], n[d:], 0.0)[0])
@@ -96,7 +97,7 @@ def _fit(batches: Iterator[pa.RecordBatch], c: ToxicityConfig) -> Iterator[pa.Re
     w = weights(z, n, c.l1)
     w[d] = weights(z[d:], n[d:], 0.0)[0]
     at = np.flatnonzero(w)
-    if rows:
+    if seen:
         yield pa.record_batch([pa.array(at, pa.int64()), pa.array(w[at])], ["index", "weight"])
 
 
@@ -123,7 +124,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = To
         .select("order", F.col("label").cast("double").alias("label"), "text")
     )
     sets = texts.mapInArrow(lambda it: _sets(it, c.bits), "order long, label double, features array<int>")
-    found = sets.coalesce(1).mapInArrow(lambda it: _fit(it, c), "index long, weight double").toPandas()
+    sets, path = written(sets, "features")
+    runs = sets.select(F.explode(F.sequence(F.lit(1), F.lit(c.epochs))).alias("epoch"), "order", "label", "features").repartition(1).sortWithinPartitions("epoch", "order", "label")
+    found = runs.mapInArrow(lambda it: _fit(it, c), "index long, weight double").toPandas()  # at most 2**bits rows
+    drop(docs.sparkSession, path)
     w = np.zeros((1 << c.bits) + 1, np.float32)
     w[found["index"].to_numpy()] = found["weight"].to_numpy()
     if not len(found):
@@ -131,34 +135,54 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = To
     return w
 
 
-def score_toxicity(df: DataFrame, weights: np.ndarray, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:
+def score_toxicity(df: DataFrame, weights: np.ndarray, config: ToxicityConfig = ToxicityConfig(), text: str = "text") -> DataFrame:
     """``df`` with ``score`` and ``predicted`` added (columns of those names are replaced)."""
-    bits, threshold = config.bits, config.threshold
+    kept = others(df.columns, "score", "predicted")
+    schema = df.select(*kept).schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
+    of, threshold = _scorer(df, weights, config, text), config.threshold
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = of(batch)
+            yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], schema.names)
+
+    return df.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
+
+
+def reject_toxic(df: DataFrame, weights: np.ndarray, config: ToxicityConfig = ToxicityConfig(), text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose score is under the threshold, with all their columns as they are."""
+    of, threshold = _scorer(df, weights, config, text), config.threshold
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(of(batch) < threshold))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _scorer(df: DataFrame, weights: np.ndarray, config: ToxicityConfig, text: str):
+    """The scores of an Arrow batch, as a function for the executors."""
+    bits = config.bits
     at = np.flatnonzero(weights[:-1]).astype(np.int32)
     sent = df.sparkSession.sparkContext.broadcast((at, weights[at], float(weights[-1])))
     dense: list = []
+    small_batches(df.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(batch: pa.RecordBatch) -> np.ndarray:
         at, value, bias = sent.value
         if not dense:
             w = np.zeros(1 << bits, np.float32)
             w[at] = value
             dense.append(w)
-        for batch in batches:
-            scores = np.zeros(batch.num_rows)
-            for a, b, data, off in chunks(batch, "text"):
-                doc, index = _features(Words(data, off, ALNUM), bits)
-                w = dense[0][index]
-                key = np.unique((doc << bits | index)[w != 0])
-                total = np.bincount(key >> bits, dense[0][key & (1 << bits) - 1].astype(np.float64), b - a)
-                scores[a:b] = 1 / (1 + np.exp(-np.clip(total + bias, -35, 35)))
-            if bias <= -1e4:
-                scores[:] = 0
-            yield pa.record_batch(
-                [*(batch.column(c) for c in kept), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],
-                [*kept, "score", "predicted"],
-            )
-
-    kept = [c for c in df.columns if c not in ("score", "predicted")]
-    schema = df.select(*kept).schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
-    return df.select(*kept).mapInArrow(run, schema)
+        scores = np.zeros(batch.num_rows)
+        for a, b, data, off in chunks(batch, text):
+            doc, index = _features(Words(data, off, ALNUM), bits)
+            w = dense[0][index]
+            key = np.unique((doc << bits | index)[w != 0])
+            total = np.bincount(key >> bits, dense[0][key & (1 << bits) - 1].astype(np.float64), b - a)
+            scores[a:b] = 1 / (1 + np.exp(-np.clip(total + bias, -35, 35)))
+        if bias <= -1e4:
+            scores[:] = 0
+        return scores
+
+    return of
