@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm._columns import free
+
 BLOCK = 256
 NONE = "cast(array() as array<struct<kind:string,rank:int,start:long,end:long,score:double>>)"
 
@@ -25,12 +27,14 @@ def add_spans(df: DataFrame, out: str, text: str, kind: str, rank: int, pattern:
     ``valid``: SQL over ``x``, the match, and ``g``, its group number ``group``. Where ``gate`` is
     false the text isn't searched. No match or a null text: an empty array.
     """
-    q = quoted(pattern)
+    q, column = quoted(pattern), F.col(text)
+    text = f"`{text}`"
     search = F.expr(f"regexp_extract_all({text}, {q}, 0)")
     pick = F.expr(f"regexp_extract_all({text}, {q}, {group})") if group else search
     none = F.expr("cast(array() as array<string>)")
-    on = F.col(text).isNotNull() if gate is None else F.col(text).isNotNull() & gate
-    m, g, v, z, c = (f"_{n}_{out}" for n in "mgvzc")
+    on = column.isNotNull() if gate is None else column.isNotNull() & gate
+    m, g, v, z, c = free(df, *(f"_{n}_{out}" for n in "mgvzc"))
+    picked = g
     df = df.withColumn(m, F.when(on, search).otherwise(none))
     if group:
         df = df.withColumn(g, F.when(F.size(m) > 0, pick).otherwise(none))
@@ -54,7 +58,7 @@ def add_spans(df: DataFrame, out: str, text: str, kind: str, rank: int, pattern:
             f" y -> struct('{kind}' as kind, {rank} as rank, y.a as start, y.a + y.l as end, {score}D as score)) end"
         ),
     )
-    return df.drop(m, f"_g_{out}", v, z, c)
+    return df.drop(m, picked, v, z, c)
 
 
 def ordered(columns: list[str]) -> Column:

@@ -6,7 +6,7 @@ anchored forms of the plain patterns, with the same matches, so that long runs c
 Base kinds (email, ip, card, phone) are kept whenever their check holds. Added kinds (iban, ssn) are
 kept from ``threshold`` on: a kind's own score, plus what a checksum gives, plus CONTEXT_BONUS if a
 context word stands in the CONTEXT_CHARS code points before the span. Null and empty texts have no
-spans; repeated rows are each returned; a column ``spans`` is replaced.
+spans; repeated rows are each returned; a column ``spans`` (in any case of letters) is replaced, no other is touched.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm._columns import free, others
 from loomwork.llm._spans import add_spans, ordered
 
 CONTEXT_CHARS = 32
@@ -73,13 +74,13 @@ KINDS = (
 
 def find_pii(df: DataFrame, text: str = "text", threshold: float = 0.6, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """``df`` with ``spans``: array<struct<kind, rank, start, end, score>> by start, then order of kinds."""
-    df = df.drop("spans")
-    out = df
+    df = df.select(*others(df.columns, "spans"))
+    out, (every, *parts) = df, free(df, "_all", *(f"_s{r}" for r in range(len(kinds))))
     for r, k in enumerate(kinds):
-        out = add_spans(out, f"_s{r}", text, k.name, r, k.pattern, k.valid, score=k.score)
-    out = out.withColumn("_all", ordered([f"_s{r}" for r in range(len(kinds))]))
-    before = f"lower(substring({text}, cast(greatest(y.start - {CONTEXT_CHARS}, 0L) as int) + 1, cast(least(y.start, {CONTEXT_CHARS}L) as int)))"
+        out = add_spans(out, parts[r], text, k.name, r, k.pattern, k.valid, score=k.score)
+    out = out.withColumn(every, ordered(parts))
+    before = f"lower(substring(`{text}`, cast(greatest(y.start - {CONTEXT_CHARS}, 0L) as int) + 1, cast(least(y.start, {CONTEXT_CHARS}L) as int)))"
     found = "case " + " ".join(f"when y.rank = {r} then {' or '.join(f"contains({before}, '{w}')" for w in k.words)}" for r, k in enumerate(kinds)) + " end"
-    scored = f"transform(_all, y -> struct(y.kind as kind, y.rank as rank, y.start as start, y.end as end, least(1D, y.score + case when {found} then {CONTEXT_BONUS}D else 0D end) as score))"
+    scored = f"transform({every}, y -> struct(y.kind as kind, y.rank as rank, y.start as start, y.end as end, least(1D, y.score + case when {found} then {CONTEXT_BONUS}D else 0D end) as score))"
     kept = f"filter({scored}, y -> y.rank in ({', '.join(str(r) for r, k in enumerate(kinds) if k.base)}) or y.score >= {threshold})"
-    return out.withColumn("spans", F.expr(f"case when size(_all) = 0 then _all else {kept} end")).select(*df.columns, "spans")
+    return out.withColumn("spans", F.expr(f"case when size({every}) = 0 then {every} else {kept} end")).select(*df.columns, "spans")
