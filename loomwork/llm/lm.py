@@ -23,7 +23,8 @@ other blocks when it is read again, the last step finds totals missing and fails
 name of its attempt and then renamed, so attempts that run side by side, or are killed, leave no torn file.
 
 Tokens: words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, then one end. Null and empty texts are one
-end. Equal 64-bit hashes count as equal n-grams. Repeated rows are each counted and returned. Without
+end. Equal hashes count as equal n-grams: of 64 bits for words, 56 for longer ones, so that of 10**13 n-grams one in
+7,000 shares its count with another. Repeated rows are each counted and returned. Without
 training rows every text has probability 1 per token.
 """
 
@@ -61,6 +62,19 @@ def _unpacked(b: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(kind).ravel()
 
 
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, which are shorter."""
+    return _packed(np.diff(keys, prepend=keys.dtype.type(0)))
+
+
+def _unpacked_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(b, np.uint64), dtype=np.uint64)
+
+
+def key_bits(n: int) -> int:
+    return 64 if n == 1 else 56
+
+
 class Grams:
     """n-grams of some texts: ``keys[n]`` sorted, ``at[n]`` the key number at each token (-1: too early in its text)."""
 
@@ -87,7 +101,7 @@ class Grams:
                 longer[n - 1 :] = mix(gram[n - 2 : -1] * _U(0x9E3779B97F4A7C15) + seq[n - 1 :])
                 gram = longer
             whole = real & (place >= n - 1)
-            self.keys[n], inverse = np.unique(gram[whole], return_inverse=True)
+            self.keys[n], inverse = np.unique(gram[whole] >> _U(64 - key_bits(n)), return_inverse=True)
             at = np.full(len(seq), -1)
             at[whole] = inverse
             self.at[n] = at[real]
@@ -222,9 +236,9 @@ def _send(batches: Iterator[pa.RecordBatch], folder: str, order: int, buckets: i
         for n, keys in g.keys.items():
             at = g.at[n][train]
             counts = np.bincount(at[at >= 0], minlength=len(keys)).astype(np.uint32)
-            bucket = ((keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+            bucket = ((keys >> _U(key_bits(n) - 32)) * _U(buckets) >> _U(32)).astype(np.int64)
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-            rows += [(name, n, int(bucket[a]), _packed(keys[a:b]), _packed(counts[a:b])) for a, b in zip(cut, np.append(cut[1:], len(keys)))]
+            rows += [(name, n, int(bucket[a]), _packed_keys(keys[a:b]), _packed(counts[a:b])) for a, b in zip(cut, np.append(cut[1:], len(keys)))]
         kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["block", "n", "bucket", "keys", "counts"])
 
@@ -248,7 +262,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Totals of each run of rows with one (n, bucket)."""
 
     def total(rows: list[tuple]) -> pa.RecordBatch:
-        keys = [_unpacked(r[3], np.uint64) for r in rows]
+        keys = [_unpacked_keys(r[3]) for r in rows]
         counts = np.concatenate([_unpacked(r[4], np.uint32) for r in rows])
         every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(inverse, counts, len(every)).astype(np.uint64)
