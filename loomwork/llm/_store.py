@@ -93,3 +93,22 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_LATER: list[str] = []
+
+
+def later(*paths: str) -> None:
+    """Has tables that lazy results still read deleted when this Python process ends."""
+    if not _LATER:
+        atexit.register(_delete)
+    _LATER.extend(paths)
+
+
+def _delete() -> None:
+    for path in _LATER:
+        try:
+            where, name = opened(path)
+            where.delete_dir(name)
+        except (OSError, ValueError):  # gone already, or not reachable without the session
+            pass

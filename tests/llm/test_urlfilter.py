@@ -48,3 +48,26 @@ def test_false_positives_are_removed(spark):
     pages = spark.range(600).selectExpr("id as page_id", "concat('http://l', id, '.com/') as url")
     out = uf.judge(pages, (), listed, max_bytes=64)
     assert out.where("listed").count() == 300 and out.where("listed and page_id >= 300").count() == 0
+
+
+def test_beyond_the_broadcast_bound(spark):
+    """Hot keys, listed and not, cold keys, whole hosts, and keys that the filter lets through by mistake."""
+    listed = spark.range(3000).selectExpr("case when id % 2 = 0 then concat('h', id, '.com') else concat('h', id, '.com/p') end as url")
+    pages = spark.range(20_000).selectExpr("id as page_id", "concat('http://h', case when id % 3 = 0 then 2 when id % 3 = 1 and id % 7 = 0 then 9001 else id % 4000 end, '.com/p') as url")
+    small, large = (uf.judge(pages, (), listed, max_bytes=m, broadcast_bytes=b) for m, b in ((32 << 20, 32 << 20), (4096, 0)))
+    assert small.exceptAll(large).count() == large.exceptAll(small).count() == 0 and large.count() == 20_000
+    assert small.where("listed").count() == pages.selectExpr("cast(regexp_extract(url, 'h([0-9]+)', 1) as int) as h").where("h < 3000").count()
+
+
+def test_only_keys_that_pass_are_shuffled(spark):
+    listed = spark.range(50).selectExpr("concat('l', id, '.com/a') as url")
+    pages = spark.range(4000).selectExpr("id as page_id", "concat('http://l', id, '.com/a') as url", "repeat('x', 1000) as html")
+    plan = uf.judge(pages, (), listed)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and plan.count("BroadcastHashJoin") == 2
+
+
+def test_clashing_names_keep_their_values(spark):
+    names = ["_key", "_salt", "_row", "_k0", "_canonical_key", "_host_key", "_ruled", "key", "n", "_pass0", "_in"]
+    pages = spark.createDataFrame([(1, "http://l1.com/a", *range(len(names)))], "page_id long, url string, " + ", ".join(f"`{n}` int" for n in names))
+    r = uf.judge(pages, (), spark.createDataFrame([("l1.com/a",)], "url string"))
+    assert r.columns == [*pages.columns, *uf.ADDED] and tuple(r.select(*names).first()) == tuple(range(len(names))) and r.first().verdict == "block"
