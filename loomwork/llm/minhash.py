@@ -10,11 +10,16 @@ independently.
 2. Equal sets are one class: a pre-aggregated group-by. All else is on classes.
 3. Classes that agree on a band of ROWS coordinates share a bucket. Every member is paired with the
    bucket's least class only (a star), never with all others.
-4. Pairs are verified on full shingle sets, made anew from the texts of the classes in some pair.
+4. Pairs are verified on full shingle sets, made anew from the texts of the classes in some pair. A text goes to each
+   (centre, group) that asks for it; a centre's members are cut into groups of about GROUP, and a centre's
+   set is made once a group, so a centre of a million members is neither one task nor a million copies of its text.
 5. Components of the verified links: alternating large-star and small-star rounds on written tables.
-6. Members other than the star's centre that are still in different components are compared too,
-   so that a link which a star can't see isn't lost: in blocks of about BLOCK members, by sketch,
-   then verified. Links inside one component would change nothing.
+6. Members other than the star's centre that are still in different components are compared too, so that a link
+   which a star can't see isn't lost. Sketches are compared in blocks of about BLOCK members, which emits no pairs but, for each
+   member, its QUOTA best matches of other components; over all blocks a member keeps QUOTA, so a round verifies at most
+   QUOTA pairs a member. Links merge components, which makes most other pairs pointless. Only buckets in which some member had
+   more matches go on, with eight times the quota, until none is left out: nothing is capped. Links inside one
+   component would change nothing.
 
 A pair goes unseen only if no band agrees, at similarity 0.8 with probability (1 - 0.8**4)**32 =
 5e-8, or if its sketches agree on less than LEAST of the coordinates, at 0.8 about 1e-8.
@@ -22,7 +27,7 @@ A pair goes unseen only if no band agrees, at similarity 0.8 with probability (1
 Null and empty texts have an empty set and are linked with nothing. Fewer words than a shingle: the
 whole sequence is one shingle. Repeated rows are each returned. Rows without an id are grouped as
 others; a component's id is its least id, null if it has none, and a null id is never kept unless
-the text has no words.
+the text has no words. ``near_duplicates`` returns no other columns of the input; ``deduplicate`` returns all as they are.
 """
 
 from __future__ import annotations
@@ -33,16 +38,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm._store import drop, small_batches, written
+from loomwork.llm._columns import free
+from loomwork.llm._store import drop, later, small_batches, written
 from loomwork.llm._words import SPACED, Words, chunks, mix
 from loomwork.llm.urlfilter import _passes, build_filter
 
 COORDS, ROWS = 128, 4
 BANDS = COORDS // ROWS
-BLOCK = 256
+BLOCK = 2048
+GROUP = 1024
+QUOTA = 8
 LEAST = 0.6
 _U = np.uint64
 _SEEDS = np.random.default_rng(8).integers(1, 2**63, 2 * COORDS, dtype=np.uint64)
@@ -106,17 +114,23 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
 
 
 def _exact(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs (a, b) with 100 * intersection >= percent * union."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            batch = whole.slice(at, 500)
-            sides = [[s for _, _, data, off in chunks(batch, name) for s in shingle_sets(data, off, k)] for name in ("text_a", "text_b")]
-            keep = []
-            for x, y in zip(*sides):
-                both = np.sort(np.concatenate([x, y]))
+    """The pairs (a, b) with 100 * intersection >= percent * union. Rows (a, g, member, b, text) are sorted; the first of each
+    (a, g) is a itself."""
+    centre, own = None, np.zeros(0, np.uint64)
+    for batch in batches:
+        for first, end, data, off in chunks(batch, "text"):
+            part, keep = batch.slice(first, end - first), []
+            for a, g, member, x in zip(*(part.column(c).to_pylist() for c in ("a", "g", "member")), shingle_sets(data, off, k)):
+                if not member:
+                    centre, own = (a, g), x
+                    keep.append(False)
+                    continue
+                if centre != (a, g):
+                    raise ValueError("a member without its centre")
+                both = np.sort(np.concatenate([x, own]))
                 same = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * same >= percent * (len(both) - same))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _agreement(least: float):
@@ -140,15 +154,18 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perce
         .select("a", "b")
     )
     near, near_path = written(near, "near")
-    used = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", F.col("rep.row").alias("row"), F.col("rep.id").alias("id")), "node")
-    used, used_path = written(used, "used")
-    passes = _passes(spark, build_filter(used, "row"))
+    most = near.groupBy("a").count().agg(F.max("count")).first()[0] or 0
+    asked = near.withColumn("g", F.pmod(F.xxhash64("b"), F.lit(-(-most // GROUP) or 1)))
+    asks = F.explode(F.array(F.struct(F.col("a").alias("node"), "a", "g", F.lit(False).alias("member")), F.struct(F.col("b").alias("node"), "a", "g", F.lit(True).alias("member"))))
+    asked = asked.select(asks.alias("x")).select("x.*").distinct().join(classes.select("node", F.col("rep.row").alias("_row"), F.col("rep.id").alias("_id")), "node")
+    asked, asked_path = written(asked, "asked")
+    passes = _passes(spark, build_filter(asked.select("_row").distinct(), "_row"))
     rows = docs.where(passes(F.xxhash64("row")))
-    texts = rows.join(used.hint("shuffle_hash"), (rows["row"] == used["row"]) & rows["id"].eqNullSafe(used["id"])).select("node", "text")
-    full = near.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    links = full.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _exact(it, k, percent), "a binary, b binary").distinct()
+    full = rows.join(asked.hint("shuffle_hash"), (rows["row"] == asked["_row"]) & rows["id"].eqNullSafe(asked["_id"])).select("a", "g", "member", F.col("node").alias("b"), "text")
+    runs = full.repartition("a", "g").sortWithinPartitions("a", "g", "member", "b")
+    links = runs.mapInArrow(lambda it: _exact(it, k, percent), "a binary, b binary").distinct()
     out = written(links, "links")
-    drop(spark, near_path, used_path)
+    drop(spark, near_path, asked_path)
     return out
 
 
@@ -184,8 +201,9 @@ def connected(links: DataFrame, u: str = "a", v: str = "b") -> tuple[DataFrame,
     return out
 
 
-def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of different labels with like sizes and sketches in each run of rows with one (bucket, i, j)."""
+def _across(batches: Iterator[pa.RecordBatch], percent: int, quota: int) -> Iterator[pa.RecordBatch]:
+    """For each member, its ``quota`` best matches (x, y, agreement) of other labels in each run of rows with one (bucket, i, j);
+    a row with null x and y if there were more."""
     held: pa.Table | None = None
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
@@ -194,15 +212,20 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         n, own = t.column("n").to_numpy(), t.column("own").to_numpy()
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), ">u2").reshape(-1, COORDS)
-        left = np.flatnonzero(own == i)
-        right = left if i == j else np.flatnonzero(own == j)
-        found = []
-        for x in left.tolist():
-            y = right[right > x] if i == j else right
-            y = y[(label[y] != label[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
-            y = y[(sketch[y] == sketch[x]).sum(axis=1) >= LEAST * COORDS]
-            found += [(min(node[x], node[z]), max(node[x], node[z])) for z in y.tolist()]
-        return pa.record_batch([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+        parts = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        found, more = [], False
+        for left, right in [parts] if i == j else [parts, parts[::-1]]:
+            for x in left.tolist():
+                y = right[(label[right] != label[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
+                same = (sketch[y] == sketch[x]).sum(axis=1)
+                y, same = y[same >= LEAST * COORDS], same[same >= LEAST * COORDS]
+                if len(y) > quota:
+                    best = np.argsort(-same, kind="stable")[:quota]
+                    y, same, more = y[best], same[best], True
+                found += [(node[x], node[z], c) for z, c in zip(y.tolist(), same.tolist())]
+        found += [(None, None, None)] * more
+        columns = [pa.array([p[k] for p in found], pa.binary() if k < 2 else pa.int32()) for k in range(3)]
+        return pa.record_batch([*columns, pa.array([t.column("bucket")[0].as_py()] * len(found), pa.binary())], ["x", "y", "same", "bucket"])
 
     def key(t: pa.Table) -> np.ndarray:
         k = t.column("group").to_numpy()
@@ -228,8 +251,8 @@ def _groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema["id"].dataType.simpleString()
-    meta, _ = written(docs.mapInArrow(lambda it: _describe(it, shingle), f"id {kind}, row long, n long, node binary, sketch binary"), "meta")
-    classes, _ = written(
+    meta, meta_path = written(docs.mapInArrow(lambda it: _describe(it, shingle), f"id {kind}, row long, n long, node binary, sketch binary"), "meta")
+    classes, classes_path = written(
         meta.where("node is not null").groupBy("node").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row"))).alias("known"), F.min(F.struct("id", "row")).alias("any"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         .select("node", F.coalesce("known", "any").alias("rep"), "n", "sketch"),
         "classes",
@@ -241,27 +264,45 @@ def _groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     links, links_path = _verify(docs, classes, members.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), shingle, percent)
     labels, labels_path = connected(links)
 
-    labelled = members.where("m > 2").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    split = labelled.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("size")).where("l0 != l1")
-    blocks = (
-        labelled.join(split.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket")
-        .withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
-        .join(classes.select("node", "n", "sketch"), "node")
-        .withColumn("group", F.xxhash64("bucket", "i", "j"))
-    )
-    runs = blocks.repartition("group").sortWithinPartitions("group", "node").select("group", "i", "j", "own", "node", "label", "n", "sketch")
-    more = runs.mapInArrow(lambda it: _across(it, percent), "a binary, b binary").distinct()
-    more = more.join(members.select(F.col("centre").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_anti")
-    more, more_path = written(more, "more")
-    if not more.isEmpty():
-        extra, extra_path = _verify(docs, classes, more, shingle, percent)
-        if not extra.isEmpty():
-            drop(spark, labels_path)
-            labels, _ = connected(links.union(extra))
-        drop(spark, extra_path)
-    drop(spark, more_path, members_path, links_path)
+    tested = members.select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    still, quota, paths = members.where("m > 2").select("bucket", "node"), QUOTA, []
+    while True:
+        labelled = still.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+        split = labelled.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("size")).where("l0 != l1")
+        blocks = (
+            labelled.join(split.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket")
+            .withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
+            .join(classes.select("node", "n", "sketch"), "node")
+            .withColumn("group", F.xxhash64("bucket", "i", "j"))
+        )
+        runs = blocks.repartition("group").sortWithinPartitions("group", "node").select("group", "i", "j", "own", "node", "label", "n", "sketch", "bucket")
+        seen, seen_path = written(runs.mapInArrow(lambda it, q=quota: _across(it, percent, q), "x binary, y binary, same int, bucket binary"), "seen")
+        paths.append(seen_path)
+        best = Window.partitionBy("x").orderBy(F.desc("same"), "y")
+        top = seen.where("x is not null").groupBy("x", "y").agg(F.max("same").alias("same")).withColumn("r", F.row_number().over(best)).withColumn("more", F.max("r").over(Window.partitionBy("x")) > quota)
+        top, top_path = written(top, "top")
+        paths.append(top_path)
+        new = top.where(F.col("r") <= quota).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        new, new_path = written(new, "new")
+        paths.append(new_path)
+        if not new.isEmpty():
+            extra, extra_path = _verify(docs, classes, new, shingle, percent)
+            paths.append(extra_path)
+            if not extra.isEmpty():
+                links = links.union(extra)
+                drop(spark, labels_path)
+                labels, labels_path = connected(links)
+            tested = tested.union(new)
+        cut = seen.where("x is null").select("bucket").union(seen.join(top.where("more").select("x").distinct(), "x", "left_semi").select("bucket")).distinct()
+        cut, cut_path = written(cut, "cut")
+        paths.append(cut_path)
+        if cut.isEmpty():
+            break
+        still, quota = still.join(cut, "bucket", "left_semi"), quota * 8
+    drop(spark, members_path, links_path, *paths)
+    later(meta_path, classes_path, labels_path)
 
     grouped = classes.select("node", "rep").join(labels, "node")
     least = grouped.groupBy("label").agg(F.min(F.when(F.col("rep.id").isNotNull(), F.col("rep"))).alias("known"), F.min("rep").alias("any"))
@@ -274,13 +315,19 @@ def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).alias("id"), F.xxhash64(id, text).alias("row"), F.coalesce(text, F.lit("")).alias("text"))
 
 
+def _checked(percent: int) -> None:
+    if not 80 <= percent <= 100:
+        raise ValueError(f"similarity of {percent} %: the bands are made for 80 or more")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: its id, n_shingles, component_id (least id of its group) and kept.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Two documents are linked if
-    100 * intersection >= ``percent`` * union of their sets of ``shingle``-word shingles; ``percent``
-    should be 80 or more, for which the bands are made.
+    100 * intersection >= ``percent`` * union of their sets of ``shingle``-word shingles; ValueError under 80, for
+    which the bands are made.
     """
+    _checked(percent)
     found = _groups(_keyed(docs, id, text), shingle, percent)
     component = F.when(F.col("lead").isNull(), F.col("id")).otherwise(F.col("lead.id"))
     kept = F.when(F.col("lead").isNull(), True).otherwise(F.coalesce(F.col("id") == F.col("lead.id"), F.lit(False)))
@@ -289,9 +336,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id: st
 
 def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near duplicates: the least id's; of rows equal in id and text one. Texts without words all stay."""
+    _checked(percent)
     worded = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     found = _groups(_keyed(docs.where(worded), id, text), shingle, percent)
-    leads = found.where("row = lead.row and id <=> lead.id").select(F.col("row").alias("_row"), F.col("id").alias("_id")).distinct()
-    rows = docs.where(worded).withColumn("_key", F.xxhash64(id, text))
-    lead = rows.join(leads, (F.col("_key") == F.col("_row")) & F.col(id).eqNullSafe(F.col("_id"))).dropDuplicates(["_row", id])
+    key, row, own = free(docs, "_key", "_row", "_id")
+    leads = found.where("row = lead.row and id <=> lead.id").select(F.col("row").alias(row), F.col("id").alias(own)).distinct()
+    rows = docs.where(worded).withColumn(key, F.xxhash64(id, text))
+    lead = rows.join(leads, (F.col(key) == F.col(row)) & F.col(id).eqNullSafe(F.col(own)), "left_semi").dropDuplicates([key, id])
     return lead.select(*docs.columns).unionByName(docs.where(~worded))

@@ -1,7 +1,10 @@
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from loomwork.llm import minhash as mh
 
@@ -80,18 +83,84 @@ def test_every_coordinate_fills_and_estimates():
     assert (one[0] == one[1]).all() and len(set(one[0].tolist())) > 100
 
 
+def block(nodes, labels, sets, own=None, i=0, j=0):
+    rows = [x.tobytes() for x in mh.sketches(sets)]
+    n = len(nodes)
+    return pa.record_batch(
+        [pa.array([7] * n), pa.array([i] * n, pa.int32()), pa.array([j] * n, pa.int32()), pa.array(own or [0] * n, pa.int32()), pa.array(nodes), pa.array(labels), pa.array([len(x) for x in sets]), pa.array(rows), pa.array([b"k"] * n)],
+        ["group", "i", "j", "own", "node", "label", "n", "sketch", "bucket"],
+    )
+
+
 def test_links_between_members_that_the_centre_misses():
     """The block comparison sees pairs of different components."""
-    import pyarrow as pa
-
     sets = [np.arange(100, dtype=np.uint64) + np.uint64(10**6 * g) for g in (0, 0, 1)]
-    rows = [x.tobytes() for x in mh.sketches(sets)]
-    batch = pa.record_batch(
-        [pa.array([7] * 3), pa.array([0] * 3, pa.int32()), pa.array([0] * 3, pa.int32()), pa.array([0] * 3, pa.int32()), pa.array([b"a", b"b", b"c"]), pa.array([b"a", b"b", b"c"]), pa.array([100] * 3), pa.array(rows)],
-        ["group", "i", "j", "own", "node", "label", "n", "sketch"],
-    )
-    out = [p for b in mh._across(iter([batch]), 80) for p in b.to_pylist()]
-    assert out == [{"a": b"a", "b": b"b"}]
+    out = [p for b in mh._across(iter([block([b"a", b"b", b"c"], [b"a", b"b", b"c"], sets)]), 80, 8) for p in b.to_pylist()]
+    assert [(p["x"], p["y"], p["same"]) for p in out] == [(b"a", b"b", 128), (b"b", b"a", 128)]
+
+
+def test_a_block_emits_few_pairs_a_member():
+    """Two components of 256 like members each: no product of them."""
+    nodes = [bytes([k // 256, k % 256]) for k in range(512)]
+    base = np.arange(400, dtype=np.uint64)
+    sets = [np.append(base, np.uint64(10**6 + k)) for k in range(512)]
+    labels = [bytes([k // 256]) for k in range(512)]
+    for own, i, j in (([0] * 512, 0, 0), ([k // 256 for k in range(512)], 0, 1)):
+        out = [p for b in mh._across(iter([block(nodes, labels, sets, own, i, j)]), 80, 4) for p in b.to_pylist()]
+        assert len(out) == 4 * 512 + 1 and out[-1]["x"] is None
+        assert Counter(p["x"] for p in out[:-1]) == dict.fromkeys(nodes, 4)
+
+
+def test_one_bucket_of_many_components(spark, monkeypatch):
+    """5,000 distinct texts that share a bucket, pairwise under 0.8: at most QUOTA pairs a member are verified in a round."""
+    seen = []
+    true_verify = mh._verify
+
+    def counted(docs, classes, pairs, k, percent):
+        seen.append(pairs.count())
+        return true_verify(docs, classes, pairs, k, percent)
+
+    monkeypatch.setattr(mh, "_verify", counted)
+    monkeypatch.setattr(mh, "BLOCK", 700)
+    n = 5000
+    common = " ".join(f"c{k}" for k in range(30))
+    rows = [(i, f"{common} " + " ".join(f"u{i}_{k}" for k in range(22))) for i in range(n)]
+    rows += [(n + i, rows[7 * i][1] + " tail") for i in range(40)]
+    found = {r.doc_id: r.component_id for r in mh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()}
+    assert found == {i: i for i in range(n)} | {n + i: 7 * i for i in range(40)}
+    assert all(c <= mh.QUOTA * 8**k * len(rows) for k, c in enumerate(seen[1:])) and seen[0] <= mh.BANDS * len(rows)
+
+
+def test_chains_through_small_blocks_and_quotas(spark, monkeypatch):
+    """Many candidates a member, of which few are links, with blocks and quotas that don't hold them at once."""
+    monkeypatch.setattr(mh, "BLOCK", 6)
+    monkeypatch.setattr(mh, "QUOTA", 1)
+    monkeypatch.setattr(mh, "GROUP", 2)
+    r = random.Random(9)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for i in range(90):
+        t = list(base)
+        for k in r.sample(range(60), r.choice([3, 4, 5, 6])):
+            t[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(t)))
+    found = mh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in found} == brute(rows, 1)
+
+
+def test_similarities_under_the_bands_are_refused(odd):
+    with pytest.raises(ValueError, match="79"):
+        mh.near_duplicates(odd, percent=79)
+    assert mh.near_duplicates(odd, percent=95).count() == 12
+
+
+def test_clashing_names_keep_their_values(spark):
+    names = ["_key", "_row", "_id", "row", "id", "node", "lead", "n", "kept", "ROW_"]
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(2, text, *range(10)), (1, text + " more", *range(10, 20)), (3, "", *range(20, 30))], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    out = sorted(tuple(r) for r in mh.deduplicate(docs).collect())
+    assert out == [(1, text + " more", *range(10, 20)), (3, "", *range(20, 30))]
+    assert sorted(r.component_id for r in mh.near_duplicates(docs).collect()) == [1, 1, 3]
 
 
 def test_connected_components(spark):
