@@ -1,16 +1,18 @@
 """Secret scans with a trigram inverted index; DataFrame functions only.
 
 Each rule's regular expression is parsed into a Boolean query over lower-case trigrams: within a
-stretch of literal text every alternative needs all its trigrams, stretches are ANDed, and
-alternatives ORed. The index holds (trigram, document key) postings of the trigrams that some query
-uses. Intersecting postings leaves candidates by rule; only those are verified with the expression.
-Rules without a mandatory trigram (such as runs of hexadecimal digits) are run over all texts.
-
-Postings carry keys, not texts. Documents meet their candidates in one shuffled hash join on the
-key, a hash of the row; equal keys only cost a verification, and identical rows share theirs.
-
-Null and empty texts have no spans. Repeated rows are each returned. Columns that clash with the
-added ones are replaced.
+stretch of literal text every alternative needs the trigrams that cover it, stretches are ANDed, and
+alternatives ORed. The index holds (trigram, text key) postings of the trigrams that some query
+uses. All posting lists are intersected at once, grouped by key, so that the list of a common trigram is
+never in one task; what is left are the candidates of each rule, and only those are verified with the
+expression. Rules without a mandatory trigram (such as runs of hexadecimal digits) are run over all texts.
+
+Postings carry keys, not texts: a key is a hash of the text, and equal keys only cost a verification. The candidates
+(a key and a bit per rule) are written, counted, and broadcast to the texts if they are at most BROADCAST_BYTES, so
+that no text is shuffled; beyond that texts and candidates meet in a shuffled hash join on the key.
+
+Null and empty texts have no spans. Repeated rows are each returned. ``find_secrets`` replaces a column ``spans`` (in
+any case of letters); no other column is touched, and ``redact`` changes the text alone. At most 62 rules.
 """
 
 from __future__ import annotations
@@ -23,9 +25,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm._columns import free, others
 from loomwork.llm._spans import add_spans, ordered
+from loomwork.llm._store import later, written
 
 EXACT_LIMIT = 64
+#: 16 bytes a candidate.
+BROADCAST_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -72,7 +78,8 @@ def _both(a: Query, b: Query) -> Query:
 def _needs(strings: set[str]) -> Query:
     if any(len(s) < 3 for s in strings):
         return None
-    return _either([frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in strings], [])
+    strings = {s for s in strings if not any(t != s and t in s for t in strings)}  # the shorter alternative covers them
+    return _either([frozenset(s[i : i + 3] for i in (*range(0, len(s) - 2, 3), len(s) - 3)) for s in strings], [])
 
 
 def _exact(op, arg) -> set[str] | None:
@@ -135,20 +142,15 @@ def trigram_query(pattern: str) -> Query:
     return _query(rp.parse(pattern))
 
 
-def row_key(df: DataFrame, text: str = "text") -> Column:
-    """A hash of the row; maps are left out, as they can't be hashed."""
-    return F.xxhash64(*(F.col(f.name) for f in df.schema if "map<" not in f.dataType.simpleString()))
-
-
 def vocabulary(rules: tuple[Rule, ...]) -> list[str]:
     return sorted({t for r in rules for part in trigram_query(r.pattern) or [] for t in part})
 
 
 def build_index(df: DataFrame, key: str, text: str, trigrams: list[str]) -> DataFrame:
-    """Postings (trigram number, key)."""
-    low = df.select(key, F.lower(text).alias("_low"))
-    has = F.array(*(F.when(F.contains("_low", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)))
-    return low.select(F.explode(F.array_compact(has)).alias("trigram"), F.col(key).alias("key"))
+    """Postings (trigram number, key); a table of them serves all rules with these trigrams."""
+    low = df.select(F.col(key).alias("key"), F.lower(text).alias("low"))
+    has = F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)))
+    return low.select(F.explode(F.array_compact(has)).alias("trigram"), "key")
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...], trigrams: list[str]) -> DataFrame:
@@ -171,35 +173,44 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...], trigrams: list[str]) -
     return held.select("key", bits.alias("rules")).where("rules != 0")
 
 
-def find_secrets(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def find_secrets(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with ``spans``: array<struct<kind, rank, start, end, score>> by start, then rule order."""
-    df = df.drop("spans")
-    keyed = df.withColumn("_key", row_key(df))
+    return _with_spans(df.select(*others(df.columns, "spans")), "spans", text, rules, broadcast_bytes)
+
+
+def _with_spans(df: DataFrame, spans: str, text: str, rules: tuple[Rule, ...], broadcast_bytes: int) -> DataFrame:
+    if len(rules) > 62:
+        raise ValueError(f"{len(rules)} rules; a scan takes 62 at most")
     trigrams = vocabulary(rules)
+    key, bits, *parts = free(df, "_key", "_rules", *(f"_s{r}" for r in range(len(rules))))
+    keyed = df
     if trigrams:
-        found = candidates(build_index(keyed, "_key", text, trigrams), rules, trigrams)
-        keyed = keyed.join(found.hint("shuffle_hash").withColumnRenamed("key", "_key").withColumnRenamed("rules", "_rules"), "_key", "left")
+        keyed = df.withColumn(key, F.xxhash64(text))
+        found, path = written(candidates(build_index(keyed, key, text, trigrams), rules, trigrams), "candidates")
+        later(path)
+        side = found.select(F.col("key").alias(key), F.col("rules").alias(bits))
+        side = F.broadcast(side) if 16 * found.count() <= broadcast_bytes else side.hint("shuffle_hash")
+        keyed = keyed.join(side, key, "left")
     else:
-        keyed = keyed.withColumn("_rules", F.lit(0).cast("long"))
+        keyed = df.withColumn(bits, F.lit(0).cast("long"))
     for r, rule in enumerate(rules):
-        gate = None if trigram_query(rule.pattern) is None else F.expr(f"(coalesce(_rules, 0L) & {1 << r}L) != 0")
-        keyed = add_spans(keyed, f"_s{r}", text, rule.kind, r, rule.pattern, rule.valid, gate, rule.group)
-    out = keyed.withColumn("spans", ordered([f"_s{r}" for r in range(len(rules))]))
-    return out.select(*df.columns, "spans")
+        gate = None if trigram_query(rule.pattern) is None else F.expr(f"(coalesce({bits}, 0L) & {1 << r}L) != 0")
+        keyed = add_spans(keyed, parts[r], text, rule.kind, r, rule.pattern, rule.valid, gate, rule.group)
+    return keyed.withColumn(spans, ordered(parts)).select(*df.columns, spans)
 
 
-def redact(df: DataFrame, text: str = "text", mask: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``df`` with the found spans replaced by ``mask``; overlapping spans become one."""
-    found = find_secrets(df, text, rules)
-    merged = found.withColumn(
-        "_cut",
+def redact(df: DataFrame, text: str = "text", mask: str = "[SECRET]", rules: tuple[Rule, ...] = RULES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with the found spans replaced by ``mask``; overlapping spans become one. All other columns stay as they are."""
+    spans, cut = free(df, "_spans", "_cut")
+    merged = _with_spans(df, spans, text, rules, broadcast_bytes).withColumn(
+        cut,
         F.expr(
-            """aggregate(spans, cast(array() as array<struct<a:bigint,b:bigint>>), (acc, s) ->
+            f"""aggregate({spans}, cast(array() as array<struct<a:bigint,b:bigint>>), (acc, s) ->
             case when size(acc) > 0 and element_at(acc, -1).b >= s.start
                  then concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).a as a, greatest(element_at(acc, -1).b, s.end) as b)))
                  else concat(acc, array(struct(s.start as a, s.end as b))) end)"""
         ),
     )
-    kept = f"transform(_cut, (s, i) -> substring({text}, cast(case when i = 0 then 0L else element_at(_cut, i).b end as int) + 1, cast(s.a - case when i = 0 then 0L else element_at(_cut, i).b end as int)))"
-    new = F.expr(f"case when size(_cut) = 0 then {text} else concat(array_join(transform({kept}, p -> concat(p, '{mask}')), ''), substring({text}, cast(element_at(_cut, -1).b as int) + 1)) end")
+    kept = f"transform({cut}, (s, i) -> substring(`{text}`, cast(case when i = 0 then 0L else element_at({cut}, i).b end as int) + 1, cast(s.a - case when i = 0 then 0L else element_at({cut}, i).b end as int)))"
+    new = F.expr(f"case when size({cut}) = 0 then `{text}` else concat(array_join(transform({kept}, p -> concat(p, '{mask}')), ''), substring(`{text}`, cast(element_at({cut}, -1).b as int) + 1)) end")
     return merged.withColumn(text, new).select(*df.columns)

@@ -101,3 +101,19 @@ def test_long_logins_and_forge_tokens(spark):
     for rule in sc.RULES:
         q = sc.trigram_query(rule.pattern)
         assert all(any(all(g in t.lower() for g in part) for part in q) for t in LONG if q is not None and re.search(rule.pattern, t))
+
+
+def test_no_text_is_shuffled_while_candidates_are_few(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    plan = sc.find_secrets(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    few, many = ({r.doc_id: r.spans for r in sc.find_secrets(docs, broadcast_bytes=b).collect()} for b in (1 << 20, 0))
+    assert few == many
+
+
+def test_rules_are_counted(odd):
+    import pytest
+
+    with pytest.raises(ValueError, match="63"):
+        sc.find_secrets(odd, rules=sc.RULES[:1] * 63)
+    assert sc.find_secrets(odd, rules=(sc.Rule("hex", "[0-9a-f]{16,}"),)).count() == 12
