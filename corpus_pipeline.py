@@ -1,4 +1,8 @@
-"""A cleaning pipeline over ``documents``; each stage is written as Parquet and reread by the next."""
+"""A cleaning pipeline over ``documents``; each stage is written as Parquet and reread by the next.
+
+Every stage takes further columns and leaves their values alone, whatever their names; the secret scan changes ``text`` and
+``n_chars`` alone. Null and empty texts pass all stages.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm import decontam, minhash, queries, secrets, sentencepiece, toxicity
-from loomwork.llm._store import drop, written
+from loomwork.llm._store import drop, later, written
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out the documents that the classifier rejects."""
+    """Leaves out the documents that the classifier rejects; the others keep all their columns."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     weights = toxicity.fit_toxicity(docs.select("doc_id", "text"), labels)
-    return toxicity.score_toxicity(docs, weights).where("predicted = 0").select(*docs.columns)
+    return toxicity.reject_toxic(docs, weights)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,4 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             drop(spark, before)
         before = path
+    later(before)
     return docs
