@@ -2,6 +2,8 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from loomwork.llm.queries import PIECES, QUERIES
 from tests.llm.test_decontam import brute as hits
@@ -51,3 +53,22 @@ def test_decisions_take_effect(spark, folder):
 def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert 4 <= len(cp.STAGES) <= 5
+
+
+def test_stages_keep_the_values_of_all_columns(spark, folder):
+    """Columns named as whatever the stages add or work with."""
+    names = (
+        "score predicted spans n_words n_hit items longest_words longest_at longest_item _key _row _id row id node lead n kept _rules _cut _all _spans _s0 _m__s0 _z__s0 _c__s0"
+        " _salt _whole order label features epoch sketch bucket path slice doc canonical Score SPANS_ text_a member g a b"
+    ).split()
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    wide = docs.select("*", *(F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names if n != "Score"))
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, wide, folder)
+        assert out.columns == wide.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}:{r.doc_id}" for r in rows for n in names if n != "Score"), name
+        before = {r.doc_id: r for r in wide.collect()}
+        assert all(r.lang == before[r.doc_id].lang and r.source == before[r.doc_id].source for r in rows)
+    last = cp.STAGES[-1][1](spark, wide, folder)
+    assert last.count() == docs.count() and {f"{n}:{r.doc_id}" == r[n] for r in last.collect() for n in ("score", "_key", "spans")} == {True}
