@@ -173,6 +173,17 @@ def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.payload_media(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op9: the sizes and the digest of what is read back from the stored media."""
+    return op9_gif_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+MEDIA_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, t, CASE WHEN t = '' THEN 192 ELSE (192 - strlen(t) % 192) % 192 END AS pad FROM d)
+SELECT doc_id, CAST(strlen(t) AS BIGINT) AS n_bytes, CAST(strlen(t) + pad AS BIGINT) AS payload_bytes, sha256(t || repeat(' ', CAST(pad AS INT))) AS payload_sha256 FROM p
+"""
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2)
 
@@ -194,6 +205,24 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), _remainder(10) != 0)
 
 
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op10: the counts and the base score."""
+    return op10_lm_scores(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+#: CRC-32 from its table of 256 remainders.
+LM_BASE_SQL = r"""
+WITH crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) AS r(i))),
+d AS (SELECT row_number() OVER () AS rid, doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 10 = 0 AS held_out,
+  list_append(coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), []), ' end') AS w FROM documents, crc),
+x AS (SELECT rid, doc_id, held_out, unnest(w) AS token FROM d),
+c AS (SELECT token, count(*) AS c FROM x WHERE NOT held_out GROUP BY token), n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))), 4) AS base_score
+FROM x LEFT JOIN c ON c.token = x.token, n GROUP BY rid, doc_id, held_out
+"""
+
+
 #: The vocabulary file of the SentencePiece queries.
 PIECES = os.environ.get("LOOMWORK_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -227,5 +256,7 @@ QUERIES: dict[str, Query] = {
     "op8_url_filter": op8_url_filter,
     "op9_gif_media": op9_gif_media,
     "op10_lm_scores": op10_lm_scores,
+    "media_payloads": media_payloads,
+    "lm_base_scores": lm_base_scores,
 }
-SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op3_warc": OP3_SQL, "op4_decontamination": OP4_SQL, "op6_secrets": OP6_SQL, "op7_pii": OP7_SQL, "op8_url_filter": OP8_SQL}
+SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op3_warc": OP3_SQL, "op4_decontamination": OP4_SQL, "op6_secrets": OP6_SQL, "op7_pii": OP7_SQL, "op8_url_filter": OP8_SQL, "media_payloads": MEDIA_SQL, "lm_base_scores": LM_BASE_SQL}
