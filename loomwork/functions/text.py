@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 def clean_text(text: Column, english: bool = True) -> Column:
     """Line breaks and tabs become spaces; with ``english`` all but ASCII letters, digits and spaces go; empty becomes ``emptydoc``."""
-    out = F.regexp_replace(text, r"[\n\t]", " ")
+    out = F.translate(text, "\n\t", "  ")
     if english:
         out = F.regexp_replace(out, r"[^ 0-9A-Za-z]+", "")
-    return F.when(out == "", "emptydoc").otherwise(out)
+    # a variable of a function over one element, as a CASE over the expression would evaluate it twice
+    return F.get(F.transform(F.array(out), lambda x: F.when(x == "", "emptydoc").otherwise(x)), F.lit(0))
 
 
 def tokens(cleaned: Column) -> Column:
@@ -21,6 +22,12 @@ def tokens(cleaned: Column) -> Column:
     return F.filter(F.split(F.lower(cleaned), " "), lambda w: F.length(w) >= 2)
 
 
+def _words_of(df: DataFrame, by: str, text: str, english: bool) -> DataFrame:
+    """(by, term): a row per word; the short ones are left out as rows, which is cheaper than in the array."""
+    rows = df.select(by, F.explode(F.split(F.lower(clean_text(F.col(text), english)), " ")).alias("term"))
+    return rows.where(F.length("term") >= 2)
+
+
 def ngrams(words: Column, low: int, high: int) -> Column:
     """All n-grams of ``low`` to ``high`` words, joined by spaces."""
     parts = [words] if low == 1 else []
@@ -36,10 +43,11 @@ def _joined_slices(words: Column, starts: Column, n: int) -> Column:
 
 def term_counts(df: DataFrame, by: str, text: str, english: bool = True, ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
     """(by, term, n). Counts add up, so the texts of a class are never concatenated."""
-    words = tokens(clean_text(F.col(text), english))
-    if ngram_range != (1, 1):
-        words = ngrams(words, *ngram_range)
-    return df.select(by, F.explode(words).alias("term")).groupBy(by, "term").agg(F.count("*").alias("n"))
+    if ngram_range == (1, 1):
+        rows = _words_of(df, by, text, english)
+    else:
+        rows = df.select(by, F.explode(ngrams(tokens(clean_text(F.col(text), english)), *ngram_range)).alias("term"))
+    return rows.groupBy(by, "term").agg(F.count("*").alias("n"))
 
 
 def class_tfidf(counts: DataFrame, by: str, bm25: bool = False, reduce_frequent: bool = False, seeds: DataFrame | None = None) -> DataFrame:
@@ -47,8 +55,10 @@ def class_tfidf(counts: DataFrame, by: str, bm25: bool = False, reduce_frequent:
 
     tf: share of the class's terms, its square root with ``reduce_frequent``. idf: ln(A / f + 1), or
     ln(1 + (A - f + 0.5) / (f + 0.5)) with ``bm25``; A is the truncated mean number of terms of a
-    class, f a term's total. ``seeds``: (term, factor) multiplies the idf.
+    class, f a term's total. ``seeds``: (term, factor) multiplies the idf. Rows without class or term are left out, first
+    of all, so that every use of the counts is the same plan and they are made and shuffled once.
     """
+    counts = counts.where(F.col(by).isNotNull() & F.col("term").isNotNull())
     total = counts.groupBy(by).agg(F.sum("n").alias("class_total"))
     mean = total.agg(F.floor(F.avg("class_total")).alias("a"))
     freq = counts.groupBy("term").agg(F.sum("n").alias("f"))
