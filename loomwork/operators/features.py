@@ -1,6 +1,6 @@
 """Feature declarations, dictionary encoding and scalers.
 
-Scalers are fitted by SQL aggregates with population statistics, exact quantiles and centring, and
+Scalers are fitted by SQL aggregates with population statistics, by exact quantiles (robust), and
 applied as column expressions; ``fit`` returns a plain object that can be saved or inspected.
 """
 
@@ -9,12 +9,16 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.functions.quantiles import column_quantiles
+from loomwork.operators.folds import with_row_index
 from loomwork.operators.joins import null_safe_join
 
+#: Distinct values that the driver sorts.
+SMALL = 10_000
 SCALERS = ("standard", "minmax", "maxabs", "robust", "normalizer", "power", "quantile")
 
 
@@ -97,9 +101,17 @@ def needed_columns(df: DataFrame, c: InputConfig, groups: tuple[str, ...] = (),
 
 
 def dictionary(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): dense codes of the distinct values in sorted order. Null has none."""
+    """(value, code): dense codes of the distinct values in sorted order. Null has none.
+
+    Up to SMALL values are sorted on the driver; more are ranked by range partitions, which are written.
+    """
     values = df.select(F.col(column).alias("value")).where("value is not null").distinct()
-    return values.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("long"))
+    few = values.limit(SMALL + 1).collect()
+    if len(few) > SMALL:
+        return with_row_index(values, ["value"], "code")
+    schema = T.StructType([T.StructField("value", values.schema["value"].dataType), T.StructField("code", T.LongType())])
+    order = sorted((r["value"] for r in few), key=lambda v: v.encode() if isinstance(v, str) else v)  # strings by their bytes, as in SQL
+    return df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(order)], schema)
 
 
 def low_cardinality(df: DataFrame, threshold: float = 0.2) -> list[str]:
@@ -145,11 +157,12 @@ class Scaler:
         elif self.kind == "maxabs":
             aggs = {c: (F.lit(0.0), F.max(F.abs(v))) for c, v in x.items()}
         elif self.kind == "robust":
-            aggs = {c: (F.percentile(v, 0.5), F.percentile(v, 0.75) - F.percentile(v, 0.25)) for c, v in x.items()}
+            found = {c: q or [0.0] * 3 for c, q in column_quantiles(df, self.columns, [0.25, 0.5, 0.75]).items()}
+            self.parameters = {c: (q[1], (q[2] - q[0]) or 1.0) for c, q in found.items()}
+            return self
         elif self.kind == "quantile":
-            steps = F.array(*(F.lit(i / quantiles) for i in range(quantiles + 1)))
-            row = df.agg(*(F.percentile_approx(v, steps, quantiles * 20).alias(c) for c, v in x.items())).first()
-            self.parameters = {c: tuple(row[c] or ()) for c in self.columns}
+            found = column_quantiles(df, self.columns, [i / quantiles for i in range(quantiles + 1)])
+            self.parameters = {c: tuple(q or ()) for c, q in found.items()}
             return self
         elif self.kind == "power":
             self.parameters = {c: self._power(df, v) for c, v in x.items()}

@@ -1,13 +1,14 @@
 """Deterministic folds as relations.
 
 Order is a hash of seed and key, so the same seed gives the same folds under any partitioning. Ranks
-come from counts per hash prefix and a window inside each prefix: no group, and not the whole table
-either, is ever sorted in one task.
+come from counts per hash prefix and a window inside each prefix, or without shuffling from range partitions of
+the keys: no group, and not the whole table either, is ever sorted in one task.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from collections.abc import Iterator
 from enum import Enum
 from itertools import combinations
 
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 from loomwork.operators.joins import null_safe_join
 
-PREFIX = 3
+#: Rows of a hash prefix, about.
+PREFIX_ROWS = 1 << 20
 
 
 class FoldMode(Enum):
@@ -32,7 +34,8 @@ class StratMode(Enum):
 
 @dataclass(frozen=True)
 class KFold:
-    """``drop_remainder``: leave out the n mod k last rows instead of adding them to the last fold."""
+    """``drop_remainder``: leave out the n mod k last rows instead of adding them to the last fold. Without ``shuffle`` folds
+    are runs of the sorted keys; Monte-Carlo splits are always drawn."""
 
     k: int = 5
     n_test: int = 1
@@ -74,21 +77,41 @@ def hash_order(key: Column, seed: int | str | Column) -> Column:
 
 def ranked(df: DataFrame, key: str, by: tuple[str, ...] = (), seed: int | str | Column = 0, shuffle: bool = True) -> DataFrame:
     """``df`` with ``rn`` (1, 2, ... within ``by``) and ``n`` (rows of the group), in hash order, or by key without ``shuffle``."""
-    h = hash_order(F.col(key), seed)
-    full = df.withColumn("_h", h)
-    order = ["_h", key] if shuffle else [key]
     if not shuffle:
-        w = Window.partitionBy(*by)
-        return full.withColumn("rn", F.row_number().over(w.orderBy(key)).cast("long")).withColumn("n", F.count("*").over(w)).drop("_h")
-    full = full.withColumn("_p", F.substring("_h", 1, PREFIX))
+        return _ranked_by_key(df, key, by)
+    full = df.withColumn("_h", hash_order(F.col(key), seed))
+    full = full.withColumn("_p", F.substring("_h", 1, _prefix(df)))
     count = full.groupBy(*by, "_p").agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*by)
     before = count.withColumn("_before", F.coalesce(F.sum("_c").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("_c").over(w))
     joined = null_safe_join(full, before.drop("_c"), [*by, "_p"])
-    inside = F.row_number().over(Window.partitionBy(*by, "_p").orderBy(*order))
+    inside = F.row_number().over(Window.partitionBy(*by, "_p").orderBy("_h", key))
     return joined.withColumn("rn", (inside + F.col("_before")).cast("long")).drop("_h", "_p", "_before")
 
 
+def _prefix(df: DataFrame) -> int:
+    """Hexadecimal digits that cut the table into prefixes of about PREFIX_ROWS, by the plan's estimate of its size: 3, more for
+    large tables. Ranks don't depend on it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    digits = 3
+    while digits < 8 and size / 16 > PREFIX_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
+def _ranked_by_key(df: DataFrame, key: str, by: tuple[str, ...]) -> DataFrame:
+    from loomwork.sources.tables import materialised
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialised(df.repartitionByRange(n, *by, key).withColumn("_part", F.spark_partition_id()), "ranks")
+    count = placed.groupBy(*by, "_part").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*by)
+    before = count.withColumn("_before", F.coalesce(F.sum("_c").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("_c").over(w))
+    joined = null_safe_join(placed, before.drop("_c"), [*by, "_part"])
+    inside = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(key))
+    return joined.withColumn("rn", (inside + F.col("_before")).cast("long")).drop("_part", "_before")
+
+
 def fold_of(k: int, one_fold_if_few: bool = True) -> Column:
     """Fold of rank ``rn`` among ``n``: k slices of floor(n / k), the last takes the rest. Fewer than k rows: all in the
     last fold, or one in each of the first without ``one_fold_if_few``."""
@@ -119,7 +142,7 @@ def _with_fold(df: DataFrame, key: str, c: KFold, seed: int | str | Column, scop
                 limit = F.least(limit, F.col("_least"))
             out = out.where(F.col("rn") <= limit).withColumn("n", F.least("n", limit)).drop("_least")
         return out.withColumn("fold", fold_of(c.k)).drop("rn", "n")
-    out = ranked(df, key, scope, seed)
+    out = ranked(df, key, scope, seed, c.shuffle)
     if c.drop_remainder:
         out = out.where(F.col("rn") <= c.k * F.floor(F.col("n") / c.k))
     return out.withColumn("fold", fold_of(c.k, False)).drop("rn", "n")
@@ -197,6 +220,27 @@ def _seeded(c: KFold, r: int) -> KFold:
     return c if r == 0 else type(c)(**{**c.__dict__, "seed": c.seed + 1000 * r})
 
 
+def split_ids(folds: DataFrame, key: str = "cv_index") -> Iterator[tuple[int, int, DataFrame, DataFrame]]:
+    """(fold number, replica, keys of train, keys of test) of each split of a fold relation; the keys stay relations."""
+    for r in folds.select("fold_number", "replica").distinct().orderBy("fold_number", "replica").collect():  # a row a split
+        here = folds.where((F.col("fold_number") == r.fold_number) & (F.col("replica") == r.replica))
+        yield r.fold_number, r.replica, here.where("role = 'train'").select(key), here.where("role = 'test'").select(key)
+
+
+def nested_labels(df: DataFrame, c: NestedCV | None, key: str = "cv_index", return_joined: bool = False) -> DataFrame:
+    """key and a column of roles per nested fold, ``fold_{r_outer}_{k_outer}_{r_inner}_{k_inner}``; with ``return_joined`` beside all
+    columns of ``df``. Without ``c`` the folds are precomputed: the columns of ``df`` with ``fold`` in their names."""
+    if key not in df.columns:
+        raise ValueError(f"no column {key}")
+    if c is None:
+        given = [x for x in df.columns if "fold" in x and x != key]
+        if not given:
+            raise ValueError("no precomputed fold columns")
+        return df if return_joined else df.select(key, *given)
+    wide = fold_labels(nested_folds(df, c, key), key, F.concat(F.lit("fold_"), fold_name("r_outer", "k_outer", "r_inner", "k_inner")))
+    return df.join(wide, key, "left") if return_joined else wide
+
+
 def fold_name(*parts: str) -> Column:
     return F.concat_ws("_", *(F.col(p).cast("string") for p in parts))
 

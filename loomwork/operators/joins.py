@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 KINDS = ("inner", "left", "right", "full", "left_semi", "left_anti")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name like ``name`` that no column of ``df`` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """An equi-join in which null keys are equal; the keys appear once, from ``left``."""
     renamed = right.select(*(F.col(k).alias(f"_right_{k}") for k in keys), *(c for c in right.columns if c not in keys))

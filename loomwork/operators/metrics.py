@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.functions.quantiles import quantiles
+
 METRICS = ["accuracy_train", "accuracy_val", "accuracy_test", "mcc_train", "mcc_val", "mcc_test"]
 
 
@@ -50,9 +54,8 @@ def summary(metrics: DataFrame, by_test_fold: bool = False) -> DataFrame:
 
 
 def quartiles(metrics: DataFrame, by: list[str], column: str = "mcc_val") -> DataFrame:
-    """The numbers of a box plot."""
-    q = F.percentile(column, F.array(*(F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0))))
-    return metrics.groupBy(*by).agg(q.alias("q")).select(*by, *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("low", "q1", "median", "q3", "high"))))
+    """The numbers of a box plot, exact for any number of rows."""
+    return quantiles(metrics, by, column, [0.0, 0.25, 0.5, 0.75, 1.0]).select(*by, *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("low", "q1", "median", "q3", "high"))))
 
 
 def wide_predictions(predictions: DataFrame, key: str, task: Column, value: str = "prediction", tasks: list[str] | None = None) -> DataFrame:
@@ -60,6 +63,30 @@ def wide_predictions(predictions: DataFrame, key: str, task: Column, value: str
     return predictions.withColumn("_task", task).groupBy(key).pivot("_task", tasks).agg(F.first(value))
 
 
+def predictions_of(predictions: DataFrame, feature_set: str, classifier: str, classifier_id: str, folds: list[tuple[int, int, int, int]] | None = None) -> DataFrame:
+    """The predictions of one input and one model, of all folds or of ``folds`` (r_outer, k_outer, r_inner, k_inner); ValueError names
+    what isn't there."""
+    rows = predictions.where((F.col("feature_set_name") == feature_set) & (F.col("classifier_name") == classifier) & (F.col("classifier_id") == classifier_id))
+    fold = ["r_outer", "k_outer", "r_inner", "k_inner"]
+    there = {tuple(r) for r in rows.select(*fold).distinct().collect()}  # a row a fold
+    if not there:
+        raise ValueError(f"no predictions of {classifier} {classifier_id} on {feature_set}")
+    if folds is None:
+        return rows
+    missing = [f for f in folds if tuple(f) not in there]
+    if missing:
+        raise ValueError(f"no predictions of {classifier} {classifier_id} on {feature_set} in the folds {missing}")
+    wanted = predictions.sparkSession.createDataFrame([tuple(f) for f in folds], ", ".join(f"{c} int" for c in fold))
+    return rows.join(F.broadcast(wanted), fold, "left_semi")  # a row a fold
+
+
+def predictions_by_model(predictions: DataFrame) -> Iterator[tuple[str, str, str, DataFrame]]:
+    """(feature set, classifier, its id, predictions of all folds) of every input and model."""
+    names = ["feature_set_name", "classifier_name", "classifier_id"]
+    for r in predictions.select(*names).distinct().orderBy(*names).collect():  # a row a model
+        yield *r, predictions_of(predictions, *r)
+
+
 def hits(predictions: DataFrame, target: str, prediction: str, by: list[str]) -> DataFrame:
     """(by, hits, n, acc): predictions that agree with a 0/1 target."""
     agreed = F.sum(F.when(F.col(target) == 1, F.col(prediction)).otherwise(1 - F.col(prediction)))

@@ -13,9 +13,11 @@ import math
 import time
 import urllib.error
 import urllib.request
+from collections import deque
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any, Protocol
 
 import pandas as pd
@@ -25,6 +27,7 @@ from pyspark.sql import types as T
 
 from loomwork.functions import text as tx
 from loomwork.operators.folds import with_row_index
+from loomwork.operators.joins import free_name
 from loomwork.sources.tables import materialised
 
 #: Tokens that a model takes at most.
@@ -38,6 +41,10 @@ class RateLimited(Exception):
     """The service asks to slow down."""
 
 
+class ApiError(RuntimeError):
+    """The service answered with an error."""
+
+
 class Client(Protocol):
     """Sends one request and returns the response; raises on failure. Pickled to the executors."""
 
@@ -72,10 +79,14 @@ class HttpClient:
         except urllib.error.HTTPError as e:
             if e.code == 429:
                 raise RateLimited(e.reason) from e
-            raise
-        if "error" in body:
+            try:
+                body = json.load(e)
+            except ValueError:
+                raise ApiError(f"{e.code} {e.reason}") from e
+            body = body if isinstance(body, dict) and "error" in body else {"error": f"{e.code} {e.reason}"}
+        if isinstance(body, dict) and "error" in body:
             message = str(body["error"])
-            raise RateLimited(message) if "rate limit" in message.lower() else RuntimeError(message)
+            raise RateLimited(message) if "rate limit" in message.lower() else ApiError(message)
         return body
 
 
@@ -112,13 +123,15 @@ class Budget:
         return max(wait, 0.0)
 
 
-RESPONSE = {"request": "string", "response": "string", "errors": "array<string>", "attempts": "int"}
+RESPONSE = {"request": "string", "response": "string", "errors": "array<string>", "attempts": "int", "rate_limit_errors": "int", "api_errors": "int", "other_errors": "int"}
 
 
 def call_service(requests: DataFrame, client: Client, config: RunnerConfig = RunnerConfig(), column: str = "request", tokens: str | None = None) -> DataFrame:
-    """(request, response, errors, attempts) of each distinct JSON request; written before it is returned.
+    """(request, response, errors, attempts, errors by kind, id) of each distinct JSON request; written before it is returned.
+    ``id`` is the request's MD5.
 
-    Retries come before new requests; after a rate limit the task rests ``cool_down_s``. ``tokens``: a
+    A task keeps ``threads`` calls under way: whenever one ends the next goes, as the budget allows, retries
+    before new requests; after a rate limit nothing new goes for ``cool_down_s``. ``tokens``: a
     column with a request's token count for the budget.
     """
     rows = requests.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("request")).agg(F.max(tokens).cast("double").alias("tokens") if tokens else F.lit(0.0).alias("tokens"))
@@ -126,43 +139,60 @@ def call_service(requests: DataFrame, client: Client, config: RunnerConfig = Run
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         budget = Budget(config.max_requests_per_minute / config.partitions, config.max_tokens_per_minute / config.partitions)
 
-        def attempt(request: str) -> tuple[Any, str | None, bool]:
+        def attempt(request: str) -> tuple[Any, str | None, int | None]:
+            """The body, or an error and its kind: 0 rate limit, 1 the service's, 2 any other."""
             try:
-                return client.send(json.loads(request)), None, False
+                return client.send(json.loads(request)), None, None
             except RateLimited as e:
-                return None, f"{type(e).__name__}: {e}", True
+                kind, error = 0, e
+            except ApiError as e:
+                kind, error = 1, e
             except Exception as e:  # any failure of a request is its result
-                return None, f"{type(e).__name__}: {e}", False
+                kind, error = 2, e
+            return None, f"{type(error).__name__}: {error}", kind
 
         with ThreadPoolExecutor(config.threads) as pool:
             for frame in frames:
-                out = []
-                queue = [(r, t, []) for r, t in zip(frame["request"], frame["tokens"])]
-                while queue:
-                    ready = []
-                    while queue and len(ready) < config.threads:
-                        wait = budget.take(queue[0][1])
-                        if wait:
-                            if ready:
-                                break
-                            time.sleep(wait)
-                            continue
-                        ready.append(queue.pop(0))
-                    again, limited = [], False
-                    for (r, t, errors), (body, error, slow) in zip(ready, pool.map(attempt, [x[0] for x in ready])):
-                        limited |= slow
+                out, rest_until = [], 0.0
+                fresh = deque((r, t, [], [0, 0, 0]) for r, t in zip(frame["request"], frame["tokens"]))
+                again: deque = deque()
+                under_way: dict = {}
+                while fresh or again or under_way:
+                    pause = 0.0
+                    while (fresh or again) and len(under_way) < config.threads:
+                        queue = again or fresh
+                        pause = max(rest_until - time.monotonic(), 0.0) or budget.take(queue[0][1])
+                        if pause:
+                            break
+                        task = queue.popleft()
+                        under_way[pool.submit(attempt, task[0])] = task
+                    if not under_way:
+                        time.sleep(pause)
+                        continue
+                    for call in wait(under_way, timeout=pause or None, return_when=FIRST_COMPLETED).done:
+                        r, t, errors, kinds = under_way.pop(call)
+                        body, error, kind = call.result()
                         if error is None:
-                            out.append((r, json.dumps(body), None, len(errors) + 1))
-                        elif len(errors) + 1 < config.max_attempts:
-                            again.append((r, t, [*errors, error]))
+                            out.append((r, json.dumps(body), None, len(errors) + 1, *kinds))
+                            continue
+                        errors, kinds = [*errors, error], [k + (i == kind) for i, k in enumerate(kinds)]
+                        if kind == 0:
+                            rest_until = time.monotonic() + config.cool_down_s
+                        if len(errors) < config.max_attempts:
+                            again.append((r, t, errors, kinds))
                         else:
-                            out.append((r, None, [*errors, error], len(errors) + 1))
-                    queue = again + queue
-                    if limited:
-                        time.sleep(config.cool_down_s)
+                            out.append((r, None, errors, len(errors), *kinds))
                 yield pd.DataFrame(out, columns=list(RESPONSE))
 
-    return materialised(rows.repartition(config.partitions).mapInPandas(run, ", ".join(f"{k} {v}" for k, v in RESPONSE.items())), "responses")
+    answered = rows.repartition(config.partitions).mapInPandas(run, ", ".join(f"{k} {v}" for k, v in RESPONSE.items()))
+    return materialised(answered.withColumn("id", F.md5("request")), "responses")
+
+
+def status_counts(responses: DataFrame) -> DataFrame:
+    """The counters of a run in one row: started, in_progress (0, as a run is over when it returns), succeeded, failed, rate_limit_errors,
+    api_errors and other_errors."""
+    done = [F.count("*").alias("started"), F.lit(0).cast("long").alias("in_progress"), F.count("response").alias("succeeded"), F.count_if(F.col("response").isNull()).alias("failed")]
+    return responses.agg(*done, *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rate_limit_errors", "api_errors", "other_errors")))
 
 
 def response_counts(responses: DataFrame) -> DataFrame:
@@ -202,16 +232,25 @@ def chat_request(messages: Column, model: str, schema: dict | None = None) -> Co
     return F.to_json(F.struct(*fields))
 
 
+def _answered(df: DataFrame, request: Column, client: Client, config: RunnerConfig, made: Callable[[DataFrame], list[Column]]) -> DataFrame:
+    """``df`` with the columns that ``made`` takes from the responses. Rows and responses meet on the MD5 of the request, so request
+    texts aren't joined; rows without a request get a key of their own, so that they don't meet in one task."""
+    key = free_name(df, "_request")
+    found = call_service(df.select(request.alias("request")), client, config)
+    plain = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    none = F.concat(F.lit("-"), F.xxhash64(*plain).cast("string")) if plain else F.lit("-")
+    side = found.select(F.col("id").alias(key), *made(found))
+    return df.withColumn(key, F.coalesce(F.md5(request), none)).join(side, key, "left").select(*df.columns, *side.columns[1:])
+
+
 def embed_column(df: DataFrame, column: str, model: str, client: Client, config: RunnerConfig = RunnerConfig(), check_cap: bool = True) -> DataFrame:
     """``df`` with ``{column}_{model}_embedding`` (null where the call failed) and ``{column}_{model}_errors``."""
     if check_cap:
         check_input_cap(df, column, model)
-    asked = df.withColumn("_request", embedding_request(F.col(column), model))
-    found = call_service(asked.select("_request"), client, config, "_request")
     body = F.from_json("response", "struct<data:array<struct<embedding:array<double>>>>")
     vector = F.get(body["data"], F.lit(0))["embedding"]
-    side = found.select(F.col("request").alias("_request"), vector.alias(f"{column}_{model}_embedding"), F.col("errors").alias(f"{column}_{model}_errors"))
-    return asked.join(side, "_request", "left").drop("_request")
+    name = f"{column}_{model}"
+    return _answered(df, embedding_request(F.col(column), model), client, config, lambda _: [vector.alias(f"{name}_embedding"), F.col("errors").alias(f"{name}_errors")])
 
 
 def embed_columns(df: DataFrame, columns: list[str], models: list[str], client: Client, config: RunnerConfig = RunnerConfig()) -> DataFrame:
@@ -223,8 +262,6 @@ def embed_columns(df: DataFrame, columns: list[str], models: list[str], client:
 
 def chat_column(df: DataFrame, column: str, system: str, model: str, client: Client, config: RunnerConfig = RunnerConfig(), schema: dict | None = None) -> DataFrame:
     """``df`` with ``{column}_{model}_answer`` (content, or the called function's arguments), ``_usage`` and ``_errors``."""
-    asked = df.withColumn("_request", chat_request(chat_messages(system, F.col(column)), model, schema))
-    found = call_service(asked.select("_request"), client, config, "_request")
     body = F.from_json(
         "response",
         "struct<choices:array<struct<message:struct<content:string,tool_calls:array<struct<function:struct<arguments:string>>>>>>,usage:struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint>>",
@@ -232,8 +269,8 @@ def chat_column(df: DataFrame, column: str, system: str, model: str, client: Cli
     message = F.get(body["choices"], F.lit(0))["message"]
     answer = F.coalesce(F.get(message["tool_calls"], F.lit(0))["function"]["arguments"], message["content"])
     name = f"{column}_{model}"
-    side = found.select(F.col("request").alias("_request"), answer.alias(f"{name}_answer"), body["usage"].alias(f"{name}_usage"), F.col("errors").alias(f"{name}_errors"))
-    return asked.join(side, "_request", "left").drop("_request")
+    request = chat_request(chat_messages(system, F.col(column)), model, schema)
+    return _answered(df, request, client, config, lambda _: [answer.alias(f"{name}_answer"), body["usage"].alias(f"{name}_usage"), F.col("errors").alias(f"{name}_errors")])
 
 
 def generation_request(system: Column, user: Column, schema: dict | None = None, max_new_tokens: int = 1024, **parameters: Any) -> Column:
@@ -273,52 +310,70 @@ def generate_column(df: DataFrame, column: str, system: str, client: Client, con
     """``df`` with ``{column}_{title}``, the generated text, and with a schema ``_validations`` and ``_errors``."""
     title = (schema or {}).get("title", "generation")
     out = f"{column}_{title}"
-    asked = df.withColumn("_request", generation_request(F.lit(system), F.col(column), schema, **parameters))
-    found = call_service(asked.select("_request"), client, config, "_request")
-    side = found.select(F.col("request").alias("_request"), F.get_json_object("response", "$.generated_text").alias(out))
-    joined = asked.join(side, "_request", "left").drop("_request")
+    request = generation_request(F.lit(system), F.col(column), schema, **parameters)
+    joined = _answered(df, request, client, config, lambda _: [F.get_json_object("response", "$.generated_text").alias(out)])
     return validate_column(joined, out, schema) if schema else joined
 
 
+_PATTERN = {"integer": r"^-?\d+$", "number": r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$", "boolean": "^(true|false)$", "array": r"^\[", "object": r"^\{"}
+
+
+def _of_kind(value: Column, kind: str) -> Column:
+    return value.rlike(_PATTERN[kind]) if kind in _PATTERN else value.isNotNull()
+
+
+def _value_problems(name: str, rule: dict, value: Column, there: Column) -> list[Column]:
+    """Error texts, null where a rule holds, of one JSON value: types, enum, bounds, lengths, pattern, and what is inside."""
+    out = []
+    options = [r.get("type") for r in rule.get("anyOf", [rule])]
+    kinds = [o for o in options if o and o != "null"]
+    if kinds:
+        bad = reduce(lambda a, b: a & b, (~_of_kind(value, k) for k in kinds))
+        absent = value.isNull() if "null" in options else F.lit(False)
+        out.append(F.when(there & ~absent & F.coalesce(bad, F.lit(True)), F.lit(f"{name}: not of type {' or '.join(kinds)}")))
+    if "enum" in rule:
+        out.append(F.when(there & ~value.isin(*map(str, rule["enum"])), F.lit(f"{name}: none of {rule['enum']}")))
+    number = value.try_cast("double")
+    for word, beyond in (("minimum", lambda b: number < b), ("maximum", lambda b: number > b), ("exclusiveMinimum", lambda b: number <= b), ("exclusiveMaximum", lambda b: number >= b)):
+        if word in rule:
+            out.append(F.when(beyond(F.lit(float(rule[word]))), F.lit(f"{name}: beyond {word} {rule[word]}")))
+    for word, beyond in (("minLength", lambda b: F.char_length(value) < b), ("maxLength", lambda b: F.char_length(value) > b)):
+        if word in rule:
+            out.append(F.when(there & beyond(rule[word]), F.lit(f"{name}: beyond {word} {rule[word]}")))
+    if "pattern" in rule:
+        out.append(F.when(there & ~value.rlike(rule["pattern"]), F.lit(f"{name}: not like {rule['pattern']}")))
+    if rule.get("properties"):
+        out += [F.when(there & value.startswith("{"), p) for p in _problems(rule, value, f"{name}.")]
+    if "array" in kinds:
+        items = F.from_json(F.when(value.startswith("["), value), "array<string>")
+        for word, beyond in (("minItems", lambda b: F.size(items) < b), ("maxItems", lambda b: F.size(items) > b)):
+            if word in rule:
+                out.append(F.when(there & beyond(rule[word]), F.lit(f"{name}: beyond {word} {rule[word]}")))
+        inside = rule.get("items", {})
+        if inside:
+            first = F.filter(F.transform(items, lambda x: F.coalesce(*_value_problems(f"{name}[]", inside, x, F.lit(True)), F.lit(None).cast("string"))), lambda p: p.isNotNull())
+            out.append(F.get(first, F.lit(0)))
+    return out
+
+
 def _problems(schema: dict, raw: Column, path: str = "") -> list[Column]:
-    """Error texts, null where a rule holds, of a flat JSON schema: types, required, enum, bounds."""
+    """Error texts, null where a rule holds, of a JSON schema: required, additional and all properties, nested ones too."""
     out = []
     fields = F.json_object_keys(raw)
-    for name, rule in schema.get("properties", {}).items():
-        options = [r.get("type") for r in rule.get("anyOf", [rule])]
-        value = F.get_json_object(raw, f"$.{name}")
+    known = schema.get("properties", {})
+    for name, rule in known.items():
         there = F.array_contains(fields, name)
         if name in schema.get("required", []):
-            out.append(F.when(~F.coalesce(there, F.lit(False)), F.lit(f"{name}: missing")))
-        kinds = [o for o in options if o and o != "null"]
-        bad = None
-        for kind in kinds:
-            if kind == "integer":
-                ok = value.rlike(r"^-?\d+$")
-            elif kind == "number":
-                ok = value.rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$")
-            elif kind == "boolean":
-                ok = value.isin("true", "false")
-            elif kind == "array":
-                ok = value.startswith("[")
-            elif kind == "object":
-                ok = value.startswith("{")
-            else:
-                ok = value.isNotNull()
-            bad = ~ok if bad is None else bad & ~ok
-        if bad is not None:
-            absent = value.isNull() if "null" in options else F.lit(False)
-            out.append(F.when(there & ~absent & F.coalesce(bad, F.lit(True)), F.lit(f"{name}: not of type {' or '.join(kinds)}")))
-        if "enum" in rule:
-            out.append(F.when(there & ~value.isin(*map(str, rule["enum"])), F.lit(f"{name}: none of {rule['enum']}")))
-        for word, op in (("minimum", lambda x, b: x < b), ("maximum", lambda x, b: x > b)):
-            if word in rule:
-                out.append(F.when(op(value.try_cast("double"), F.lit(float(rule[word]))), F.lit(f"{name}: beyond {word} {rule[word]}")))
+            out.append(F.when(~F.coalesce(there, F.lit(False)), F.lit(f"{path}{name}: missing")))
+        out += _value_problems(path + name, rule, F.get_json_object(raw, f"$['{name}']"), there)
+    if schema.get("additionalProperties") is False:
+        out.append(F.when(F.size(F.array_except(fields, F.array(*map(F.lit, known)))) > 0, F.lit(f"{path or 'object'}: unknown fields")))
     return out
 
 
 def validate_column(df: DataFrame, column: str, schema: dict) -> DataFrame:
-    """``df`` with ``{column}_validations`` and ``{column}_errors`` (null if valid); built-in functions only."""
+    """``df`` with ``{column}_validations`` and ``{column}_errors`` (null if valid); built-in functions only. Of a type ``string`` it is
+    only known that there is a value."""
     raw = F.col(column)
     is_object = F.json_object_keys(raw).isNotNull()
     problems = F.array_compact(F.array(*_problems(schema, raw))) if schema.get("properties") else F.array().cast("array<string>")
@@ -361,17 +416,25 @@ def tiktoken_counter(path: str, pattern: str) -> Callable[[Column], Column]:
 _ENCODINGS: dict[str, Any] = {}
 
 
-def message_tokens(messages: Column, count: Callable[[Column], Column] = regex_tokens, n: int = 1, max_tokens: int = 15) -> Column:
-    """Tokens of a chat request: 4 a message and those of its values, one less for a name, 2, and n * max_tokens."""
-    each = F.transform(messages, lambda m: F.lit(4).cast("long") + count(m["role"]) + count(m["content"]))
-    return F.aggregate(each, F.lit(2 + n * max_tokens).cast("long"), lambda a, x: a + x)
+def message_tokens(messages: Column, count: Callable[[Column], Column] = regex_tokens, n: int = 1, max_tokens: int = 15, named: bool = False) -> Column:
+    """Tokens of a chat request: 4 a message and those of its values, 2, and n * max_tokens. ``named``: the messages have a field
+    ``name``; where it isn't null its tokens count, and one less for the role it stands for."""
+
+    def one(m: Column) -> Column:
+        plain = F.lit(4).cast("long") + count(m["role"]) + count(m["content"])
+        return plain + F.coalesce(count(m["name"]) - 1, F.lit(0).cast("long")) if named else plain
+
+    return F.aggregate(F.transform(messages, one), F.lit(2 + n * max_tokens).cast("long"), lambda a, x: a + x)
 
 
-def request_tokens(kind: str, text: Column, count: Callable[[Column], Column] = regex_tokens, n: int = 1, max_tokens: int = 15) -> Column:
-    """Tokens of a ``completions`` (text plus n * max_tokens) or ``embeddings`` request; text may be an array of texts."""
+def request_tokens(kind: str, text: Column, count: Callable[[Column], Column] = regex_tokens, n: int = 1, max_tokens: int = 15, many: bool = False) -> Column:
+    """Tokens of a ``completions`` (n * max_tokens for each text beside its own) or ``embeddings`` request; ``many``: ``text`` is an array
+    of texts, and ``count`` made of built-in functions."""
     if kind not in ("completions", "embeddings"):
         raise NotImplementedError(f"no token count for {kind}")
     extra = n * max_tokens if kind == "completions" else 0
+    if many:
+        return F.aggregate(F.transform(text, lambda x: count(x) + F.lit(extra)), F.lit(0).cast("long"), lambda a, x: a + x)
     return count(text) + F.lit(extra)
 
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions.text import chat_marks
 from loomwork.operators import service as sv
-from loomwork.sources.tables import materialised, read_chat_results, read_embedding_results, shared_folder, table, write_jsonl
+from loomwork.sources.tables import read_chat_results, read_embedding_results, shared_folder, table, write_jsonl
 
 MODEL = "text-embedding-3-small"
 SCHEMA = {"title": "Props", "type": "object", "properties": {"k": {"type": "integer", "maximum": 50}, "tag": {"anyOf": [{"type": "string"}, {"type": "null"}]}}, "required": ["k"]}
@@ -84,7 +85,7 @@ def read_embedding_lines(spark: SparkSession, d: str) -> DataFrame:
     ).otherwise(
         F.concat(F.lit("["), F.to_json(F.struct(F.lit("m").alias("model"), F.array("n_name", F.lit("x")).alias("input"))), F.lit(', {"data": [{"object": "embedding", "embedding": ['), F.col("n_nationkey").cast("string"), F.lit('.5]}, {"object": "embedding", "embedding": [1.0]}]}]'))
     )
-    path = f"{shared_folder(spark)}/lines-{materialised(n.limit(1), 'mark').inputFiles()[0].split('/')[-2]}"
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
     write_jsonl(n.select(line.alias("line")), "line", path)
     out = read_embedding_results(spark, path, "text")
     return out.groupBy("input").agg(F.count("*").alias("n"), F.sum(F.size("text_m_embedding")).alias("numbers"), F.round(F.sum(F.coalesce(F.get("text_m_embedding", F.lit(0)), F.lit(0.0))), 3).alias("total"), F.count("errors").alias("failed"))
@@ -96,7 +97,7 @@ def read_chat_lines(spark: SparkSession, d: str) -> DataFrame:
     request = F.to_json(F.struct(F.lit("m").alias("model"), sv.chat_messages("s", F.col("n_name")).alias("messages")))
     answer = F.concat(F.lit('{"choices": [{"index": 0, "message": {"role": "assistant", "content": "'), F.lower("n_name"), F.lit('"}}], "usage": {"prompt_tokens": '), F.length("n_name").cast("string"), F.lit(', "completion_tokens": 1, "total_tokens": 2}}'))
     line = F.concat(F.lit("["), request, F.lit(", "), F.when(F.col("n_regionkey") == 0, '["timeout"]').otherwise(answer), F.lit("]"))
-    path = f"{shared_folder(spark)}/lines-{materialised(n.limit(1), 'mark').inputFiles()[0].split('/')[-2]}"
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
     write_jsonl(n.select(line.alias("line")), "line", path)
     r = read_chat_results(spark, path)
     return r.select(F.get("messages", F.lit(1))["content"].alias("asked"), F.col("choice.content").alias("answer"), F.col("usage.prompt_tokens").alias("prompt_tokens"), F.get("errors", F.lit(0)).alias("error"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as tx
@@ -39,7 +39,8 @@ def bigram_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").withColumn("mean_all", F.avg("value").over(Window.partitionBy()))
+    events = table(spark, d, "events")
+    e = events.crossJoin(F.broadcast(events.agg(F.avg("value").alias("mean_all"))))  # one row
     e = e.withColumn("mean_all", F.round("mean_all", 6).cast("decimal(20,6)")).withColumn("v", F.round("value", 2).cast("decimal(20,2)"))
     out = tx.prompt(e, "{}: user {} did {} at hour {} for {} of {}", ["Event", F.col("user_id"), F.col("event_type"), F.hour("ts"), F.col("v"), F.col("mean_all")])
     return out.select("event_id", "prompt")

@@ -38,6 +38,14 @@ def write_jsonl(lines: DataFrame, column: str, path: str) -> None:
     lines.select(F.col(column).alias("value")).write.text(path)
 
 
+def write_result_lines(responses: DataFrame, path: str, metadata: str | None = None, mode: str = "append") -> None:
+    """Responses of a service as JSON lines, [request, response or errors] and perhaps metadata (a column of JSON text), as the readers of
+    result lines take them. Appends files to the folder."""
+    outcome = F.coalesce("response", F.to_json("errors"))
+    line = F.concat(F.lit("["), "request", F.lit(", "), outcome, *([F.coalesce(F.concat(F.lit(", "), metadata), F.lit(""))] if metadata else []), F.lit("]"))
+    responses.select(line.alias("value")).write.mode(mode).text(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, or a temporary folder of a local session that has none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -128,3 +128,11 @@ def test_neighbours_of_all_folds(spark):
         want |= _brute_knn([x for x in e if role[x[0]] == "train"], [x for x in e if role[x[0]] == "test"], 5)
     got = [tuple(r) for r in mq.neighbour_predictions(spark, d).collect()]
     assert len(got) == len(e) and dict(got) == want
+
+
+def test_large_dictionaries(spark, monkeypatch):
+    df = spark.createDataFrame([(f"k{i % 300}",) for i in range(900)] + [("é",), ("Z",), (None,)], "k string")
+    few = {r.value: r.code for r in ft.dictionary(df, "k").collect()}
+    monkeypatch.setattr(ft, "SMALL", 20)
+    many = {r.value: r.code for r in ft.dictionary(df, "k").collect()}
+    assert few == many and sorted(few.values()) == list(range(302)) and few["Z"] == 0 and few["é"] == 301

@@ -97,3 +97,27 @@ def test_errors(rows):
         fd.KFold(k=3, n_test=3)
     with pytest.raises(ValueError):
         fd.cv_folds(rows.drop("cv_index"), fd.KFold())
+
+
+def test_folds_of_sorted_keys_and_split_views(rows):
+    c = fd.KFold(k=4, shuffle=False)
+    folds = fd.cv_folds(rows, c)
+    seen = 0
+    ids = sorted(r.cv_index for r in rows.collect())
+    for number, replica, train, test in fd.split_ids(folds):
+        got = sorted(r.cv_index for r in test.collect())
+        assert replica == 0 and got == ids[seen : seen + len(got)] and sorted(got + [r.cv_index for r in train.collect()]) == ids
+        seen += len(got)
+    assert seen == len(ids)
+
+
+def test_nested_labels_joined_and_precomputed(rows):
+    cv = fd.NestedCV(inner=fd.KFold(k=2), outer=fd.KFold(k=2))
+    wide = fd.nested_labels(rows, cv)
+    assert wide.columns == ["cv_index", "fold_0_0_0_0", "fold_0_0_0_1", "fold_0_1_0_0", "fold_0_1_0_1"]
+    joined = fd.nested_labels(rows, cv, return_joined=True)
+    assert joined.count() == rows.count() and set(rows.columns) <= set(joined.columns)
+    assert {r[0] for r in joined.select("fold_0_0_0_0").distinct().collect()} == {"train", "val", "test"}
+    assert fd.nested_labels(joined, None).columns == wide.columns and fd.nested_labels(joined, None, return_joined=True).columns == joined.columns
+    with pytest.raises(ValueError):
+        fd.nested_labels(rows.drop("fold_0"), None)

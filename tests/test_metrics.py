@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 
 from loomwork.functions import vectors as vx
@@ -47,3 +48,31 @@ def test_vectors(spark):
     assert vx.spread_columns(df, "v", 2).columns == ["id", "c", "v_0", "v_1"]
     words = spark.createDataFrame([("t", [1.0, 0.1], w, v) for w, v in (("a", [1.0, 0.0]), ("b", [1.0, 0.01]), ("c", [0.0, 1.0]))], "t string, tv array<double>, w string, v array<double>")
     assert [r.w for r in vx.mmr(words, "t", "tv", "w", "v", diversity=0.7, n=2).orderBy("rank").collect()] == ["b", "c"]
+
+
+def test_quantiles_are_exact(spark):
+    from loomwork.functions.quantiles import column_quantiles, quantiles
+
+    r = np.random.default_rng(3)
+    groups = {"a": r.normal(size=1), "b": r.integers(0, 5, 500).astype(float), "c": r.normal(size=777), None: r.normal(size=2)}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("b", None), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    p = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {x.g: x.q for x in quantiles(df, ["g"], "v", p).collect()}
+    assert set(got) == set(groups)
+    for g, x in groups.items():
+        assert got[g] == pytest.approx(np.quantile(x, p))
+    wide = spark.createDataFrame([(float(i), None) for i in range(10)], "x double, y double")
+    assert column_quantiles(wide, ["x", "y"], [0.5]) == {"x": [4.5], "y": None}
+
+
+def test_predictions_of_a_model(spark):
+    rows = [("f", "Logistic", i, 0, k, 0, 0, n, "test", 1, 1) for i in ("c1", "c2") for k in range(2) for n in range(3)]
+    p = spark.createDataFrame(rows, "feature_set_name string, classifier_name string, classifier_id string, r_outer int, k_outer int, r_inner int, k_inner int, cv_index long, role string, target int, prediction long")
+    assert mt.predictions_of(p, "f", "Logistic", "c1").count() == 6
+    assert mt.predictions_of(p, "f", "Logistic", "c2", [(0, 1, 0, 0)]).count() == 3
+    assert [(a, b, c, d.count()) for a, b, c, d in mt.predictions_by_model(p)] == [("f", "Logistic", "c1", 6), ("f", "Logistic", "c2", 6)]
+    with pytest.raises(ValueError, match="no predictions"):
+        mt.predictions_of(p, "f", "Forest", "c1")
+    with pytest.raises(ValueError, match="folds"):
+        mt.predictions_of(p, "f", "Logistic", "c1", [(0, 5, 0, 0)])
