@@ -18,7 +18,7 @@ independently.
    which a star can't see isn't lost. Sketches are compared in blocks of about BLOCK members, which emits no pairs but, for each
    member, its QUOTA best matches of other components; over all blocks a member keeps QUOTA, so a round verifies at most
    QUOTA pairs a member. Links merge components, which makes most other pairs pointless. Only buckets in which some member had
-   more matches go on, with eight times the quota, until none is left out: nothing is capped. Links inside one
+   more matches go on, with GROWTH times the quota, until none is left out: nothing is capped. Links inside one
    component would change nothing.
 
 A pair goes unseen only if no band agrees, at similarity 0.8 with probability (1 - 0.8**4)**32 =
@@ -50,7 +50,7 @@ COORDS, ROWS = 128, 4
 BANDS = COORDS // ROWS
 BLOCK = 2048
 GROUP = 1024
-QUOTA = 8
+QUOTA = GROWTH = 16
 LEAST = 0.6
 _U = np.uint64
 _SEEDS = np.random.default_rng(8).integers(1, 2**63, 2 * COORDS, dtype=np.uint64)
@@ -300,7 +300,7 @@ def _groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         paths.append(cut_path)
         if cut.isEmpty():
             break
-        still, quota = still.join(cut, "bucket", "left_semi"), quota * 8
+        still, quota = still.join(cut, "bucket", "left_semi"), quota * GROWTH
     drop(spark, members_path, links_path, *paths)
     later(meta_path, classes_path, labels_path)
 

@@ -128,7 +128,7 @@ def test_one_bucket_of_many_components(spark, monkeypatch):
     rows += [(n + i, rows[7 * i][1] + " tail") for i in range(40)]
     found = {r.doc_id: r.component_id for r in mh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()}
     assert found == {i: i for i in range(n)} | {n + i: 7 * i for i in range(40)}
-    assert all(c <= mh.QUOTA * 8**k * len(rows) for k, c in enumerate(seen[1:])) and seen[0] <= mh.BANDS * len(rows)
+    assert all(c <= mh.QUOTA * mh.GROWTH**k * len(rows) for k, c in enumerate(seen[1:])) and seen[0] <= mh.BANDS * len(rows)
 
 
 def test_chains_through_small_blocks_and_quotas(spark, monkeypatch):
