@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any, Protocol
 
 import numpy as np
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as tx
 from loomwork.functions import vectors as vx
 from loomwork.operators.folds import sample_per_group
+from loomwork.sources.tables import materialised
 
 MAX_TOPICS = 2000
 
@@ -29,6 +31,51 @@ def cluster(df: DataFrame, vector: str, k: int, reduce_to: int | None = 5, bisec
     return model.fit(ready).transform(ready).drop("_f", "_r")
 
 
+def soft_cluster(df: DataFrame, vector: str, k: int, reduce_to: int | None = 5, least: float = 0.0, seed: int = 0, restarts: int = 4) -> DataFrame:
+    """``df`` with ``topic``, ``probability`` (of that topic) and ``probabilities`` (of all): PCA, then the likeliest of ``restarts`` mixtures of
+    Gaussians. A row whose probability is under ``least`` is an outlier, topic -1."""
+    ready = df.withColumn("_f", array_to_vector(vector))
+    if reduce_to:
+        ready = PCA(k=reduce_to, inputCol="_f", outputCol="_r").fit(ready).transform(ready)
+    models = [GaussianMixture(k=k, featuresCol="_r" if reduce_to else "_f", predictionCol="topic", probabilityCol="_p", seed=seed + i).fit(ready) for i in range(restarts)]
+    out = max(models, key=lambda m: m.summary.logLikelihood).transform(ready).withColumn("probabilities", vector_to_array("_p")).withColumn("probability", F.array_max("probabilities"))
+    return out.withColumn("topic", F.when(F.col("probability") >= least, F.col("topic")).otherwise(-1)).drop("_f", "_r", "_p")
+
+
+class Strategy(Protocol):
+    """Adds ``topic`` to a frame by the vectors in a column; any such function, or one of the two below."""
+
+    def __call__(self, df: DataFrame, vector: str) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class HardClusters:
+    k: int
+    reduce_to: int | None = 5
+    bisecting: bool = False
+    seed: int = 0
+
+    def __call__(self, df: DataFrame, vector: str) -> DataFrame:
+        return cluster(df, vector, self.k, self.reduce_to, self.bisecting, self.seed)
+
+
+@dataclass(frozen=True)
+class SoftClusters:
+    k: int
+    reduce_to: int | None = 5
+    least: float = 0.0
+    seed: int = 0
+
+    def __call__(self, df: DataFrame, vector: str) -> DataFrame:
+        return soft_cluster(df, vector, self.k, self.reduce_to, self.least, self.seed)
+
+
+def topics_of_vectors(df: DataFrame, id: str, text: str, vector: str, strategy: Strategy, **settings: Any) -> tuple[TopicModel, DataFrame]:
+    """The model of the topics that ``strategy`` finds, and the rows with their topics (and probabilities), written."""
+    placed = materialised(strategy(df, vector), "topics")
+    return fit_topics(placed, id, text, **settings), placed
+
+
 @dataclass
 class TopicModel:
     """``terms``: (topic, term, score, rank); ``info``: (topic, size, label, words); ``docs``: (topic, id, similarity, rank)."""

@@ -1,13 +1,17 @@
 """Nested cross-validation of Spark ML classifiers.
 
 Folds are a relation; each task is one fit on its training rows and one scoring pass over its train,
-val and test rows. Fits are submitted from a bounded thread pool, each distributed by itself.
+val and test rows. Fits are submitted from a bounded thread pool, each distributed by itself. A task's predictions are
+written as soon as it is done, so a run that is cut off goes on with the tasks that are missing.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, fields
 from functools import reduce
 from typing import Any
 
@@ -24,12 +28,17 @@ from pyspark.sql import functions as F
 from loomwork.operators.features import Categorical, FeatureSet, InputConfig, Scaler, dictionary, one_hot
 from loomwork.operators.folds import NestedCV, nested_folds
 from loomwork.operators.metrics import accuracy_and_mcc
-from loomwork.sources.tables import materialised
+from loomwork.sources.tables import exists, shared_folder
+
+
+#: Settings that don't change a model here, whatever their value.
+NEUTRAL = {"n_jobs", "verbose", "solver", "multi_class", "warm_start", "copy_X_train", "algorithm", "leaf_size", "classifier_name"}
 
 
 @dataclass(frozen=True)
 class Classifier:
-    """Fields that are None don't show in the id."""
+    """Fields that are None don't show in the id. ``class_weight``: None, ``balanced`` (rows / (classes * rows of the class)), or pairs (class,
+    weight)."""
 
     @property
     def id(self) -> str:
@@ -39,6 +48,17 @@ class Classifier:
     def name(self) -> str:
         return type(self).__name__
 
+    @classmethod
+    def of(cls, settings: dict[str, Any], defaults: dict[str, Any] | None = None) -> Classifier:
+        """The classifier of a dictionary of settings. A setting that isn't supported is an error that names it, unless it has the value in
+        ``defaults`` or can't change the model."""
+        known = {f.name for f in fields(cls)}
+        given = {k: tuple(v.items()) if isinstance(v, dict) else v for k, v in settings.items()}
+        odd = [k for k, v in given.items() if k not in known | NEUTRAL and (defaults or {}).get(k) != v]
+        if odd:
+            raise ValueError(f"{cls.__name__} has no {', '.join(odd)}")
+        return cls(**{k: v for k, v in given.items() if k in known})
+
     def estimator(self, rows: int, classes: int, width: int) -> Estimator:
         raise NotImplementedError
 
@@ -53,6 +73,7 @@ class Logistic(Classifier):
     max_iter: int = 100
     tol: float = 1e-4
     fit_intercept: bool = True
+    class_weight: str | tuple | None = None
 
     def estimator(self, rows: int, classes: int, width: int) -> Estimator:
         mix = {"l2": 0.0, "l1": 1.0, "elasticnet": self.l1_ratio or 0.5, None: 0.0}[self.penalty]
@@ -61,6 +82,8 @@ class Logistic(Classifier):
 
 @dataclass(frozen=True)
 class Forest(Classifier):
+    """``max_samples``: share of the rows a tree is grown on. Trees are at most 30 deep, 10 without ``max_depth``."""
+
     n_estimators: int = 100
     max_depth: int | None = None
     criterion: str = "gini"
@@ -68,14 +91,23 @@ class Forest(Classifier):
     max_features: str = "sqrt"
     bootstrap: bool = True
     random_state: int | None = None
+    min_weight_fraction_leaf: float | None = None
+    min_impurity_decrease: float | None = None
+    max_samples: float | None = None
+    max_bins: int | None = None
+    class_weight: str | tuple | None = None
 
     def estimator(self, rows: int, classes: int, width: int) -> Estimator:
-        return RandomForestClassifier(numTrees=self.n_estimators, maxDepth=min(self.max_depth or 10, 30), impurity=self.criterion, minInstancesPerNode=self.min_samples_leaf, featureSubsetStrategy=self.max_features, bootstrap=self.bootstrap, seed=self.random_state or 0)
+        return RandomForestClassifier(
+            numTrees=self.n_estimators, maxDepth=min(self.max_depth or 10, 30), impurity=self.criterion, minInstancesPerNode=self.min_samples_leaf, featureSubsetStrategy=str(self.max_features), bootstrap=self.bootstrap,
+            seed=self.random_state or 0, minWeightFractionPerNode=self.min_weight_fraction_leaf or 0.0, minInfoGain=self.min_impurity_decrease or 0.0, subsamplingRate=self.max_samples or 1.0, maxBins=self.max_bins or 32,
+        )
 
 
 @dataclass(frozen=True)
 class Boosting(Classifier):
-    """Depth-wise boosting; more than two classes go one against the rest."""
+    """Depth-wise boosting; more than two classes go one against the rest, without weights of classes. ``max_features``: share of the
+    features a split looks at."""
 
     learning_rate: float = 0.1
     max_iter: int = 100
@@ -83,9 +115,16 @@ class Boosting(Classifier):
     min_samples_leaf: int = 20
     max_bins: int = 255
     random_state: int | None = None
+    max_features: float | None = None
+    class_weight: str | tuple | None = None
 
     def estimator(self, rows: int, classes: int, width: int) -> Estimator:
-        gbt = GBTClassifier(stepSize=self.learning_rate, maxIter=self.max_iter, maxDepth=min(self.max_depth or 10, 30), minInstancesPerNode=self.min_samples_leaf, maxBins=self.max_bins, seed=self.random_state or 0)
+        gbt = GBTClassifier(
+            stepSize=self.learning_rate, maxIter=self.max_iter, maxDepth=min(self.max_depth or 10, 30), minInstancesPerNode=self.min_samples_leaf, maxBins=self.max_bins, seed=self.random_state or 0,
+            featureSubsetStrategy=str(float(self.max_features)) if self.max_features else "all",
+        )
+        if classes > 2 and self.class_weight:
+            raise ValueError("boosting of more than two classes takes no class_weight")
         return gbt if classes <= 2 else OneVsRest(classifier=gbt)
 
 
@@ -94,9 +133,10 @@ class Perceptron(Classifier):
     hidden: int = 100
     max_iter: int = 200
     random_state: int | None = None
+    tol: float = 1e-6
 
     def estimator(self, rows: int, classes: int, width: int) -> Estimator:
-        return MultilayerPerceptronClassifier(layers=[width, self.hidden, max(classes, 2)], maxIter=self.max_iter, seed=self.random_state or 0)
+        return MultilayerPerceptronClassifier(layers=[width, self.hidden, max(classes, 2)], maxIter=self.max_iter, tol=self.tol, seed=self.random_state or 0)
 
 
 def feature_vector(train: DataFrame, s: FeatureSet) -> tuple[Column, int]:
@@ -147,8 +187,19 @@ def fit_and_score(rows: DataFrame, s: FeatureSet, c: Classifier, target: str, ke
     train = rows.where("role = 'train'")
     vector, width = feature_vector(train, s)
     seen = train.agg(F.count("*").alias("n"), F.max(target).alias("m")).first()
+    classes = int(seen["m"] or 0) + 1
+    estimator = c.estimator(seen["n"], classes, width)
     ready = train.select(vector.alias("features"), F.col(target).cast("double").alias("label"))
-    model = Pipeline(stages=[c.estimator(seen["n"], int(seen["m"] or 0) + 1, width)]).fit(ready)
+    weights = getattr(c, "class_weight", None)
+    if weights:
+        if weights == "balanced":
+            count = {r["label"]: r["count"] for r in ready.groupBy("label").count().collect()}  # a row a class
+            weights = [(k, seen["n"] / (len(count) * n)) for k, n in count.items()]
+        of = F.lit(1.0)
+        for k, w in weights:
+            of = F.when(F.col("label") == float(k), float(w)).otherwise(of)
+        ready, estimator = ready.withColumn("weight", of), estimator.setWeightCol("weight")
+    model = Pipeline(stages=[estimator]).fit(ready)
     return model.transform(rows.select(key, "role", F.col(target).alias("target"), vector.alias("features"))).select(key, "role", "target", F.col("prediction").cast("long").alias("prediction"))
 
 
@@ -229,27 +280,37 @@ def _nearest(test: pa.Table, train: pa.Table, k: int, apart: bool) -> pa.Table:
 TASK = ["feature_set_name", "classifier_name", "classifier_id", "r_outer", "k_outer", "r_inner", "k_inner"]
 
 
-def train_nested_cv(df: DataFrame, inputs: InputConfig, classifiers: list[Classifier], cv: NestedCV, key: str = "cv_index", threads: int = 4) -> tuple[DataFrame, DataFrame]:
+def train_nested_cv(df: DataFrame, inputs: InputConfig, classifiers: list[Classifier], cv: NestedCV, key: str = "cv_index", threads: int = 4, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(predictions, metrics). Predictions: a row per task, role and key. Metrics: a row per task with accuracy and MCC of
-    each role and the hyper-parameters as a map."""
+    each role and the hyper-parameters as a map.
+
+    Each task's predictions are a table of their own in ``folder`` (a new one in the shared folder by default). A run on the same data
+    with the same ``folder`` skips the tasks that it finds there whole."""
     for s in inputs.feature_sets:
         s.check(df)
     folds = nested_folds(df, cv, key).persist()
     fold = ["r_outer", "k_outer", "r_inner", "k_inner"]
     tasks = [(s, c, r) for r in folds.select(*fold).distinct().orderBy(*fold).collect() for s in inputs.feature_sets for c in classifiers]
 
-    def run(task: tuple) -> DataFrame:
+    spark = df.sparkSession
+    folder = (folder or f"{shared_folder(spark)}/tasks-{uuid.uuid4().hex}").rstrip("/")
+
+    def run(task: tuple) -> str:
         s, c, r = task
+        named = {"feature_set_name": s.name, "classifier_name": c.name, "classifier_id": c.id, **r.asDict()}
+        path = f"{folder}/{hashlib.sha256(json.dumps(named, sort_keys=True).encode()).hexdigest()[:32]}"
+        if exists(spark, f"{path}/_SUCCESS"):
+            return path
         here = reduce(lambda a, b: a & b, (F.col(x) == r[x] for x in fold))
         rows = folds.where(here).select(key, "role").join(df.select(*dict.fromkeys([key, inputs.target, *s.columns])), key)
         out = fit_and_score(rows, s, c, inputs.target, key)
-        named = {"feature_set_name": s.name, "classifier_name": c.name, "classifier_id": c.id, **r.asDict()}
         hp = F.create_map(*(F.lit(str(x)) for k, v in asdict(c).items() if v is not None for x in (k, v))) if any(v is not None for v in asdict(c).values()) else F.lit(None).cast("map<string,string>")
-        return out.select(*(F.lit(v).alias(k) for k, v in named.items()), hp.alias("hyper_parameters"), key, "role", "target", "prediction")
+        out.select(*(F.lit(v).alias(k) for k, v in named.items()), hp.alias("hyper_parameters"), key, "role", "target", "prediction").write.mode("overwrite").parquet(path)
+        return path
 
     with ThreadPoolExecutor(threads) as pool:
-        parts = list(pool.map(run, tasks))
-    predictions = materialised(reduce(DataFrame.unionByName, parts), "predictions")  # metrics don't score again
+        paths = list(pool.map(run, tasks))
+    predictions = spark.read.schema(spark.read.parquet(paths[0]).schema).parquet(*paths)
     folds.unpersist()
     scores = accuracy_and_mcc(predictions, "target", "prediction", [*TASK, "role"])
     wide = scores.groupBy(*TASK).pivot("role", ["train", "val", "test"]).agg(F.first("accuracy").alias("accuracy"), F.first("mcc").alias("mcc"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.functions import text as tx
 from loomwork.operators import features as ft
 from loomwork.operators import folds as fd
 from loomwork.operators import metrics as mt
@@ -25,6 +26,17 @@ def _scaled(kind: str):
     return query
 
 
+def quantile_scaled(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return ft.Scaler("quantile", ["o_totalprice"]).fit(rows, 100).transform(rows).withColumn("o_totalprice", F.round("o_totalprice", 6))
+
+
+def topic_distances(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix from which the hierarchy is made: 1 - cosine of each pair of topics that share a term."""
+    found = tp.topic_similarity(tx.class_tfidf(_topics(spark, d).counts, "topic"))
+    return found.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.round(1 - F.col("similarity"), 7).alias("distance"))
+
+
 def power_and_quantile(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.col("o_totalprice").alias("q"))
     out = ft.Scaler("power", ["o_totalprice"]).fit(rows).transform(rows)
@@ -99,7 +111,7 @@ def streamed_prompts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f"scaled_{k}": _scaled(k) for k in ("standard", "minmax", "maxabs", "robust", "normalizer")} | {
     f.__name__: f
     for f in (
-        power_and_quantile, category_codes, one_hot_priority, nested_cv_training, neighbour_predictions, clustered_topics, topic_info, topic_documents, topic_hierarchy, streamed_windows, streamed_prompts,
+        power_and_quantile, quantile_scaled, topic_distances, category_codes, one_hot_priority, nested_cv_training, neighbour_predictions, clustered_topics, topic_info, topic_documents, topic_hierarchy, streamed_windows, streamed_prompts,
     )
 }
 
@@ -108,6 +120,7 @@ def _scale_sql(shift: str, scale: str) -> str:
     return "SELECT l_orderkey, l_linenumber, " + ", ".join(f"round(({c} - {shift.format(c=c)}) / {scale.format(c=c)}, 6) AS {c}" for c in NUMBERS) + " FROM lineitem"
 
 
+from loomwork.plans.fold_queries import _fold, _rank  # noqa: E402
 from loomwork.plans.text_queries import _IDF, _counts, _tfidf  # noqa: E402
 
 _TOPIC_DOCS = "(SELECT *, regexp_extract(source, '([0-9]+)$', 1)::INT AS topic FROM documents)"
@@ -119,6 +132,15 @@ SQL = {
     "scaled_robust": _scale_sql("(SELECT quantile_cont({c}, 0.5) FROM lineitem)", "(SELECT quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) FROM lineitem)"),
     "scaled_normalizer": "SELECT l_orderkey, l_linenumber, " + ", ".join(f"round({c} / sqrt(l_quantity ** 2 + l_extendedprice ** 2 + l_discount ** 2), 6) AS {c}" for c in NUMBERS) + " FROM lineitem",
     "category_codes": "SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS o_orderstatus, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS o_orderpriority FROM orders",
+    "quantile_scaled": """WITH m AS (SELECT quantile_cont(o_totalprice, [i / 100 for i in range(101)]) AS q FROM orders), b AS (SELECT o_orderkey, o_totalprice AS x, q, len(list_filter(q, lambda y: y <= x)) AS n FROM orders, m)
+        SELECT o_orderkey, round(CASE WHEN n = 0 THEN 0 WHEN n >= 101 THEN 1 ELSE (n - 1 + coalesce((x - q[n]) / nullif(q[n + 1] - q[n], 0), 0)) / 100 END, 6) AS o_totalprice FROM b""",
+    "topic_distances": f"""WITH {_WORDS}, nn AS (SELECT topic, sqrt(sum(score * score)) AS n FROM scores GROUP BY topic),
+        p AS (SELECT x.topic AS a, y.topic AS b, sum(x.score * y.score) AS d FROM scores x JOIN scores y ON x.term = y.term AND x.topic < y.topic GROUP BY ALL)
+        SELECT a::BIGINT AS a, b::BIGINT AS b, round(1 - d / (na.n * nb.n), 7) AS distance FROM p JOIN nn na ON na.topic = a JOIN nn nb ON nb.topic = b""",
+    "neighbour_predictions": f"""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, {_fold(5)} AS fold FROM ({_rank("embeddings", "vec_id", repr("4"))})),
+        s AS (SELECT x.vec_id, y.label, row_number() OVER (PARTITION BY x.vec_id ORDER BY round(list_cosine_similarity(x.v, y.v), 12) DESC, y.vec_id) AS r FROM e x JOIN e y ON x.fold <> y.fold),
+        c AS (SELECT vec_id, label, count(*) AS c FROM s WHERE r <= 5 GROUP BY ALL)
+        SELECT vec_id, label AS prediction FROM c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, label) = 1""",
     "one_hot_priority": "SELECT o_orderkey, string_agg(CASE WHEN v = o_orderpriority THEN '1' ELSE '0' END, '' ORDER BY v) AS hot FROM orders, (SELECT DISTINCT o_orderpriority AS v FROM orders) GROUP BY o_orderkey",
     "topic_info": f"""WITH {_WORDS}, w AS (SELECT topic, string_agg(term, ' ' ORDER BY rank) AS words, string_agg(term, '_' ORDER BY rank) FILTER (rank <= 4) AS l FROM ranks WHERE rank <= 5 GROUP BY topic)
         SELECT s.topic::BIGINT AS topic, size, s.topic || '_' || l AS label, words FROM (SELECT topic, count(*) AS size FROM {_TOPIC_DOCS} GROUP BY topic) s LEFT JOIN w ON w.topic = s.topic""",

@@ -136,3 +136,86 @@ def test_large_dictionaries(spark, monkeypatch):
     monkeypatch.setattr(ft, "SMALL", 20)
     many = {r.value: r.code for r in ft.dictionary(df, "k").collect()}
     assert few == many and sorted(few.values()) == list(range(302)) and few["Z"] == 0 and few["é"] == 301
+
+
+def test_boosting_perceptron_and_weights(spark):
+    r = np.random.default_rng(1)
+    rows = [(i, int(i % 5 == 0), [float(i % 5 == 0) + float(r.normal(0, 0.1)), float(r.normal())], "train" if i % 4 else "test") for i in range(200)]
+    df = spark.createDataFrame(rows, "cv_index long, target int, v array<double>, role string")
+    s = ft.FeatureSet(embeddings=(ft.Embedding("v", 2),))
+    for c in (tr.Boosting(max_iter=3, min_samples_leaf=2, max_depth=2), tr.Boosting(max_iter=3, min_samples_leaf=2, class_weight="balanced"), tr.Perceptron(hidden=4, max_iter=60, random_state=1), tr.Logistic(class_weight="balanced"), tr.Forest(n_estimators=5, class_weight=((0, 1.0), (1, 4.0)), max_samples=0.8)):
+        out = tr.fit_and_score(df, s, c, "target", "cv_index").where("role = 'test'").collect()
+        assert len(out) == 50 and sum(x.target == x.prediction for x in out) >= 47, c
+    three = df.withColumn("target", F.expr("target + case when cv_index % 5 = 1 then 2 else 0 end")).withColumn("v", F.array(F.col("target").cast("double"), F.get("v", F.lit(1))))
+    out = tr.fit_and_score(three, s, tr.Boosting(max_iter=2, min_samples_leaf=1, max_depth=2), "target", "cv_index").collect()
+    assert sum(x.target == x.prediction for x in out) >= 190
+    none = tr.fit_and_score(df.withColumn("v", F.array(F.lit(0.0), F.lit(0.0))), s, tr.Logistic(class_weight=((1, 100.0),)), "target", "cv_index")
+    assert {x.prediction for x in none.collect()} == {1}
+
+
+def test_settings_by_name():
+    assert tr.Forest.of({"n_estimators": 7, "n_jobs": -1, "ccp_alpha": 0.0, "class_weight": {0: 1.0}}, {"ccp_alpha": 0.0}) == tr.Forest(n_estimators=7, class_weight=((0, 1.0),))
+    with pytest.raises(ValueError, match="ccp_alpha, monotonic_cst"):
+        tr.Forest.of({"ccp_alpha": 0.1, "monotonic_cst": {"a": 1}}, {"ccp_alpha": 0.0})
+    assert tr.Logistic().id == "C_1.0_fit_intercept_True_max_iter_100_penalty_l2_tol_0.0001"
+
+
+def test_a_run_goes_on_where_it_was_cut_off(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i, i % 2, float(i % 2)) for i in range(40)], "cv_index long, target int, x double")
+    inputs, cv = ft.InputConfig((ft.FeatureSet((ft.Numerical("x"),)),)), fd.NestedCV(inner=fd.KFold(k=3))
+    fits, true_fit = [], tr.fit_and_score
+
+    def failing(*a):
+        fits.append(1)
+        if len(fits) == 2:
+            raise RuntimeError("lost")
+        return true_fit(*a)
+
+    monkeypatch.setattr(tr, "fit_and_score", failing)
+    with pytest.raises(RuntimeError, match="lost"):
+        tr.train_nested_cv(df, inputs, [tr.Logistic(max_iter=2)], cv, threads=1, folder=f"file://{tmp_path}")
+    done = len(list(tmp_path.glob("*/_SUCCESS")))
+    assert done >= 1
+    before = len(fits)
+    predictions, metrics = tr.train_nested_cv(df, inputs, [tr.Logistic(max_iter=2)], cv, threads=1, folder=f"file://{tmp_path}")
+    assert len(fits) - before == 3 - done and metrics.count() == 3 and predictions.count() == 3 * 40
+
+
+def test_soft_topics_and_strategies(spark):
+    r = np.random.default_rng(2)
+    docs = [(i, ["apple pie", "fast car"][i % 2], [float(i % 2) * 5 + float(r.normal(0, 0.1)), float(r.normal(0, 0.1)), 0.1 * (i % 3)]) for i in range(60)]
+    df = spark.createDataFrame(docs, "id long, text string, v array<double>")
+    model, placed = tp.topics_of_vectors(df, "id", "text", "v", tp.SoftClusters(2, reduce_to=2), top_n=2)
+    rows = placed.collect()
+    assert len({(x.id % 2, x.topic) for x in rows}) == 2 and all(0.5 <= x.probability <= 1 and abs(sum(x.probabilities) - 1) < 1e-6 for x in rows)
+    assert {w for t in {x.topic for x in rows} for w, _ in model.topic(t)} == {"apple", "pie", "fast", "car"}
+    assert {x.topic for x in tp.soft_cluster(df, "v", 2, 2, least=1.1).collect()} == {-1}
+    _, hard = tp.topics_of_vectors(df, "id", "text", "v", tp.HardClusters(2, reduce_to=None))
+    assert len({(x.id % 2, x.topic) for x in hard.collect()}) == 2
+
+
+def test_readers_sinks_and_hooks(spark, tmp_path):
+    from loomwork.functions import vectors as vx
+
+    (tmp_path / "a.jsonl").write_text('{"x": 1}\n{"x": 2}\n')
+    assert sorted(x.x for x in tb.read_jsonl(spark, str(tmp_path / "a.jsonl")).collect()) == [1, 2]
+    assert tb.read_jsonl(spark, str(tmp_path / "a.jsonl"), "x string").dtypes == [("x", "string")]
+    p, m = spark.createDataFrame([(1, 0)], "cv_index long, prediction long"), spark.createDataFrame([(0.5,)], "mcc_val double")
+    for run in ("one", "two"):
+        tb.save_results(p, m, str(tmp_path / "results"), run)
+    got = spark.read.parquet(str(tmp_path / "results/metrics"))
+    assert sorted(x.run for x in got.collect()) == ["one", "two"]
+    df = spark.createDataFrame([(i, float(i)) for i in range(5)], "cv_index long, x double")
+    out = vx.map_batches(df, lambda f: f.assign(x=f.x * 2), "cv_index long, x double")
+    assert sorted(x.x for x in out.collect()) == [0.0, 2.0, 4.0, 6.0, 8.0]
+    s = ft.FeatureSet((ft.Numerical("x"),))
+    assert ft.needed_columns(df.withColumn("target", F.lit(1)).withColumn("g", F.lit(1)).withColumn("z", F.lit(1)), ft.InputConfig((s,)), ("g",)).columns == ["cv_index", "target", "x", "g"]
+    words = spark.createDataFrame([("t", [1.0, 0.0], w, v) for w, v in (("a", [1.0, 0.0]), ("b", [0.99, 0.1]), ("c", [0.5, 0.8]))], "k string, t array<double>, w string, v array<double>")
+    assert [x.w for x in vx.mmr(words, "k", "t", "w", "v", diversity=0.7, n=2).orderBy("rank").collect()] == ["a", "c"]
+
+
+def test_typed_chat_results_fail_fast(spark, tmp_path):
+    (tmp_path / "bad.jsonl").write_text('[{"messages": []}, {"choices": "none"}]\n')
+    assert tb.read_chat_results(spark, str(tmp_path / "bad.jsonl")).first().choice is None
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        tb.read_chat_results(spark, str(tmp_path / "bad.jsonl"), typed=True).collect()
