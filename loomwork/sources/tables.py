@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -58,10 +59,27 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _LOCAL[0].name
 
 
+_WRITTEN: list[str] = []
+
+
+def _delete_written() -> None:
+    from pyarrow import fs
+
+    for path in _WRITTEN:
+        try:
+            where, name = fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+            where.delete_dir(name)
+        except (OSError, ValueError):  # gone already, or on a file system that only Spark reaches
+            pass
+
+
 def materialised(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again."""
+    """``df`` written to the shared folder and read again; deleted when this Python process ends."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _WRITTEN:
+        atexit.register(_delete_written)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
