@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm._store import direct, drop, new_path, opened, put, small_batches, written
+from loomwork.llm._store import direct, drop, later, new_path, opened, put, small_batches, written
 from loomwork.llm._words import SPACED, Words, column, mix
 
 _U = np.uint64
@@ -342,6 +342,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = 3, id: str = "doc_i
     tokens, words = known[0] or 0, known[1] or 0
     runs = sums.where("block is not null").select("block", "n", "bucket", "totals").repartition(tasks, "block").sortWithinPartitions("block", "n", "bucket")
     schema = f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out, _ = written(runs.mapInArrow(lambda it: _score(it, folder, order, tokens, words, prior), schema), "scores")
+    out, path = written(runs.mapInArrow(lambda it: _score(it, folder, order, tokens, words, prior), schema), "scores")
+    later(path)
     drop(spark, folder, sums_path)
     return out.select(F.col("id").alias(id), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

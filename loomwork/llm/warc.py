@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.llm._store import direct, new_path, opened, small_batches, written
+from loomwork.llm._store import direct, later, new_path, opened, small_batches, written
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -207,7 +207,8 @@ def plan_records(pages: DataFrame, id: str = "page_id", url: str = "url", payloa
     """
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     base = pages.select(F.col(id).cast("long").alias("id"), F.col(url).alias("url"), body.alias("payload")).withColumn("digest", F.unhex(F.sha1("payload")))
-    narrow, _ = written(base.where(F.octet_length("payload") >= least).groupBy("id", "digest").agg(F.count("*").alias("n")), "digests")
+    narrow, path = written(base.where(F.octet_length("payload") >= least).groupBy("id", "digest").agg(F.count("*").alias("n")), "digests")
+    later(path)
     lead = narrow.groupBy("digest").agg(F.max("id").alias("refers_to"), F.sum("n").alias("n")).where("n > 1 and refers_to is not null").select("digest", "refers_to")
     revisits = narrow.join(lead, "digest").where("not id <=> refers_to").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "refers_to")
     joined = base.join(revisits.hint("shuffle_hash"), base["id"].eqNullSafe(revisits["_id"]) & (base["digest"] == revisits["_digest"]), "left")
@@ -242,7 +243,9 @@ def write_packages(planned: DataFrame, folder: str, package_bytes: int = 16 << 2
         if held:
             yield flush()
 
-    return written(planned.mapInArrow(run, "path string, size long, records long"), "manifest")[0]
+    manifest, path = written(planned.mapInArrow(run, "path string, size long, records long"), "manifest")
+    later(path)
+    return manifest
 
 
 def read_packages(manifest: DataFrame, with_payload: bool = True, split_bytes: int = 4 << 20) -> DataFrame:
@@ -306,8 +309,12 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 
 
 def archive(pages: DataFrame, folder: str | None = None, with_payload: bool = False) -> DataFrame:
-    """Writes ``pages`` (page_id, url, html) to packages and reads them back. The packages stay in ``folder``."""
+    """Writes ``pages`` (page_id, url, html) to packages and reads them back. The packages stay in ``folder``; without one
+    they are deleted when the process ends."""
     direct(pages.sparkSession)
+    if folder is None:
+        folder = new_path(pages.sparkSession, "warc")
+        later(folder)
     small_batches(pages.sparkSession)
     planned = plan_records(pages)
-    return read_packages(write_packages(planned, folder or new_path(pages.sparkSession, "warc")), with_payload)
+    return read_packages(write_packages(planned, folder), with_payload)
