@@ -52,3 +52,18 @@ def union_all(*frames: DataFrame) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+def side_by_side(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
+    """The columns of both, row i of ``left`` beside row i of ``right`` in the orders given; the shorter one ends in nulls."""
+    from loomwork.operators.folds import with_row_index
+
+    i = free_name(left, free_name(right, "_i"))
+    return with_row_index(left, left_order, i).join(with_row_index(right, right_order, i), i, "full").drop(i)
+
+
+def gathered(df: DataFrame, places: DataFrame, place: str, order: list[str]) -> DataFrame:
+    """``places`` with the row of ``df`` at each 0-based ``place`` in the order given; nulls where there is none. Repeated places repeat rows."""
+    from loomwork.operators.folds import with_row_index
+
+    return places.join(with_row_index(df, order, place), place, "left")

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.plans import fold_queries, measure_queries, model_queries, service_queries, text_queries
+from loomwork.plans import fold_queries, measure_queries, model_queries, service_queries, table_queries, text_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for part in (text_queries, fold_queries, measure_queries, service_queries, model_queries):
+for part in (text_queries, fold_queries, measure_queries, service_queries, model_queries, table_queries):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
 FLAGSHIP = "class_tfidf_top_terms"

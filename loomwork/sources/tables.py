@@ -73,13 +73,17 @@ def _delete_written() -> None:
             pass
 
 
+def delete_at_exit(path: str) -> None:
+    if not _WRITTEN:
+        atexit.register(_delete_written)
+    _WRITTEN.append(path)
+
+
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again; deleted when this Python process ends."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not _WRITTEN:
-        atexit.register(_delete_written)
-    _WRITTEN.append(path)
+    delete_at_exit(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
