@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Texts are long, so Arrow batches smaller than Spark's default of 10,000 rows bound a worker's memory.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 _ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -42,6 +42,28 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
+def lean(run):
+    """``run`` for ``mapInArrow``; when a partition is done, the worker, which lives on, gives its freed memory back."""
+
+    def through(batches):
+        yield from run(batches)
+        give_back()
+
+    return through
+
+
+def give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 #: Schemes that Arrow's file systems read and write. Files that aren't Parquet go through them.
 DIRECT = {"file", "hdfs", "viewfs", "s3", "gs", "gcs", "abfs", "abfss"}
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.llm._columns import others
-from loomwork.llm._store import drop, small_batches, written
+from loomwork.llm._store import drop, lean, small_batches, written
 from loomwork.llm._words import ALNUM, Words, chunks, mix
 
 _U = np.uint64
@@ -36,10 +36,10 @@ class ToxicityConfig:
 
     bits: int = 22
     max_train_rows: int = 20_000
-    epochs: int = 2
-    alpha: float = 1.0
+    epochs: int = 3
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 3.0
+    l1: float = 5.0
     l2: float = 1.0
     threshold: float = 0.7
 
@@ -123,10 +123,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = To
         .agg(F.min("text").alias("text"), F.first("order").alias("order"), F.first("label").alias("label"))
         .select("order", F.col("label").cast("double").alias("label"), "text")
     )
-    sets = texts.mapInArrow(lambda it: _sets(it, c.bits), "order long, label double, features array<int>")
+    sets = texts.mapInArrow(lean(lambda it: _sets(it, c.bits)), "order long, label double, features array<int>")
     sets, path = written(sets, "features")
     runs = sets.select(F.explode(F.sequence(F.lit(1), F.lit(c.epochs))).alias("epoch"), "order", "label", "features").repartition(1).sortWithinPartitions("epoch", "order", "label")
-    found = runs.mapInArrow(lambda it: _fit(it, c), "index long, weight double").toPandas()  # at most 2**bits rows
+    found = runs.mapInArrow(lean(lambda it: _fit(it, c)), "index long, weight double").toPandas()  # at most 2**bits rows
     drop(docs.sparkSession, path)
     w = np.zeros((1 << c.bits) + 1, np.float32)
     w[found["index"].to_numpy()] = found["weight"].to_numpy()
@@ -146,7 +146,7 @@ def score_toxicity(df: DataFrame, weights: np.ndarray, config: ToxicityConfig =
             scores = of(batch)
             yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], schema.names)
 
-    return df.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*kept, text])).mapInArrow(lean(run), schema)
 
 
 def reject_toxic(df: DataFrame, weights: np.ndarray, config: ToxicityConfig = ToxicityConfig(), text: str = "text") -> DataFrame:
@@ -157,7 +157,7 @@ def reject_toxic(df: DataFrame, weights: np.ndarray, config: ToxicityConfig = To
         for batch in batches:
             yield batch.filter(pa.array(of(batch) < threshold))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
 
 
 def _scorer(df: DataFrame, weights: np.ndarray, config: ToxicityConfig, text: str):
