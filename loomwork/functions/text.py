@@ -79,7 +79,7 @@ def seed_factors(words: DataFrame, topics: DataFrame, multiplier: float = 2.0) -
 
 
 def top_terms(scores: DataFrame, by: str, n: int = 10) -> DataFrame:
-    """The ``n`` best terms of each class with ``rank``; ties by term."""
+    """The ``n`` best terms of each class with ``rank``; ties by term. A class with fewer terms has fewer rows: there are no padding rows."""
     best = Window.partitionBy(by).orderBy(F.round("score", 12).desc(), "term")
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 

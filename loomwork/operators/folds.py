@@ -286,6 +286,17 @@ def train_test_val(df: DataFrame, folds: DataFrame, key: str = "cv_index") -> Da
     return folds.join(df, key)
 
 
+def fold_frames(df: DataFrame, folds: DataFrame, key: str = "cv_index", **fold: int) -> dict[str, DataFrame]:
+    """The rows of each role of one fold, such as ``fold_number=2`` or ``k_outer=0, k_inner=1``; ValueError if there is no such fold."""
+    here = folds
+    for name, value in fold.items():
+        here = here.where(F.col(name) == value)
+    roles = sorted(r.role for r in here.select("role").distinct().collect())  # three at most
+    if not roles:
+        raise ValueError(f"no fold {fold}")
+    return {role: df.join(here.where(F.col("role") == role).select(key), key) for role in roles}
+
+
 def with_row_index(df: DataFrame, order: list[str], name: str = "cv_index") -> DataFrame:
     """A dense 0-based index in the order of ``order`` (which should be unique), without one-task sorting: range
     partitions are sorted and written once, their sizes give the offsets."""

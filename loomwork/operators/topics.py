@@ -12,6 +12,7 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwork.functions import text as tx
 from loomwork.functions import vectors as vx
@@ -86,6 +87,7 @@ class TopicModel:
     counts: DataFrame
 
     def topic(self, t: int) -> list[tuple[str, float]]:
+        """The terms and scores of a topic, best first; none for a topic that isn't there."""
         return [(r.term, r.score) for r in self.terms.where(F.col("topic") == t).orderBy("rank").collect()]
 
 
@@ -94,6 +96,11 @@ Representation = Callable[[DataFrame], DataFrame]
 
 def fit_topics(df: DataFrame, id: str, text: str, topic: str = "topic", top_n: int = 10, fraction: float = 0.6, representations: tuple[Representation, ...] = ()) -> TopicModel:
     """The model of labelled documents. ``representations`` change the relation of terms in turn."""
+    for name in (id, text, topic):
+        if name not in df.columns:
+            raise ValueError(f"no column {name}")
+    if not isinstance(df.schema[text].dataType, T.StringType):
+        raise ValueError(f"{text} is {df.schema[text].dataType.simpleString()}, not text")
     docs = df.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(topic).alias("topic"))
     counts = tx.term_counts(docs, "topic", "text")
     scores = tx.class_tfidf(counts, "topic")

@@ -219,3 +219,10 @@ def test_typed_chat_results_fail_fast(spark, tmp_path):
     assert tb.read_chat_results(spark, str(tmp_path / "bad.jsonl")).first().choice is None
     with pytest.raises(Exception, match="(?i)malformed|parse"):
         tb.read_chat_results(spark, str(tmp_path / "bad.jsonl"), typed=True).collect()
+
+
+def test_documents_are_checked(spark):
+    df = spark.createDataFrame([(1, 2, 0)], "id long, text long, topic int")
+    for text, match in (("text", "not text"), ("other", "no column")):
+        with pytest.raises(ValueError, match=match):
+            tp.fit_topics(df, "id", text)

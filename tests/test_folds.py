@@ -121,3 +121,12 @@ def test_nested_labels_joined_and_precomputed(rows):
     assert fd.nested_labels(joined, None).columns == wide.columns and fd.nested_labels(joined, None, return_joined=True).columns == joined.columns
     with pytest.raises(ValueError):
         fd.nested_labels(rows.drop("fold_0"), None)
+
+
+def test_frames_of_a_fold(rows):
+    folds = fd.cv_folds(rows, fd.KFold(k=4, seed=1))
+    frames = fd.fold_frames(rows, folds, fold_number=2)
+    assert set(frames) == {"train", "test"} and frames["train"].count() + frames["test"].count() == rows.count()
+    assert frames["test"].columns[0] == "cv_index" and frames["test"].join(frames["train"], "cv_index").count() == 0
+    with pytest.raises(ValueError, match="no fold"):
+        fd.fold_frames(rows, folds, fold_number=9)

@@ -245,3 +245,14 @@ def test_tiktoken_counts(spark, tmp_path):
     count = sv.tiktoken_counter(str(tmp_path / "ranks"), r"\S+|\s+")
     df = spark.createDataFrame([("the thing",), (None,), ("",)], "t string")
     assert [r[0] for r in df.select(count(F.col("t"))).collect()] == [6, None, 0]
+
+
+def test_command_line(spark, server, tmp_path):
+    from loomwork import cli
+
+    lines = [{"model": "m", "input": "abc", "metadata": {"row": 1}}, {"model": "m", "input": "abc", "metadata": {"row": 2}}, {"model": "m", "input": "error x"}]
+    (tmp_path / "in.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n\n")
+    counts = cli.main([str(tmp_path / "in.jsonl"), str(tmp_path / "out"), "--url", f"{server[0]}/v1/embeddings", "--attempts", "2", "--requests-per-minute", "100000", "--partitions", "2"], spark)
+    assert (counts["started"], counts["succeeded"], counts["failed"], counts["api_errors"]) == (2, 1, 1, 2)
+    got = sorted((json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()), key=str)
+    assert [x[2] for x in got if len(x) == 3] == [{"row": 1}, {"row": 2}] and len(got) == 3
