@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.llm._columns import others
-from loomwork.llm._store import direct, later, new_path, opened, put, small_batches
+from loomwork.llm._store import direct, later, lean, new_path, opened, put, small_batches
 from loomwork.llm._words import ALNUM, Words, chunks, mix
 
 ADDED = ("n_words", "n_hit", "items", "longest_words", "longest_at", "longest_item")
@@ -366,7 +366,7 @@ def _sides(benchmark: DataFrame, window: int, max_broadcast: int) -> list:
 
     parts = tests.withColumn("slice", F.pmod(F.xxhash64("id", "text"), F.lit(n))).repartition(n, "slice").sortWithinPartitions("slice")
     later(folder)
-    return [r.path for r in parts.mapInArrow(build, "path string").collect()]  # a path a slice
+    return [r.path for r in parts.mapInArrow(lean(build), "path string").collect()]  # a path a slice
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str] | None = None, max_broadcast: int = 4_000_000, text: str = "text") -> DataFrame:
@@ -382,11 +382,11 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep:
     schema = T.StructType([source.schema[c] for c in kept])
     for name, kind in zip(ADDED, (T.LongType(), T.LongType(), T.ArrayType(T.StringType()), T.LongType(), T.LongType(), T.StringType())):
         schema = schema.add(name, kind)
-    return source.mapInArrow(lambda it: _run(it, sides, kept, text, True), schema)
+    return source.mapInArrow(lean(lambda it: _run(it, sides, kept, text, True)), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_broadcast: int = 4_000_000, text: str = "text") -> DataFrame:
     """The documents in which no window of an item occurs, with their own columns as they are."""
     small_batches(docs.sparkSession)
     sides = _sides(benchmark, window, max_broadcast)
-    return docs.mapInArrow(lambda it: _run(it, sides, [], text, False), docs.schema)
+    return docs.mapInArrow(lean(lambda it: _run(it, sides, [], text, False)), docs.schema)

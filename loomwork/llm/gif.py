@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from loomwork.llm._columns import others
-from loomwork.llm._store import small_batches
+from loomwork.llm._store import lean, small_batches
 
 ROW = 192
 MAX_ROWS = 512
@@ -304,7 +304,7 @@ def frames_table(df: DataFrame, media: str = "media", bins: int = BINS, with_pix
                 yield pa.record_batch([*(part.column(c) for c in kept), *(pa.array([x[k] for x in found], t) for k, t in enumerate(kinds))], schema.names)
 
     small_batches(df.sparkSession)
-    return df.select(*kept, media).mapInArrow(run, schema)
+    return df.select(*kept, media).mapInArrow(lean(run), schema)
 
 
 MEDIA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -341,4 +341,4 @@ def payload_media(df: DataFrame, text: str = "text", keep: list[str] | None = No
             yield pa.record_batch([*(batch.column(c) for c in kept), *(pa.array([x[k] for x in found], kinds[k]) for k in range(len(added)))], schema.names)
 
     small_batches(df.sparkSession)
-    return df.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*kept, text])).mapInArrow(lean(run), schema)

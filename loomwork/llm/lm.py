@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm._store import direct, drop, later, new_path, opened, put, small_batches, written
+from loomwork.llm._store import direct, drop, later, lean, new_path, opened, put, small_batches, written
 from loomwork.llm._words import SPACED, Words, column, mix
 
 _U = np.uint64
@@ -335,14 +335,14 @@ def score_texts(docs: DataFrame, train: Column, order: int = 3, id: str = "doc_i
     buckets = -(-size // bucket_bytes) or 1
     folder = new_path(spark, "blocks")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))  # these numbers are kept by adaptive execution
-    sent = rows.mapInArrow(lambda it: _send(it, folder, order, buckets, block_bytes), "block string, n int, bucket int, keys binary, counts binary")
-    sums = sent.repartition(tasks, "n", "bucket").sortWithinPartitions("n", "bucket").mapInArrow(_add, "block string, n int, bucket int, totals binary, tokens long, words long")
+    sent = rows.mapInArrow(lean(lambda it: _send(it, folder, order, buckets, block_bytes)), "block string, n int, bucket int, keys binary, counts binary")
+    sums = sent.repartition(tasks, "n", "bucket").sortWithinPartitions("n", "bucket").mapInArrow(lean(_add), "block string, n int, bucket int, totals binary, tokens long, words long")
     sums, sums_path = written(sums, "totals")
     known = sums.where("block is null").agg(F.sum("tokens"), F.sum("words")).first()
     tokens, words = known[0] or 0, known[1] or 0
     runs = sums.where("block is not null").select("block", "n", "bucket", "totals").repartition(tasks, "block").sortWithinPartitions("block", "n", "bucket")
     schema = f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out, path = written(runs.mapInArrow(lambda it: _score(it, folder, order, tokens, words, prior), schema), "scores")
+    out, path = written(runs.mapInArrow(lean(lambda it: _score(it, folder, order, tokens, words, prior)), schema), "scores")
     later(path)
     drop(spark, folder, sums_path)
     return out.select(F.col("id").alias(id), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

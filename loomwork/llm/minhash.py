@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm._columns import free
-from loomwork.llm._store import drop, later, small_batches, written
+from loomwork.llm._store import drop, later, lean, small_batches, written
 from loomwork.llm._words import SPACED, Words, chunks, mix
 from loomwork.llm.urlfilter import _passes, build_filter
 
@@ -163,7 +163,7 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perce
     rows = docs.where(passes(F.xxhash64("row")))
     full = rows.join(asked.hint("shuffle_hash"), (rows["row"] == asked["_row"]) & rows["id"].eqNullSafe(asked["_id"])).select("a", "g", "member", F.col("node").alias("b"), "text")
     runs = full.repartition("a", "g").sortWithinPartitions("a", "g", "member", "b")
-    links = runs.mapInArrow(lambda it: _exact(it, k, percent), "a binary, b binary").distinct()
+    links = runs.mapInArrow(lean(lambda it: _exact(it, k, percent)), "a binary, b binary").distinct()
     out = written(links, "links")
     drop(spark, near_path, asked_path)
     return out
@@ -251,7 +251,7 @@ def _groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema["id"].dataType.simpleString()
-    meta, meta_path = written(docs.mapInArrow(lambda it: _describe(it, shingle), f"id {kind}, row long, n long, node binary, sketch binary"), "meta")
+    meta, meta_path = written(docs.mapInArrow(lean(lambda it: _describe(it, shingle)), f"id {kind}, row long, n long, node binary, sketch binary"), "meta")
     classes, classes_path = written(
         meta.where("node is not null").groupBy("node").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row"))).alias("known"), F.min(F.struct("id", "row")).alias("any"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         .select("node", F.coalesce("known", "any").alias("rep"), "n", "sketch"),
@@ -278,7 +278,7 @@ def _groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             .withColumn("group", F.xxhash64("bucket", "i", "j"))
         )
         runs = blocks.repartition("group").sortWithinPartitions("group", "node").select("group", "i", "j", "own", "node", "label", "n", "sketch", "bucket")
-        seen, seen_path = written(runs.mapInArrow(lambda it, q=quota: _across(it, percent, q), "x binary, y binary, same int, bucket binary"), "seen")
+        seen, seen_path = written(runs.mapInArrow(lean(lambda it, q=quota: _across(it, percent, q)), "x binary, y binary, same int, bucket binary"), "seen")
         paths.append(seen_path)
         best = Window.partitionBy("x").orderBy(F.desc("same"), "y")
         top = seen.where("x is not null").groupBy("x", "y").agg(F.max("same").alias("same")).withColumn("r", F.row_number().over(best)).withColumn("more", F.max("r").over(Window.partitionBy("x")) > quota)

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loomwork.llm._store import small_batches
+from loomwork.llm._columns import others
+from loomwork.llm._store import lean, small_batches
 from loomwork.llm._words import Words, chunks, mix
 
 MARK = "▁"
@@ -369,7 +370,7 @@ def encode_pieces(df: DataFrame, path: str, text: str = "text", keep: list[str]
     """The columns ``keep`` (all but ``text`` by default) with ids array<int>, n_pieces and round_trip (decoding gives the text back)."""
     added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("round_trip", T.BooleanType())]
     names = [f.name for f in added]
-    kept = [c for c in (keep if keep is not None else [c for c in df.columns if c != text]) if c not in names]
+    kept = others(keep if keep is not None else [c for c in df.columns if c != text], *names)
     small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(load_model(path))
     made: list[Batch] = []
@@ -378,7 +379,7 @@ def encode_pieces(df: DataFrame, path: str, text: str = "text", keep: list[str]
         if not made:
             made.append(Batch(Encoder(sent.value)))
         for batch in batches:
-            for a, b, data, off in chunks(batch, text, 4_000_000):
+            for a, b, data, off in chunks(batch, text, 2_000_000):
                 ids, count = made[0].encode(data, off)
                 part = batch.slice(a, b - a)
                 back, ends = decode_ids(ids, count, sent.value.text_of)
@@ -394,7 +395,7 @@ def encode_pieces(df: DataFrame, path: str, text: str = "text", keep: list[str]
                     yield pa.record_batch([*(part.column(k).slice(c, n) for k in kept), lists.slice(c, n), pa.array(count[cut]), pa.array(same[cut])], [*kept, *names])
 
     schema = T.StructType([*(df.schema[c] for c in kept), *added])
-    return df.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*kept, text])).mapInArrow(lean(run), schema)
 
 
 def decode_pieces(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -416,4 +417,4 @@ def decode_pieces(df: DataFrame, path: str, ids: str = "ids", out: str = "text")
                 texts.append(raw.decode("utf-8", "replace"))
             yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, out])
 
-    return df.select(*kept).mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), T.StructField(out, T.StringType())]))
+    return df.select(*kept).mapInArrow(lean(run), T.StructType([*(df.schema[c] for c in kept), T.StructField(out, T.StringType())]))

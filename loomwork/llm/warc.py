@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.llm._store import direct, later, new_path, opened, small_batches, written
+from loomwork.llm._store import direct, later, lean, new_path, opened, small_batches, written
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -243,7 +243,7 @@ def write_packages(planned: DataFrame, folder: str, package_bytes: int = 16 << 2
         if held:
             yield flush()
 
-    manifest, path = written(planned.mapInArrow(run, "path string, size long, records long"), "manifest")
+    manifest, path = written(planned.mapInArrow(lean(run), "path string, size long, records long"), "manifest")
     later(path)
     return manifest
 
@@ -299,8 +299,8 @@ def read_packages(manifest: DataFrame, with_payload: bool = True, split_bytes: i
     tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if "size" in manifest.columns:
         tasks = max(1, -(-(manifest.agg(F.sum("size")).first()[0] or 0) // split_bytes))
-    cut = manifest.select("path").mapInArrow(ranges, "path string, offset long, lengths array<long>, error string")
-    return cut.repartition(tasks, "path", "offset").mapInArrow(records, schema)  # adaptive execution keeps an explicit number
+    cut = manifest.select("path").mapInArrow(lean(ranges), "path string, offset long, lengths array<long>, error string")
+    return cut.repartition(tasks, "path", "offset").mapInArrow(lean(records), schema)  # adaptive execution keeps an explicit number
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
