@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only in local mode without that setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
-        return folder.rstrip("/")
+        return _qualified(spark, folder.rstrip("/"))
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _FALLBACK:
@@ -28,6 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK["dir"]
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """A folder with its scheme, as ``scheme://``: one without is on Hadoop's default file system, for Arrow too."""
+    head, colon, rest = folder.partition(":/")
+    if not colon or "/" in head:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        folder = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+        head, _, rest = folder.partition(":/")
+    return folder if rest.startswith("/") else f"{head}:///{rest}"
+
+
 #: Texts are long, so Arrow batches smaller than Spark's default of 10,000 rows bound a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 _ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
