@@ -146,10 +146,10 @@ def url_list(pages: DataFrame) -> DataFrame:
     MD5 starts with 00, and as many URLs that no page has."""
     host, path = urlfilter.host_and_path(F.col("url"))
     canon = pages.select(urlfilter.canonical(host, path).alias("c")).where("c is not null and c != ''")
-    whole = canon.select(F.split_part("c", F.lit("/"), F.lit(1)).alias("c")).where("c != '' and startswith(md5(c), '00')")
-    paths = canon.where("contains(c, '/')")
-    absent = paths.where("startswith(md5(c), '1')").select(F.concat("c", F.lit("?")).alias("c"))
-    return paths.where("startswith(md5(c), '0')").union(whole).union(absent).select(F.col("c").alias("url"))
+    entries = """array(case when contains(c, '/') and startswith(md5(c), '0') then c end,
+        case when contains(c, '/') and startswith(md5(c), '1') then concat(c, '?') end,
+        case when split_part(c, '/', 1) != '' and startswith(md5(split_part(c, '/', 1)), '00') then split_part(c, '/', 1) end)"""
+    return canon.select(F.explode(F.array_compact(F.expr(entries))).alias("url"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +215,8 @@ LM_BASE_SQL = r"""
 WITH crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) AS r(i))),
 d AS (SELECT row_number() OVER () AS rid, doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
     lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 10 = 0 AS held_out,
-  list_append(coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), []), ' end') AS w FROM documents, crc),
+  list_append(coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+'), []), ' end') AS w FROM documents, crc),
 x AS (SELECT rid, doc_id, held_out, unnest(w) AS token FROM d),
 c AS (SELECT token, count(*) AS c FROM x WHERE NOT held_out GROUP BY token), n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
 SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))), 4) AS base_score

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm._columns import free, others
-from loomwork.llm._store import later, written
+from loomwork.llm._store import drop, later, lean, written
 
 ADDED = ("host", "path", "canonical", "rule", "listed", "verdict")
 BROADCAST_BYTES = 16 << 20
@@ -75,7 +75,7 @@ def build_filter(listed: DataFrame, key: str, max_bytes: int = 32 << 20) -> np.n
             block, mask = _bits(batch.column(0).to_numpy(), blocks)
             yield pa.record_batch([pa.array(block), *(pa.array(mask[:, i].view(np.int64)) for i in range(8))], ["block", *(f"w{i}" for i in range(8))])
 
-    rows = listed.select(F.xxhash64(key)).mapInArrow(run, "block long, " + ", ".join(f"w{i} long" for i in range(8)))
+    rows = listed.select(F.xxhash64(key)).mapInArrow(lean(run), "block long, " + ", ".join(f"w{i} long" for i in range(8)))
     made = rows.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(8))).toPandas()  # at most max_bytes
     out = np.zeros((blocks, 8), np.uint64)
     for i in range(8):
@@ -104,7 +104,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...], listed: DataFrame, url: str
     """``pages`` with host, path, canonical, rule, listed and verdict. ``listed``: column ``url`` of canonical URLs
     (``host/path``; a bare host lists the whole host). The longest fitting rule decides, else the list: block if listed."""
     base = pages.select(*others(pages.columns, *ADDED))
-    keys = listed.select(F.col("url").alias("key")).where("key is not null and key != ''").distinct()
+    keys, keys_path = written(listed.select(F.col("url").alias("key")).where("key is not null and key != ''").distinct(), "list")
     passes = _passes(pages.sparkSession, build_filter(keys, "key", max_bytes))
 
     def parts(address: Column) -> tuple[Column, Column, Column]:
@@ -119,6 +119,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...], listed: DataFrame, url: str
     canon = pages.select(parts(F.col(url))[2].alias("c")).select("c", whole(F.col("c")).alias("w"))
     asked = canon.select(F.explode(F.array(through(F.col("c")), F.when(F.col("c") != F.col("w"), through(F.col("w"))))).alias("key"))
     found, path = written(confirmed(asked, keys), "listed")
+    drop(pages.sparkSession, keys_path)
     later(path)
 
     k0, k1, ruled = free(base, "_canonical_key", "_host_key", "_ruled")
