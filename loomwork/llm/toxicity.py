@@ -125,7 +125,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = To
     )
     sets = texts.mapInArrow(lean(lambda it: _sets(it, c.bits)), "order long, label double, features array<int>")
     sets, path = written(sets, "features")
-    runs = sets.select(F.explode(F.sequence(F.lit(1), F.lit(c.epochs))).alias("epoch"), "order", "label", "features").repartition(1).sortWithinPartitions("epoch", "order", "label")
+    runs = sets.select(F.explode(F.sequence(F.lit(1), F.lit(c.epochs))).alias("epoch"), "order", "label", "features").coalesce(1).sortWithinPartitions("epoch", "order", "label")  # one task reads the bounded table, without a shuffle
     found = runs.mapInArrow(lean(lambda it: _fit(it, c)), "index long, weight double").toPandas()  # at most 2**bits rows
     drop(docs.sparkSession, path)
     w = np.zeros((1 << c.bits) + 1, np.float32)
