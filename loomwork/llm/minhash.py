@@ -16,10 +16,12 @@ independently.
 5. Components of the verified links: alternating large-star and small-star rounds on written tables.
 6. Members other than the star's centre that are still in different components are compared too, so that a link
    which a star can't see isn't lost. Sketches are compared in blocks of about BLOCK members, which emits no pairs but, for each
-   member, its QUOTA best matches of other components; over all blocks a member keeps QUOTA, so a round verifies at most
-   QUOTA pairs a member. Links merge components, which makes most other pairs pointless. Only buckets in which some member had
-   more matches go on, with GROWTH times the quota, until none is left out: nothing is capped. Links inside one
-   component would change nothing.
+   member, its QUOTA best matches of other components, each pair in the first band that it shares; over all blocks a member keeps
+   QUOTA, so at most QUOTA pairs a member are verified. Links merge components, which makes most other pairs pointless.
+7. Only buckets in which some member had more matches go on, with those members that had a match. There all pairs of different
+   components are compared on full sets, without a quota: nothing is capped. Members outside the bucket's largest component
+   are held in blocks of about HELD, the bucket's other members go past each block in slices of about HELD * GROWTH. So texts are moved once a
+   block, not once a pair, and only links that join components come out. Links inside one component would change nothing.
 
 A pair goes unseen only if no band agrees, at similarity 0.8 with probability (1 - 0.8**4)**32 =
 5e-8, or if its sketches agree on less than LEAST of the coordinates, at 0.8 about 1e-8.
@@ -51,6 +53,7 @@ BANDS = COORDS // ROWS
 BLOCK = 2048
 GROUP = 1024
 QUOTA = GROWTH = 16
+HELD = 512
 LEAST = 0.6
 _U = np.uint64
 _SEEDS = np.random.default_rng(8).integers(1, 2**63, 2 * COORDS, dtype=np.uint64)
@@ -157,11 +160,8 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perce
     most = near.groupBy("a").count().agg(F.max("count")).first()[0] or 0
     asked = near.withColumn("g", F.pmod(F.xxhash64("b"), F.lit(-(-most // GROUP) or 1)))
     asks = F.explode(F.array(F.struct(F.col("a").alias("node"), "a", "g", F.lit(False).alias("member")), F.struct(F.col("b").alias("node"), "a", "g", F.lit(True).alias("member"))))
-    asked = asked.select(asks.alias("x")).select("x.*").distinct().join(classes.select("node", F.col("rep.row").alias("_row"), F.col("rep.id").alias("_id")), "node")
-    asked, asked_path = written(asked, "asked")
-    passes = _passes(spark, build_filter(asked.select("_row").distinct(), "_row"))
-    rows = docs.where(passes(F.xxhash64("row")))
-    full = rows.join(asked.hint("shuffle_hash"), (rows["row"] == asked["_row"]) & rows["id"].eqNullSafe(asked["_id"])).select("a", "g", "member", F.col("node").alias("b"), "text")
+    full, asked_path = _texts(docs, classes, asked.select(asks.alias("x")).select("x.*").distinct())
+    full = full.select("a", "g", "member", F.col("node").alias("b"), "text")
     runs = full.repartition("a", "g").sortWithinPartitions("a", "g", "member", "b")
     links = runs.mapInArrow(lean(lambda it: _exact(it, k, percent)), "a binary, b binary").distinct()
     out = written(links, "links")
@@ -203,7 +203,8 @@ def connected(links: DataFrame, u: str = "a", v: str = "b") -> tuple[DataFrame,
 
 def _across(batches: Iterator[pa.RecordBatch], percent: int, quota: int) -> Iterator[pa.RecordBatch]:
     """For each member, its ``quota`` best matches (x, y, agreement) of other labels in each run of rows with one (bucket, i, j);
-    a row with null x and y if there were more."""
+    a row with null x and y if there were more. The last byte of a bucket is its band; matches that share an earlier one are left
+    to that one's bucket."""
     held: pa.Table | None = None
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
@@ -213,12 +214,16 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int, quota: int) -> Iter
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), ">u2").reshape(-1, COORDS)
         parts = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        band = t.column("bucket")[0].as_py()[-1]
+        before = sketch[:, : band * ROWS] if band < BANDS else sketch[:, :0]
         found, more = [], False
         for left, right in [parts] if i == j else [parts, parts[::-1]]:
             for x in left.tolist():
                 y = right[(label[right] != label[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
                 same = (sketch[y] == sketch[x]).sum(axis=1)
                 y, same = y[same >= LEAST * COORDS], same[same >= LEAST * COORDS]
+                late = ~(before[y] == before[x]).reshape(len(y), before.shape[1] // ROWS, ROWS).all(axis=2).any(axis=1)
+                y, same = y[late], same[late]
                 if len(y) > quota:
                     best = np.argsort(-same, kind="stable")[:quota]
                     y, same, more = y[best], same[best], True
@@ -246,6 +251,96 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int, quota: int) -> Iter
         yield pairs(held)
 
 
+def _beside(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that join the labels of each (bucket, h, part). Rows (bucket, h, part, past, node, label, text) are sorted:
+    first the texts that are held, which are compared with each other and with all that go past."""
+    group, held, labels, nodes, root = None, [], [], [], {}
+    code, start, owner, size = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    indexed = 0
+
+    def find(x: bytes) -> bytes:
+        while x in root:
+            x = root[x]
+        return x
+
+    def index() -> None:
+        nonlocal code, start, owner, size, indexed
+        size, indexed = np.array([len(x) for x in held], np.int64), len(held)
+        flat = np.concatenate(held)
+        order = np.argsort(flat, kind="stable")
+        owner = np.repeat(np.arange(len(held)), size)[order]
+        code, first = np.unique(flat[order], return_index=True)
+        start = np.append(first, len(flat))
+
+    def same(x: np.ndarray) -> np.ndarray:
+        """The sizes of the intersections with the indexed sets."""
+        at = np.minimum(np.searchsorted(code, x), len(code) - 1)
+        at = at[code[at] == x]
+        n = start[at + 1] - start[at]
+        ends = np.cumsum(n)
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[at] - ends + n, n)
+        return np.bincount(owner[places], minlength=len(size))
+
+    def links(x: np.ndarray, node: bytes, label: bytes) -> Iterator[tuple[bytes, bytes]]:
+        both = same(x)
+        for z in np.flatnonzero(100 * both >= percent * (size + len(x) - both)).tolist():
+            u, v = find(label), find(labels[z])
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                yield min(node, nodes[z]), max(node, nodes[z])
+
+    def among() -> Iterator[tuple[bytes, bytes]]:
+        if held and indexed < len(held):
+            index()
+            for x, node, label in zip(held, nodes, labels):
+                yield from links(x, node, label)
+
+    for batch in batches:
+        found = []
+        for first, end, data, off in chunks(batch, "text"):
+            part = batch.slice(first, end - first)
+            columns = (part.column(c).to_pylist() for c in ("bucket", "h", "part", "past", "node", "label"))
+            for bucket, h, number, past, node, label, x in zip(*columns, shingle_sets(data, off, k)):
+                if group != (bucket, h, number):
+                    found += among()
+                    group, held, labels, nodes, root, indexed = (bucket, h, number), [], [], [], {}, 0
+                if not past:
+                    held.append(x)
+                    labels.append(label)
+                    nodes.append(node)
+                elif held:
+                    found += among()
+                    found += links(x, node, label)
+        yield pa.record_batch([pa.array([p[i] for p in found], pa.binary()) for i in (0, 1)], ["a", "b"])
+    found = list(among())
+    yield pa.record_batch([pa.array([p[i] for p in found], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+
+def _texts(docs: DataFrame, classes: DataFrame, asked: DataFrame) -> tuple[DataFrame, str]:
+    """The rows of ``asked``, written, with the text of the class ``node``; and their path."""
+    asked, path = written(asked.join(classes.select("node", F.col("rep.row").alias("_row"), F.col("rep.id").alias("_id")), "node"), "asked")
+    passes = _passes(docs.sparkSession, build_filter(asked.select("_row").distinct(), "_row"))
+    rows = docs.where(passes(F.xxhash64("row")))
+    return rows.join(asked.hint("shuffle_hash"), (rows["row"] == asked["_row"]) & rows["id"].eqNullSafe(asked["_id"])).drop("id", "row", "_row", "_id"), path
+
+
+def _settle(docs: DataFrame, classes: DataFrame, hot: DataFrame, labels: DataFrame, k: int, percent: int) -> tuple[DataFrame, str]:
+    """Links (a, b) that join the components of the members (bucket, node) of each bucket, written."""
+    labelled = hot.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    kinds = labelled.groupBy("bucket", "label").count()
+    largest = kinds.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("most"), F.sum("count").alias("size"), F.count("*").alias("kinds")).where("kinds > 1")
+    sizes = largest.select("bucket", F.col("most.label").alias("main"), F.expr(f"cast(ceil((size - most.count) / {HELD}) as int)").alias("blocks"), F.expr(f"cast(ceil(size / {HELD * GROWTH}) as int)").alias("parts"))
+    rows = labelled.join(sizes, "bucket").withColumn("own", F.expr("if(label = main, blocks, cast(pmod(xxhash64(node), blocks) as int))"))
+    rows = rows.withColumn("h", F.explode(F.expr("sequence(0, least(own, blocks - 1))"))).withColumn("past", F.col("h") != F.col("own"))
+    rows = rows.withColumn("part", F.explode(F.expr("if(past, array(cast(pmod(xxhash64(bucket, node), parts) as int)), sequence(0, parts - 1))")))
+    full, path = _texts(docs, classes, rows.select("bucket", "h", "part", "past", "node", "label"))
+    key = ["bucket", "h", "part"]
+    runs = full.select(*key, "past", "node", "label", "text").repartition(*key).sortWithinPartitions(*key, "past", "node")
+    out = written(runs.mapInArrow(lean(lambda it: _beside(it, k, percent)), "a binary, b binary").distinct(), "settled")
+    drop(docs.sparkSession, path)
+    return out
+
+
 def _groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Per row of ``docs`` (id, row, text): id, row, n, and lead, the struct (id, row) of its group's least row; null without words."""
     spark = docs.sparkSession
@@ -265,42 +360,41 @@ def _groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     labels, labels_path = connected(links)
 
     tested = members.select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    still, quota, paths = members.where("m > 2").select("bucket", "node"), QUOTA, []
-    while True:
-        labelled = still.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        split = labelled.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("size")).where("l0 != l1")
-        blocks = (
-            labelled.join(split.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket")
-            .withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
-            .join(classes.select("node", "n", "sketch"), "node")
-            .withColumn("group", F.xxhash64("bucket", "i", "j"))
-        )
-        runs = blocks.repartition("group").sortWithinPartitions("group", "node").select("group", "i", "j", "own", "node", "label", "n", "sketch", "bucket")
-        seen, seen_path = written(runs.mapInArrow(lean(lambda it, q=quota: _across(it, percent, q)), "x binary, y binary, same int, bucket binary"), "seen")
-        paths.append(seen_path)
-        best = Window.partitionBy("x").orderBy(F.desc("same"), "y")
-        top = seen.where("x is not null").groupBy("x", "y").agg(F.max("same").alias("same")).withColumn("r", F.row_number().over(best)).withColumn("more", F.max("r").over(Window.partitionBy("x")) > quota)
-        top, top_path = written(top, "top")
-        paths.append(top_path)
-        new = top.where(F.col("r") <= quota).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        new, new_path = written(new, "new")
-        paths.append(new_path)
-        if not new.isEmpty():
-            extra, extra_path = _verify(docs, classes, new, shingle, percent)
-            paths.append(extra_path)
-            if not extra.isEmpty():
-                links = links.union(extra)
-                drop(spark, labels_path)
-                labels, labels_path = connected(links)
-            tested = tested.union(new)
-        cut = seen.where("x is null").select("bucket").union(seen.join(top.where("more").select("x").distinct(), "x", "left_semi").select("bucket")).distinct()
-        cut, cut_path = written(cut, "cut")
-        paths.append(cut_path)
-        if cut.isEmpty():
-            break
-        still, quota = still.join(cut, "bucket", "left_semi"), quota * GROWTH
+    labelled = members.where("m > 2").select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    split = labelled.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("size")).where("l0 != l1")
+    blocks = (
+        labelled.join(split.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket")
+        .withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
+        .join(classes.select("node", "n", "sketch"), "node")
+        .withColumn("group", F.xxhash64("bucket", "i", "j"))
+    )
+    runs = blocks.repartition("group").sortWithinPartitions("group", "node").select("group", "i", "j", "own", "node", "label", "n", "sketch", "bucket")
+    seen, seen_path = written(runs.mapInArrow(lean(lambda it, q=QUOTA: _across(it, percent, q)), "x binary, y binary, same int, bucket binary"), "seen")
+    best = Window.partitionBy("x").orderBy(F.desc("same"), "y")
+    top = seen.where("x is not null").groupBy("x", "y").agg(F.max("same").alias("same")).withColumn("r", F.row_number().over(best)).withColumn("more", F.max("r").over(Window.partitionBy("x")) > QUOTA)
+    top, top_path = written(top, "top")
+    new = top.where(F.col("r") <= QUOTA).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    new, new_path = written(new, "new")
+    paths = [seen_path, top_path, new_path]
+
+    def further(extra: DataFrame, path: str) -> None:
+        nonlocal links, labels, labels_path
+        paths.append(path)
+        if not extra.isEmpty():
+            links = links.union(extra)
+            drop(spark, labels_path)
+            labels, labels_path = connected(links)
+
+    if not new.isEmpty():
+        further(*_verify(docs, classes, new, shingle, percent))
+    cut = seen.where("x is null").select("bucket").union(seen.join(top.where("more").select("x").distinct(), "x", "left_semi").select("bucket")).distinct()
+    cut, cut_path = written(cut, "cut")
+    paths.append(cut_path)
+    if not cut.isEmpty():
+        hot = seen.where("x is not null").select("bucket", F.col("x").alias("node")).distinct().join(cut, "bucket", "left_semi")
+        further(*_settle(docs, classes, hot, labels, shingle, percent))
     drop(spark, members_path, links_path, *paths)
     later(meta_path, classes_path, labels_path)
 

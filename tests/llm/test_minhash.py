@@ -148,6 +148,61 @@ def test_chains_through_small_blocks_and_quotas(spark, monkeypatch):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in found} == brute(rows, 1)
 
 
+def test_a_large_cluster_is_not_verified_pair_by_pair(spark, monkeypatch):
+    """300 like texts and 40 that share much with all of them but, at under 0.8, are linked with none: that takes no quota after quota."""
+    seen = []
+    true_verify = mh._verify
+
+    def counted(docs, classes, pairs, k, percent):
+        seen.append(pairs.count())
+        return true_verify(docs, classes, pairs, k, percent)
+
+    monkeypatch.setattr(mh, "_verify", counted)
+    monkeypatch.setattr(mh, "QUOTA", 2)
+    monkeypatch.setattr(mh, "BLOCK", 100)
+    monkeypatch.setattr(mh, "HELD", 7, raising=False)
+    r = random.Random(5)
+    rows = []
+    for i in range(340):
+        t = [f"b{k}" for k in range(100)]
+        for k in r.sample(range(100), 17 if i % 17 < 2 else r.randint(1, 4)):
+            t[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(t)))
+    found = mh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1).collect()
+    want = brute(rows, 1)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in found} == want
+    assert len({c for _, c in want.values()}) == 41 and len(seen) == 2 and seen[1] <= 2 * len(rows)
+
+
+def beside(rows):
+    names = ["bucket", "h", "part", "past", "node", "label", "text"]
+    kinds = [pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.string()]
+    return pa.record_batch([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names)
+
+
+def test_held_texts_meet_each_other_and_those_that_go_past():
+    """Across batches; one link for each pair of components, none between groups."""
+    x, y, z = (" ".join(f"{c}{k}" for k in range(20)) for c in "xyz")
+    rows = [
+        (b"k", 0, 0, False, b"a", b"a", x), (b"k", 0, 0, False, b"b", b"b", y), (b"k", 0, 0, False, b"c", b"c", x + " more"),
+        (b"k", 0, 0, True, b"d", b"m", y), (b"k", 0, 0, True, b"e", b"m", y + " more"), (b"k", 0, 0, True, b"f", b"m", z),
+        (b"k", 1, 0, False, b"g", b"g", z), (b"k", 1, 0, True, b"h", b"m", x),
+        (b"l", 0, 0, False, b"i", b"i", z), (b"l", 0, 0, False, b"j", b"j", z + " more"),
+    ]
+    for cut in (2, 3, 4, 9, 10):
+        batches = [beside(rows[:cut]), beside(rows[cut:])]
+        links = [(p["a"], p["b"]) for b in mh._beside(iter(batches), 1, 80) for p in b.to_pylist()]
+        assert links == [(b"a", b"c"), (b"b", b"d"), (b"i", b"j")]
+
+
+def test_a_pair_is_seen_in_its_first_band():
+    sets = [np.arange(100, dtype=np.uint64)] * 2
+    for bucket, n in ((b"\0", 2), (b"\1", 0)):
+        b = block([b"a", b"b"], [b"a", b"b"], sets)
+        b = b.set_column(b.schema.get_field_index("bucket"), "bucket", pa.array([bucket] * 2))
+        assert sum(x.num_rows for x in mh._across(iter([b]), 80, 8)) == n
+
+
 def test_similarities_under_the_bands_are_refused(odd):
     with pytest.raises(ValueError, match="79"):
         mh.near_duplicates(odd, percent=79)
