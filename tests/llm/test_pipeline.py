@@ -75,3 +75,23 @@ def test_stages_keep_the_values_of_all_columns(spark, folder):
         assert all(r.lang == before[r.doc_id].lang and r.source == before[r.doc_id].source for r in rows)
     last = cp.STAGES[-1][1](spark, wide, folder)
     assert last.count() == docs.count() and {f"{n}:{r.doc_id}" == r[n] for r in last.collect() for n in ("score", "_key", "spans")} == {True}
+
+
+def test_near_dedup_verifies_a_cluster_once(spark, monkeypatch):
+    """88 like texts, of which the least id stays, and 12 that are under 0.8 to all of them: no quota after quota."""
+    import random
+
+    from loomwork.llm import minhash
+
+    calls, true_verify = [], minhash._verify
+    monkeypatch.setattr(minhash, "_verify", lambda *args: calls.append(1) or true_verify(*args))
+    monkeypatch.setattr(minhash, "QUOTA", 1)
+    r, rows = random.Random(3), []
+    for i in range(100):
+        t = [f"b{k}" for k in range(200)]
+        for k in r.sample(range(1, 40), 6 if i >= 88 else 1):
+            t[5 * k] = f"x{i}_{k}"
+        rows.append((i, " ".join(t)))
+    left = cp.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(x.doc_id for x in left) == [0, *range(88, 100)]
+    assert len(calls) == 2
