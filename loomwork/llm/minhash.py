@@ -215,15 +215,15 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int, quota: int) -> Iter
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), ">u2").reshape(-1, COORDS)
         parts = np.flatnonzero(own == i), np.flatnonzero(own == j)
         band = t.column("bucket")[0].as_py()[-1]
-        before = sketch[:, : band * ROWS] if band < BANDS else sketch[:, :0]
+        before = sketch[:, : band * ROWS if band < BANDS else 0]
+        before = np.ascontiguousarray(before).view(np.uint64) if before.shape[1] and len(sketch) else np.zeros((len(sketch), 0), np.uint64)  # a band of ROWS coordinates is 8 bytes
         found, more = [], False
         for left, right in [parts] if i == j else [parts, parts[::-1]]:
             for x in left.tolist():
                 y = right[(label[right] != label[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
+                y = y[~(before[y] == before[x]).any(axis=1)]
                 same = (sketch[y] == sketch[x]).sum(axis=1)
                 y, same = y[same >= LEAST * COORDS], same[same >= LEAST * COORDS]
-                late = ~(before[y] == before[x]).reshape(len(y), before.shape[1] // ROWS, ROWS).all(axis=2).any(axis=1)
-                y, same = y[late], same[late]
                 if len(y) > quota:
                     best = np.argsort(-same, kind="stable")[:quota]
                     y, same, more = y[best], same[best], True

@@ -9,13 +9,15 @@ whether two pieces may stand side by side is decided by undoing their merges in
 marks merge last and among themselves, so they are looked up by length. Characters without a piece
 become bytes.
 
-One Arrow pass, no shuffle; memory for one batch. Models with identity normalisation, a dummy
+One Arrow pass, no shuffle; memory for one batch and, in each Python worker, for the pieces of KEPT_WORDS words that were met
+lately: words come again, so most of a batch's needn't be matched. Models with identity normalisation, a dummy
 prefix and byte fallback are taken (others raise ValueError). Null and empty texts have no pieces.
 A space mark (U+2581) in a text counts as a space, as in the format. Repeated rows are each returned.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +39,8 @@ _NONE = 1 << 30
 #: Distinct words are matched in parts of about so many bytes.
 PART = 300_000
 _CACHE_BITS = 20
+#: A worker keeps the pieces of so many words, of so many pieces in all; words of more than LONG_WORD pieces aren't kept.
+KEPT_WORDS, KEPT_PIECES, LONG_WORD = 1 << 20, 5 << 20, 64
 
 
 @dataclass
@@ -56,6 +60,7 @@ class Model:
     runs: dict[int, list[int]]
     longest_run: int
     text_of: list[bytes]
+    digest: bytes
 
     @property
     def unknown(self) -> int:
@@ -83,7 +88,8 @@ def load_model(path: str) -> Model:
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     with open(path, "rb") as f:
-        proto = pb.ModelProto.FromString(f.read())
+        raw = f.read()
+    proto = pb.ModelProto.FromString(raw)
     spec, trainer = proto.normalizer_spec, proto.trainer_spec
     if trainer.model_type != 2 or not trainer.byte_fallback or not spec.add_dummy_prefix or spec.remove_extra_whitespaces or spec.precompiled_charsmap:
         raise ValueError("a BPE model with byte fallback, a dummy prefix and identity normalisation is needed")
@@ -119,7 +125,7 @@ def load_model(path: str) -> Model:
     byte_ids = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == kinds.BYTE}
     model = Model(
         np.array([normal[p][0] if p else -1 for p in names]), [p.encode() if reachable[i] else b"" for i, p in enumerate(names)], c, left, right,
-        np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]), np.array([byte_ids[b] for b in range(256)]), number[MARK], runs, longest, texts,
+        np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]), np.array([byte_ids[b] for b in range(256)]), number[MARK], runs, longest, texts, hashlib.blake2b(raw, digest_size=16).digest(),
     )
     _MODELS[path] = model
     return model
@@ -127,7 +133,8 @@ def load_model(path: str) -> Model:
 
 def _spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     """lo[0], lo[0]+1, ... (n[0] of them), lo[1], ..."""
-    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    ends = np.cumsum(n)
+    return np.arange(int(ends[-1]) if len(n) else 0) + np.repeat(lo - ends + n, n)
 
 
 class Encoder:
@@ -194,7 +201,7 @@ class Encoder:
         head = np.zeros(n, np.uint64)
         for i in range(8):
             head = head << _U(8) | pad[i : i + n]
-        order = np.argsort(head, kind="stable")
+        order = np.argsort(head)  # equal ones in any order: edges are sorted by position later
         head = head[order]
         lo, hi = np.searchsorted(head, self.low), np.searchsorted(head, self.high, "right")
         start, piece = [order[_spread(lo, hi - lo)]], [np.repeat(self.short, hi - lo)]
@@ -282,10 +289,44 @@ def _texts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Batch:
-    """Encodes texts; distinct words of all of them are matched once."""
+    """Encodes texts; distinct words of all of them are matched once, those that are kept from earlier texts not at all."""
 
     def __init__(self, encoder: Encoder):
         self.e = encoder
+        self._keep(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+    def _keep(self, words: np.ndarray, place: np.ndarray, n: np.ndarray, flat: np.ndarray) -> None:
+        """Keeps the sorted ``words``, whose pieces are ``flat[place : place + n]``, and nothing else."""
+        self.words, self.n, self.flat = words, n, flat[_spread(place, n)]
+        self.place, self.used = np.cumsum(n) - n, np.zeros(len(words), bool)
+
+    def _pieces(self, words: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of the sorted distinct ``words`` data[start:end]: (flat, place of each word's first, number by word)."""
+        at = np.searchsorted(self.words, words)
+        hit = np.zeros(len(words), bool)
+        inside = np.flatnonzero(at < len(self.words))
+        hit[inside] = self.words[at[inside]] == words[inside]
+        self.used[at[hit]] = True
+        new = np.flatnonzero(~hit)
+        more, n_more = self._units(data, start[new], end[new])
+        flat = np.concatenate([self.flat, more])
+        place, n = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        place[hit], n[hit] = self.place[at[hit]], self.n[at[hit]]
+        place[new], n[new] = len(self.flat) + np.cumsum(n_more) - n_more, n_more
+        short = new[n_more <= LONG_WORD]
+        if len(self.words) + len(short) <= KEPT_WORDS and len(flat) <= KEPT_PIECES:
+            self.words, self.place, self.n, self.used = (np.insert(x, at[short], y) for x, y in ((self.words, words[short]), (self.place, place[short]), (self.n, n[short]), (self.used, False)))
+            self.flat = flat
+        else:  # those met since the last time stay, if they are at most half
+            old = np.flatnonzero(self.used)
+            if len(old) > KEPT_WORDS // 2 or self.n[old].sum() > KEPT_PIECES // 2:
+                old = old[:0]
+            kept = self.words[old], self.place[old], self.n[old]
+            if len(old) + len(short) <= KEPT_WORDS and self.n[old].sum() + n[short].sum() <= KEPT_PIECES:
+                spot = np.searchsorted(kept[0], words[short])
+                kept = tuple(np.insert(x, spot, y[short]) for x, y in zip(kept, (words, place, n)))
+            self._keep(*kept, flat)
+        return flat, place, n
 
     def encode(self, data: np.ndarray, off: np.ndarray, step: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number by text)."""
@@ -298,9 +339,8 @@ class Batch:
             pieces.append((w.hashes(), w.start + off[a], w.end + off[a], w.count))
             a = b
         h, start, end, count = (np.concatenate([p[k] for p in pieces]) if pieces else np.zeros(0, np.int64) for k in range(4))
-        _, sample, unit = np.unique(h, return_index=True, return_inverse=True)
-        flat, n = self._units(data, start[sample], end[sample])
-        place = np.cumsum(n) - n
+        words, sample, unit = np.unique(h, return_index=True, return_inverse=True)
+        flat, place, n = self._pieces(words, data, start[sample], end[sample])
         # space marks before each word: the gap, and the dummy prefix before a text's first
         doc = np.repeat(np.arange(len(count)), count)
         first = np.cumsum(count) - count
@@ -308,7 +348,7 @@ class Batch:
         edge[first[count > 0]] = True
         gap = start - np.concatenate([[0], end[:-1]]) if len(h) else start
         gap[edge] = start[edge] - off[doc[edge]] + 1
-        alone = flat[place[unit]] == self.e.m.ids[self.e.m.mark] if len(flat) else np.zeros(0, bool)
+        alone = flat[place[unit]] == self.e.m.ids[self.e.m.mark]
         marks = np.where(alone, gap, gap - 1)
         take, skip = n[unit] - alone, place[unit] + alone
         # a text's last spaces are one more word without letters
@@ -350,13 +390,24 @@ class Batch:
         return (np.concatenate(flats), np.concatenate(counts)) if flats else (np.zeros(0, np.int32), np.zeros(0, np.int64))
 
 
+_BATCH: dict[bytes, Batch] = {}
+
+
+def _batch(model: Model) -> Batch:
+    """This process's Batch of a model; the last one stays for the tasks to come."""
+    if model.digest not in _BATCH:
+        _BATCH.clear()
+        _BATCH[model.digest] = Batch(Encoder(model))
+    return _BATCH[model.digest]
+
+
 def decode_ids(ids: np.ndarray, count: np.ndarray, texts: list[bytes]) -> tuple[bytes, np.ndarray]:
     """Bytes of lists of ids, and offsets: pieces' texts, without the first space of each list."""
     size = np.array([len(t) for t in texts])
     place = np.cumsum(size) - size
     table = np.frombuffer(b"".join(texts), np.uint8)
     flat = table[_spread(place[ids], size[ids])] if len(ids) else table[:0]
-    total = np.bincount(np.repeat(np.arange(len(count)), count), size[ids], len(count)).astype(np.int64) if len(ids) else np.zeros(len(count), np.int64)
+    total = np.diff(np.concatenate([[0], np.cumsum(size[ids])])[np.concatenate([[0], np.cumsum(count)])])
     off = np.concatenate([[0], np.cumsum(total)])
     led = np.flatnonzero(total)
     led = led[flat[off[led]] == 32]
@@ -373,14 +424,12 @@ def encode_pieces(df: DataFrame, path: str, text: str = "text", keep: list[str]
     kept = others(keep if keep is not None else [c for c in df.columns if c != text], *names)
     small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(load_model(path))
-    made: list[Batch] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Batch(Encoder(sent.value)))
+        encoder = _batch(sent.value)
         for batch in batches:
             for a, b, data, off in chunks(batch, text, 2_000_000):
-                ids, count = made[0].encode(data, off)
+                ids, count = encoder.encode(data, off)
                 part = batch.slice(a, b - a)
                 back, ends = decode_ids(ids, count, sent.value.text_of)
                 raw = data.tobytes()  # with space marks as they came

@@ -59,3 +59,33 @@ def test_round_trip_of_space_marks(spark):
     texts = ["plain text", "a▁b", "▁", "  two  ", ""]
     rows = sp.encode_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PIECES).collect()
     assert {r.doc_id: r.round_trip for r in rows} == {0: True, 1: False, 2: False, 3: True, 4: True}
+
+
+def test_words_that_come_again_are_not_matched_again(library, monkeypatch):
+    """Matching every batch's words anew was most of the time of stage 5; kept words are bounded and change no result."""
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdé日") for _ in range(r.randint(1, 9))) for _ in range(3000)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 30))) + " " * r.randint(0, 2) for _ in range(600)] + ["ab" * 500, "", "  "]
+    matched, encode_words = [], sp.Encoder.encode
+    monkeypatch.setattr(sp.Encoder, "encode", lambda self, text, first, end: matched.append(len(first)) or encode_words(self, text, first, end))
+
+    def run(kept_words, kept_pieces, step):
+        monkeypatch.setattr(sp, "KEPT_WORDS", kept_words)
+        monkeypatch.setattr(sp, "KEPT_PIECES", kept_pieces)
+        batch = sp._batch(sp.load_model(PIECES))
+        for a in range(0, len(texts), step):
+            raw = [t.encode() for t in texts[a : a + step]]
+            ids, n = batch.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+            cut = np.cumsum([0, *n])
+            assert [ids[x:y].tolist() for x, y in zip(cut, cut[1:])] == library.encode(texts[a : a + step])
+            assert len(batch.words) <= kept_words and len(batch.flat) <= kept_pieces and (batch.words[1:] > batch.words[:-1]).all()
+
+    monkeypatch.setattr(sp, "_BATCH", {})
+    run(1 << 20, 5 << 20, 100)
+    once = sum(matched)
+    assert once == len({w for t in texts for w in t.split(" ") if w})
+    run(1 << 20, 5 << 20, 70)  # another task of the process; the word of 1000 letters isn't kept
+    assert sum(matched) <= once + 1
+    for kept in ((1500, 1 << 20), (400, 1 << 20), (1 << 20, 3000), (0, 0)):
+        monkeypatch.setattr(sp, "_BATCH", {})
+        run(*kept, 50)
