@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
+from itertools import repeat
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def clean_text(text: Column, english: bool = True) -> Column:
@@ -22,32 +27,86 @@ def tokens(cleaned: Column) -> Column:
     return F.filter(F.split(F.lower(cleaned), " "), lambda w: F.length(w) >= 2)
 
 
-def _words_of(df: DataFrame, by: str, text: str, english: bool) -> DataFrame:
-    """(by, term): a row per word; the short ones are left out as rows, which is cheaper than in the array."""
-    rows = df.select(by, F.explode(F.split(F.lower(clean_text(F.col(text), english)), " ")).alias("term"))
-    return rows.where(F.length("term") >= 2)
-
-
 def ngrams(words: Column, low: int, high: int) -> Column:
     """All n-grams of ``low`` to ``high`` words, joined by spaces."""
-    parts = [words] if low == 1 else []
-    for n in range(max(low, 2), high + 1):
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        parts.append(_joined_slices(words, starts, n))
-    return F.concat(*parts)
+
+    def parts(w: Column) -> Column:
+        found = [w] if low == 1 else []
+        for n in range(max(low, 2), high + 1):
+            starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+            found.append(_joined_slices(w, starts, n))
+        return F.concat(*found)
+
+    # a variable, as the function over the starts would evaluate the expression of the words again for each n-gram
+    return F.get(F.transform(F.array(words), parts), F.lit(0))
 
 
 def _joined_slices(words: Column, starts: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
-def term_counts(df: DataFrame, by: str, text: str, english: bool = True, ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
-    """(by, term, n). Counts add up, so the texts of a class are never concatenated."""
-    if ngram_range == (1, 1):
-        rows = _words_of(df, by, text, english)
-    else:
-        rows = df.select(by, F.explode(ngrams(tokens(clean_text(F.col(text), english)), *ngram_range)).alias("term"))
-    return rows.groupBy(by, "term").agg(F.count("*").alias("n"))
+#: ``clean_text`` and lower case on UTF-8: all bytes of other characters than ASCII go, as these do.
+_PLAIN = bytes.maketrans(b"\n\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"  abcdefghijklmnopqrstuvwxyz")
+_DROPPED = bytes(b for b in range(256) if not (b < 128 and chr(b).isalnum()) and b not in b" \n\t")
+#: Counts that a worker holds before it sends them on.
+HELD_COUNTS = 100_000
+
+
+def term_counts(df: DataFrame, by: str | tuple[str, ...], text: str, english: bool = True, ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
+    """(by, term, n). Counts add up, so the texts of a class are never concatenated. English ones are counted in Arrow batches, and
+    only the sums of a batch leave it."""
+    by = (by,) if isinstance(by, str) else by
+    if not english:
+        words = tokens(clean_text(F.col(text), english))
+        return df.select(*by, F.explode(words if ngram_range == (1, 1) else ngrams(words, *ngram_range)).alias("term")).groupBy(*by, "term").agg(F.count("*").alias("n"))
+    rows = df.select(*by, F.col(text).cast("string").alias("term"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("n", T.LongType())])
+    counted = rows.mapInArrow(lambda batches: _counted(batches, *ngram_range), schema)
+    return counted.groupBy(*by, "term").agg(F.sum("n").alias("n"))
+
+
+def _counted(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        *keys, text = batch.columns
+        held, counts = 0, {}
+        for row, (key, t) in enumerate(zip(_groups(keys, len(text)), text.cast(pa.large_binary()))):
+            if (t := t.as_py()) is None:
+                continue
+            words = (t.translate(_PLAIN, _DROPPED) or b"emptydoc").decode("ascii").split()
+            if key not in counts:
+                counts[key] = row, Counter()
+            own = counts[key][1]
+            held -= len(own)
+            if high > 1:
+                words = [w for w in words if len(w) > 1]
+            for n in range(low, high + 1):
+                own.update(words if n == 1 else map(" ".join, zip(*(words[i:] for i in range(n)))))
+            held += len(own)
+            if held > HELD_COUNTS:
+                yield _rows_of(batch, counts)
+                held, counts = 0, {}
+        yield _rows_of(batch, counts)
+
+
+def _groups(keys: list[pa.Array], n: int) -> Iterator:
+    """For each row something that is the same in rows with the same keys, and never in others."""
+    try:
+        return zip(*(k.dictionary_encode().indices.to_pylist() for k in keys)) if keys else repeat((), n)
+    except pa.ArrowNotImplementedError:  # of nested types
+        return iter(range(n))
+
+
+def _rows_of(batch: pa.RecordBatch, counts: dict) -> pa.RecordBatch:
+    """A row for each term of each class. Words of one character are left out here, where they are few."""
+    rows, terms, n = [], [], []
+    for row, own in counts.values():
+        for x in [x for x in own if len(x) < 2]:
+            del own[x]
+        rows += repeat(row, len(own))
+        terms += own.keys()
+        n += own.values()
+    keys = [k.take(pa.array(rows, pa.int64())) for k in batch.columns[:-1]]
+    return pa.RecordBatch.from_arrays([*keys, pa.array(terms, batch.column(batch.num_columns - 1).type), pa.array(n, pa.int64())], names=[*batch.schema.names, "n"])
 
 
 def class_tfidf(counts: DataFrame, by: str, bm25: bool = False, reduce_frequent: bool = False, seeds: DataFrame | None = None) -> DataFrame:

@@ -55,3 +55,28 @@ def test_templates_endpoints_and_json(spark):
     assert [r[0] for r in urls.select(tx.endpoint_of(F.col("u"))).collect()] == ["embeddings", "chat/completions", None]
     one = spark.range(1).select(tx.structs_to_string(F.array(F.struct(F.lit("u").alias("role"), F.lit(None).cast("string").alias("content")))).alias("s")).first()
     assert one.s == '{"role":"u","content":null}'
+
+
+def test_ngrams_of_a_long_text_are_linear(spark):
+    import time
+
+    text = " ".join(f"w{i}" for i in range(20_000))
+    df = spark.createDataFrame([("c", text)], "c string, t string")
+    began = time.monotonic()
+    assert df.select(F.size(tx.ngrams(tx.tokens(tx.clean_text(F.col("t"))), 1, 2))).first()[0] == 39_999
+    assert tx.term_counts(df, "c", "t", ngram_range=(1, 2)).count() == 39_999
+    assert time.monotonic() - began < 20
+
+
+def test_term_counts_are_those_of_the_expressions(spark, monkeypatch):
+    texts = ["The cat,\tthe\nCAT sat; a cat", "", "?!", "a b c", "é", None, "Ünder ñ x1\r\ny2  z", " ", "the cat sat", "𝒳x the the"] * 3
+    rows = [(("a", "b", None)[i % 3], (i % 2, [i % 2]), t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "c string, s struct<i:int,l:array<int>>, t string").coalesce(1)
+    for held in (tx.HELD_COUNTS, 2):
+        monkeypatch.setattr(tx, "HELD_COUNTS", held)
+        for by in ("c", "s", ("c", "s")):
+            for span in ((1, 1), (1, 2), (2, 3)):
+                keys = (by,) if isinstance(by, str) else by
+                plain = df.select(*keys, F.explode(tx.ngrams(tx.tokens(tx.clean_text(F.col("t"))), *span)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
+                found = tx.term_counts(df, by, "t", ngram_range=span)
+                assert found.columns == plain.columns and sorted(map(repr, found.collect())) == sorted(map(repr, plain.collect()))
