@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from loomwork.operators.features import Categorical, FeatureSet, InputConfig, Scaler, dictionary, one_hot
 from loomwork.operators.folds import NestedCV, nested_folds
 from loomwork.operators.metrics import accuracy_and_mcc
-from loomwork.sources.tables import exists, shared_folder
+from loomwork.sources.tables import exists, materialised, shared_folder
 
 
 #: Settings that don't change a model here, whatever their value.
@@ -182,10 +182,11 @@ def _category(train: DataFrame, f: Categorical) -> tuple[Column, int]:
     return one_hot(F.col(f.column), values), len(values)
 
 
-def fit_and_score(rows: DataFrame, s: FeatureSet, c: Classifier, target: str, key: str) -> DataFrame:
-    """``rows`` has role; (key, role, target, prediction) of all roles by one fit on train."""
+def fit_and_score(rows: DataFrame, s: FeatureSet, c: Classifier, target: str, key: str, features: tuple[Column, int] | None = None) -> DataFrame:
+    """``rows`` has role; (key, role, target, prediction) of all roles by one fit on train. ``features``: those of ``feature_vector``, if
+    they are known."""
     train = rows.where("role = 'train'")
-    vector, width = feature_vector(train, s)
+    vector, width = features or feature_vector(train, s)
     seen = train.agg(F.count("*").alias("n"), F.max(target).alias("m")).first()
     classes = int(seen["m"] or 0) + 1
     estimator = c.estimator(seen["n"], classes, width)
@@ -288,30 +289,36 @@ def train_nested_cv(df: DataFrame, inputs: InputConfig, classifiers: list[Classi
     with the same ``folder`` skips the tasks that it finds there whole."""
     for s in inputs.feature_sets:
         s.check(df)
-    folds = nested_folds(df, cv, key).persist()
     fold = ["r_outer", "k_outer", "r_inner", "k_inner"]
-    tasks = [(s, c, r) for r in folds.select(*fold).distinct().orderBy(*fold).collect() for s in inputs.feature_sets for c in classifiers]
-
     spark = df.sparkSession
+    folds = materialised(nested_folds(df, cv, key), "folds")
+    named = [r.asDict() for r in folds.select(*fold).distinct().orderBy(*fold).collect()]
+    # each row once, with its roles: a task reads and filters it, and joins nothing
+    roles = folds.groupBy(key).agg(F.collect_list(F.struct(*fold, "role")).alias("_roles"))
+    placed = materialised(roles.join(df.select(*dict.fromkeys([key, inputs.target, *(x for s in inputs.feature_sets for x in s.columns)])), key), "placed")
     folder = (folder or f"{shared_folder(spark)}/tasks-{uuid.uuid4().hex}").rstrip("/")
 
-    def run(task: tuple) -> str:
-        s, c, r = task
-        named = {"feature_set_name": s.name, "classifier_name": c.name, "classifier_id": c.id, **r.asDict()}
-        path = f"{folder}/{hashlib.sha256(json.dumps(named, sort_keys=True).encode()).hexdigest()[:32]}"
-        if exists(spark, f"{path}/_SUCCESS"):
-            return path
-        here = reduce(lambda a, b: a & b, (F.col(x) == r[x] for x in fold))
-        rows = folds.where(here).select(key, "role").join(df.select(*dict.fromkeys([key, inputs.target, *s.columns])), key)
-        out = fit_and_score(rows, s, c, inputs.target, key)
-        hp = F.create_map(*(F.lit(str(x)) for k, v in asdict(c).items() if v is not None for x in (k, v))) if any(v is not None for v in asdict(c).values()) else F.lit(None).cast("map<string,string>")
-        out.select(*(F.lit(v).alias(k) for k, v in named.items()), hp.alias("hyper_parameters"), key, "role", "target", "prediction").write.mode("overwrite").parquet(path)
-        return path
+    def run(task: tuple[FeatureSet, dict]) -> list[str]:
+        """All classifiers of a fold and a feature set, whose scalers and dictionaries are made once."""
+        s, r = task
+        mine = F.filter("_roles", lambda x: reduce(lambda a, b: a & b, (x[k] == v for k, v in r.items())))
+        rows = placed.select(*dict.fromkeys([key, inputs.target, *s.columns]), F.explode(F.transform(mine, lambda x: x["role"])).alias("role"))
+        paths, features = [], None
+        for c in classifiers:
+            named = {"feature_set_name": s.name, "classifier_name": c.name, "classifier_id": c.id, **r}
+            path = f"{folder}/{hashlib.sha256(json.dumps(named, sort_keys=True).encode()).hexdigest()[:32]}"
+            paths.append(path)
+            if exists(spark, f"{path}/_SUCCESS"):
+                continue
+            features = features or feature_vector(rows.where("role = 'train'"), s)
+            out = fit_and_score(rows, s, c, inputs.target, key, features)
+            hp = F.create_map(*(F.lit(str(x)) for k, v in asdict(c).items() if v is not None for x in (k, v))) if any(v is not None for v in asdict(c).values()) else F.lit(None).cast("map<string,string>")
+            out.select(*(F.lit(v).alias(k) for k, v in named.items()), hp.alias("hyper_parameters"), key, "role", "target", "prediction").write.mode("overwrite").parquet(path)
+        return paths
 
     with ThreadPoolExecutor(threads) as pool:
-        paths = list(pool.map(run, tasks))
+        paths = [p for found in pool.map(run, [(s, r) for r in named for s in inputs.feature_sets]) for p in found]
     predictions = spark.read.schema(spark.read.parquet(paths[0]).schema).parquet(*paths)
-    folds.unpersist()
     scores = accuracy_and_mcc(predictions, "target", "prediction", [*TASK, "role"])
     wide = scores.groupBy(*TASK).pivot("role", ["train", "val", "test"]).agg(F.first("accuracy").alias("accuracy"), F.first("mcc").alias("mcc"))
     metrics = wide.select(*TASK, *(F.col(f"{r}_{m}").alias(f"{m}_{r}") for m in ("accuracy", "mcc") for r in ("train", "val", "test")))

@@ -226,3 +226,19 @@ def test_documents_are_checked(spark):
     for text, match in (("text", "not text"), ("other", "no column")):
         with pytest.raises(ValueError, match=match):
             tp.fit_topics(df, "id", text)
+
+
+def test_tasks_join_nothing_and_share_scalers(spark, monkeypatch):
+    df = spark.createDataFrame([(i, i % 2, float(i % 7)) for i in range(40)], "cv_index long, target int, x double")
+    plans, scaled = [], []
+    fit, features = tr.fit_and_score, tr.feature_vector
+    monkeypatch.setattr(tr, "fit_and_score", lambda rows, *a: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), fit(rows, *a))[1])
+    monkeypatch.setattr(tr, "feature_vector", lambda *a: (scaled.append(1), features(*a))[1])
+    inputs = ft.InputConfig((ft.FeatureSet(numerical=(ft.Numerical("x", "standard"),)),))
+    cv = fd.NestedCV(outer=fd.KFold(k=2, seed=1), inner=fd.KFold(k=2, seed=2))
+    predictions, metrics = tr.train_nested_cv(df, inputs, [tr.Logistic(max_iter=2), tr.Logistic(max_iter=3)], cv, threads=1)
+    assert len(plans) == 8 and len(scaled) == 4 and not [p for p in plans if "Join" in p]
+    folds = fd.nested_folds(df, cv)
+    assert metrics.count() == 8 and predictions.count() == 2 * folds.count()
+    where = ["k_outer", "k_inner", "cv_index", "role"]
+    assert sorted(map(tuple, predictions.select(*where).distinct().collect())) == sorted(map(tuple, folds.select(*where).collect()))
