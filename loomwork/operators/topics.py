@@ -119,8 +119,7 @@ def representative_documents(docs: DataFrame, scores: DataFrame, fraction: float
     Sparse: joined on the term, never a dense matrix.
     """
     sample = sample_per_group(docs, "id", ("topic",), fraction=fraction)
-    words = tx.tokens(tx.clean_text(F.col("text")))
-    tf = sample.select("topic", "id", F.explode(words).alias("term")).groupBy("topic", "id", "term").agg(F.count("*").alias("n"))
+    tf = tx.term_counts(sample, ("topic", "id"), "text")
     weight = scores.select("topic", "term", "score")
     norm = weight.groupBy("topic").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("tn"))
     pair = tf.join(weight, ["topic", "term"]).groupBy("topic", "id").agg(F.sum(F.col("n") * F.col("score")).alias("ab"), F.sqrt(F.sum(F.col("n").cast("double") * F.col("n"))).alias("dn"))
@@ -173,7 +172,7 @@ def hierarchy(counts: DataFrame, linkage: Callable[[np.ndarray], list[tuple[int,
     the best terms of the merged counts, one TF-IDF for all merges.
     """
     spark = counts.sparkSession
-    counts = counts.where("topic != -1")
+    counts = materialised(counts.where("topic != -1"), "counts")  # several steps read them
     scores = tx.class_tfidf(counts, "topic")
     topics = [r.topic for r in counts.select("topic").distinct().orderBy("topic").limit(MAX_TOPICS + 1).collect()]
     if len(topics) > MAX_TOPICS:
@@ -187,12 +186,14 @@ def hierarchy(counts: DataFrame, linkage: Callable[[np.ndarray], list[tuple[int,
     merges = linkage(distance) if len(topics) > 1 else []
     for step, (a, b, _) in enumerate(merges):
         members[len(topics) + step] = members[a] + members[b]
-    table = spark.createDataFrame([(n, t) for n, ts in members.items() for t in ts], f"node long, topic {counts.schema['topic'].dataType.simpleString()}")
+    totals = {r.topic: r.t for r in counts.groupBy("topic").agg(F.sum("n").alias("t")).collect()}  # a row per topic
+    kind = counts.schema["topic"].dataType.simpleString()
+    table = spark.createDataFrame([(n, t, sum(totals[t] or 0 for t in ts)) for n, ts in members.items() for t in ts], f"node long, topic {kind}, t long")
     freq = counts.groupBy("term").agg(F.sum("n").alias("f"))
-    merged = counts.join(F.broadcast(table), "topic").groupBy("node", "term").agg(F.sum("n").alias("n"))
-    total = merged.groupBy("node").agg(F.sum("n").alias("t"))
     mean = counts.groupBy("topic").agg(F.sum("n").alias("t")).agg(F.floor(F.avg("t")).alias("a"))
-    scored = merged.join(freq, "term").join(total, "node").join(F.broadcast(mean)).select("node", "term", (F.col("n") / F.col("t") * F.log(F.col("a") / F.col("f") + 1)).alias("score"))
+    # joined by term first: the terms of the nodes, many times the counts, are then summed where they are
+    merged = counts.join(freq, "term").join(F.broadcast(table), "topic").groupBy("term", "node").agg(F.sum("n").alias("n"), F.first("t").alias("t"), F.first("f").alias("f"))
+    scored = merged.join(F.broadcast(mean)).select("node", "term", (F.col("n") / F.col("t") * F.log(F.col("a") / F.col("f") + 1)).alias("score"))
     best = tx.word_lists(tx.top_terms(scored, "node", names), "node").select("node", "words").collect()  # a row per node
     label = {r.node: "_".join(r.words) for r in best}
     return [

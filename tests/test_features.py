@@ -242,3 +242,19 @@ def test_tasks_join_nothing_and_share_scalers(spark, monkeypatch):
     assert metrics.count() == 8 and predictions.count() == 2 * folds.count()
     where = ["k_outer", "k_inner", "cv_index", "role"]
     assert sorted(map(tuple, predictions.select(*where).distinct().collect())) == sorted(map(tuple, folds.select(*where).collect()))
+
+
+def test_hierarchy_makes_the_counts_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = [(t, f"w{t % 2}{i}", 1 + (t + i) % 3) for t in range(4) for i in range(5)] + [(-1, "out", 9)]
+    counts = spark.createDataFrame(rows, "topic int, term string, n long").mapInArrow(count, "topic int, term string, n long")
+    found = tp.hierarchy(counts)
+    assert made.value == len(rows)
+    assert [m["topics"] for m in found][-1] == [0, 1, 2, 3] and {tuple(m["topics"]) for m in found[:2]} == {(0, 2), (1, 3)}
+    assert found[-1]["parent_name"] and "out" not in found[-1]["parent_name"]
