@@ -52,9 +52,10 @@ _DROPPED = bytes(b for b in range(256) if not (b < 128 and chr(b).isalnum()) and
 HELD_COUNTS = 100_000
 
 
-def term_counts(df: DataFrame, by: str | tuple[str, ...], text: str, english: bool = True, ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
+def term_counts(df: DataFrame, by: str | tuple[str, ...], text: str, english: bool = True, ngram_range: tuple[int, int] = (1, 1), together: bool = False) -> DataFrame:
     """(by, term, n). Counts add up, so the texts of a class are never concatenated. English ones are counted in Arrow batches, and
-    only the sums of a batch leave it."""
+    only the sums of a batch leave it. ``together``: the counts of a class are kept in one task, which saves what goes by class another
+    shuffle; for many small classes."""
     by = (by,) if isinstance(by, str) else by
     if not english:
         words = tokens(clean_text(F.col(text), english))
@@ -62,6 +63,8 @@ def term_counts(df: DataFrame, by: str | tuple[str, ...], text: str, english: bo
     rows = df.select(*by, F.col(text).cast("string").alias("term"))
     schema = T.StructType([*rows.schema.fields, T.StructField("n", T.LongType())])
     counted = rows.mapInArrow(lambda batches: _counted(batches, *ngram_range), schema)
+    if together:
+        counted = counted.repartition(*by)
     return counted.groupBy(*by, "term").agg(F.sum("n").alias("n"))
 
 

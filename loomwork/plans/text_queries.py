@@ -29,7 +29,7 @@ def seeded_top_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_word_lists(spark: SparkSession, d: str) -> DataFrame:
-    scores = tx.class_tfidf(tx.term_counts(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    scores = tx.class_tfidf(tx.term_counts(table(spark, d, "documents"), "doc_id", "text", together=True), "doc_id")
     lists = tx.word_lists(tx.top_terms(scores, "doc_id", 5), "doc_id")
     return lists.select("doc_id", F.array_join("words", " ").alias("tfidf_words"), F.round(F.get("word_scores", F.lit(0)), 9).alias("best_score"), tx.topic_label(F.col("doc_id"), F.col("words")).alias("label"))
 

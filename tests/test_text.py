@@ -80,3 +80,14 @@ def test_term_counts_are_those_of_the_expressions(spark, monkeypatch):
                 plain = df.select(*keys, F.explode(tx.ngrams(tx.tokens(tx.clean_text(F.col("t"))), *span)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
                 found = tx.term_counts(df, by, "t", ngram_range=span)
                 assert found.columns == plain.columns and sorted(map(repr, found.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_counts_of_a_class_stay_in_one_task(spark):
+    df = spark.createDataFrame([(1, "a1 b1 a1"), (1, "a1"), (2, "b1")], "d long, t string")
+    shuffles = {}
+    for together in (False, True):
+        counts = tx.term_counts(df, "d", "t", together=together)
+        assert sorted(map(tuple, counts.collect())) == [(1, "a1", 3), (1, "b1", 1), (2, "b1", 1)]
+        plan = counts.join(counts.groupBy("d").agg(F.sum("n").alias("s")).hint("merge"), "d")._jdf.queryExecution().executedPlan().toString()
+        shuffles[together] = plan.count("hashpartitioning(")
+    assert shuffles[True] < shuffles[False]
