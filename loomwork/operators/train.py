@@ -204,8 +204,14 @@ def fit_and_score(rows: DataFrame, s: FeatureSet, c: Classifier, target: str, ke
     return model.transform(rows.select(key, "role", F.col(target).alias("target"), vector.alias("features"))).select(key, "role", "target", F.col("prediction").cast("long").alias("prediction"))
 
 
-#: Rows of a block of either side, and of the test rows whose similarities are held at a time.
+#: Rows of a block of either side, and of the test rows whose similarities are held at a time. Blocks are up to KNN_LARGE rows where
+#: there are more than KNN_BLOCKS, as each row is sent to as many tasks as the other side has blocks.
 KNN_BLOCK, KNN_ROWS = 8192, 256
+KNN_LARGE, KNN_BLOCKS = 32_768, 8
+
+
+def _blocks(rows: int) -> int:
+    return max(min(-(-rows // KNN_BLOCK), max(-(-rows // max(KNN_LARGE, KNN_BLOCK)), KNN_BLOCKS)), 1)
 
 
 def knn_predict(train: DataFrame, test: DataFrame, vector: str, target: str, key: str, k: int = 5, apart: str | None = None) -> DataFrame:
@@ -214,7 +220,7 @@ def knn_predict(train: DataFrame, test: DataFrame, vector: str, target: str, key
     each pair gives a test row's top k of it, and these are merged. With ``apart``, training rows that have the test
     row's value of this column don't count."""
     fold = (F.col(apart) if apart else F.lit(0)).alias("_f")
-    n_test, n_train = (max(-(-df.count() // KNN_BLOCK), 1) for df in (test, train))
+    n_test, n_train = (_blocks(df.count()) for df in (test, train))
 
     def block(n: int) -> Column:
         return F.pmod(F.xxhash64(key, vector), F.lit(n))
@@ -254,6 +260,28 @@ def _matrix(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         return np.where(good[:, None], out / norm[:, None], 0.0), np.where(good, size, -1)
 
 
+def _near(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, -similarity) of the k nearest rows of b, of unit vectors of one width. Similarities of single precision leave
+    out what can't be among them; those that are left are taken in double precision."""
+    n, size = len(b), max(min(128, len(b) // (4 * k)), 1)
+    groups, slack = n // size, 4 * (a.shape[1] + 8) * 2.0**-24  # twice the bound of the error
+    low_a, low_b = a.astype(np.float32), b.astype(np.float32).T
+    at, of, by = [], [], []
+    for i in range(0, len(a) if n else 0, KNN_ROWS):
+        s = low_a[i : i + KNN_ROWS] @ low_b
+        if groups >= k:  # k groups have a row as near as the k-th of the groups' nearest ones
+            best = s[:, : groups * size].reshape(len(s), groups, size).max(axis=2)
+            r, c = np.nonzero(s >= np.partition(best, groups - k, axis=1)[:, groups - k : groups - k + 1] - np.float32(slack))
+        else:
+            r, c = (x.ravel() for x in np.indices(s.shape))
+        exact = np.concatenate([0.0 - np.round((a[i + r[j : j + 65_536]] * b[c[j : j + 65_536]]).sum(axis=1), 12) for j in range(0, len(r), 65_536)])
+        order = np.lexsort((c, exact, r))
+        r, c, exact = r[order], c[order], exact[order]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < k
+        at, of, by = [*at, r[first] + i], [*of, c[first]], [*by, exact[first]]
+    return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in ((at, int), (of, int), (by, float)))
+
+
 def _nearest(test: pa.Table, train: pa.Table, k: int, apart: bool) -> pa.Table:
     """The k nearest rows of a training block for each row of a test block."""
     train = train.take(pc.sort_indices(train, sort_keys=[("_i", "ascending"), ("_t", "ascending")], null_placement="at_start"))
@@ -263,7 +291,13 @@ def _nearest(test: pa.Table, train: pa.Table, k: int, apart: bool) -> pa.Table:
     codes = {v: c for c, v in enumerate(dict.fromkeys([*fa, *fb]))}
     fa, fb = (np.array([codes[v] for v in f], int) for f in (fa, fb))
     at, of, by = [], [], []
-    for i in range(0, len(a) if len(b) else 0, KNN_ROWS):
+    plain = len(a) and len(b) and la[0] > 0 and (la == la[0]).all() and (lb == la[0]).all()
+    if plain:
+        for f in np.unique(fa) if apart else (None,):
+            mine, other = (np.flatnonzero(fa == f), np.flatnonzero(fb != f)) if apart else (np.arange(len(a)), np.arange(len(b)))
+            r, c, s = _near(a[mine], b[other], k)
+            at, of, by = [*at, mine[r]], [*of, other[c]], [*by, s]
+    for i in range(0, len(a) if len(b) and not plain else 0, KNN_ROWS):
         s = 0.0 - np.round(a[i : i + KNN_ROWS, :width] @ b[:, :width].T, 12)
         s[(la[i : i + KNN_ROWS, None] != lb) | (lb < 0)] = np.inf
         if apart:

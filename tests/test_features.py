@@ -258,3 +258,16 @@ def test_hierarchy_makes_the_counts_once(spark):
     assert made.value == len(rows)
     assert [m["topics"] for m in found][-1] == [0, 1, 2, 3] and {tuple(m["topics"]) for m in found[:2]} == {(0, 2), (1, 3)}
     assert found[-1]["parent_name"] and "out" not in found[-1]["parent_name"]
+
+
+def test_near_is_exact_and_few_are_compared_twice():
+    r = np.random.default_rng(5)
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (r.normal(size=(700, 16)), r.normal(size=(3000, 16))))
+    b[1500:1600] = b[:100]  # ties go to the least row
+    for n in (3000, 30, 3, 0):
+        at, of, by = tr._near(a, b[:n], 5)
+        s = 0.0 - np.round(a @ b[:n].T, 12)
+        assert len(at) == 700 * min(n, 5)
+        for i in (0, 1, 255, 256, 699):
+            assert of[at == i].tolist() == np.lexsort((np.arange(n), s[i]))[:5].tolist() and np.allclose(by[at == i], np.sort(s[i])[:5], atol=1e-11)
+    assert tr._blocks(0) == 1 and tr._blocks(51_282) == 7 and tr._blocks(102_564) == 8 and tr._blocks(615_384) == 19
