@@ -271,3 +271,11 @@ def test_near_is_exact_and_few_are_compared_twice():
         for i in (0, 1, 255, 256, 699):
             assert of[at == i].tolist() == np.lexsort((np.arange(n), s[i]))[:5].tolist() and np.allclose(by[at == i], np.sort(s[i])[:5], atol=1e-11)
     assert tr._blocks(0) == 1 and tr._blocks(51_282) == 7 and tr._blocks(102_564) == 8 and tr._blocks(615_384) == 19
+
+
+def test_representative_documents_count_words_in_batches(spark):
+    docs = spark.createDataFrame([(i, f"Apple, {w}\tapple", t) for i, (w, t) in enumerate([("x1", 0), ("pie", 0), ("pear", 1), ("", 1)])], "id long, text string, topic int")
+    m = tp.fit_topics(docs, "id", "text", top_n=2, fraction=1.0)
+    plan = m.docs._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+    assert sorted((r.topic, r.id) for r in m.docs.collect()) == [(0, 0), (0, 1), (1, 2), (1, 3)]
